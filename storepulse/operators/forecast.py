@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.calendar import holiday_flags, week_start
@@ -41,40 +41,49 @@ def _ordered(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("week")
 
 
-def _baseline(series: DataFrame, model: str, h: int, r: Rules, keys: Sequence[str]) -> DataFrame:
+def _baseline_state(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str]) -> DataFrame:
+    """Per week: what each baseline would forecast from here on, and its residual spread so far.
+
+    Adds `states`, an array of (model, forecast, resid_sd), and `_last` for the final week.
+    """
     w = _ordered(keys)
-    if model == "naive":
-        level = F.col("value")
-        residual = F.col("value") - F.lag("value").over(w)
-    else:
-        before = w.rowsBetween(-4, -1)
-        level = F.avg("value").over(w.rowsBetween(-3, 0))
-        residual = F.when(
-            F.count("value").over(before) == 4, F.col("value") - F.avg("value").over(before)
-        )
+    before = w.rowsBetween(-4, -1)
+    level = {"naive": F.col("value"), "ma4": F.avg("value").over(w.rowsBetween(-3, 0))}
+    residual = {
+        "naive": F.col("value") - F.lag("value").over(w),
+        "ma4": F.when(F.count("value").over(before) == 4, F.col("value") - F.avg("value").over(before)),
+    }
     recent = w.rowsBetween(1 - r.residual_window, 0)
-    last = (
-        series.select(*keys, "week", level.alias("forecast"), residual.alias("_resid"),
-                      F.lead("week").over(w).isNull().alias("_last"))
-        .withColumn("resid_sd", F.stddev_pop("_resid").over(recent))
-        .filter("_last")
+    named = series.withColumns({f"_level_{m}": level[m] for m in models}).withColumns(
+        {f"_resid_{m}": residual[m] for m in models}
     )
-    return last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h)))).select(
-        *keys, F.lit(model).alias("model"), "step",
-        F.date_add("week", F.col("step") * 7).alias("week"), "forecast", "resid_sd",
+    states = [
+        F.struct(F.lit(m).alias("model"), F.col(f"_level_{m}").alias("forecast"),
+                 F.stddev_pop(f"_resid_{m}").over(recent).alias("resid_sd"))
+        for m in models
+    ]
+    return named.select(
+        *series.columns, F.array(*states).alias("states"), F.lead("week").over(w).isNull().alias("_last")
     )
 
 
+def _baselines(series: DataFrame, models: Sequence[str], h: int, r: Rules, keys: Sequence[str]) -> DataFrame:
+    last = _baseline_state(series, models, r, keys).filter("_last")
+    steps = last.select(*keys, "week", "states", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"))
+    return steps.select(
+        *keys, "step", F.date_add("week", F.col("step") * 7).alias("week"), F.inline("states")
+    ).select(*keys, "model", "step", "week", "forecast", "resid_sd")
+
+
 def _with_future(series: DataFrame, h: int, keys: Sequence[str]) -> DataFrame:
-    """History (step 0) plus h empty future weeks per series, with the holiday flags."""
+    """History (step 0) plus h empty future weeks per series."""
     is_last = F.lead("week").over(_ordered(keys)).isNull()
     steps = F.when(F.col("_last"), F.sequence(F.lit(0), F.lit(h))).otherwise(F.array(F.lit(0)))
     rows = series.withColumn("_last", is_last).withColumn("step", F.explode(steps))
-    rows = rows.select(
+    return rows.select(
         *keys, "step", F.date_add("week", F.col("step") * 7).alias("week"),
         F.when(F.col("step") == 0, F.col("value")).alias("value"),
     )
-    return holiday_flags(rows)
 
 
 def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
@@ -84,34 +93,44 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
 FLAGS = ["black_friday_week", "christmas_week"]
 
 
-def _fitter(models: Sequence[str], keys: Sequence[str], h: int, window: int) -> Callable:
+def _fitter(models: Sequence[str], keys: Sequence[str], window: int) -> Callable:
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("week")
-        past, future = group[group["step"] == 0], group[group["step"] > 0]
+        past, ahead = group[group["step"] == 0], group[group["step"] > 0]
         value = past["value"].to_numpy(float)
         frames = []
         # The log models are defined for positive series only.
         for model in models if len(value) and (value > 0).all() else ():
             y = np.log(value)
             if model == "holt_damped":
-                fitted, ahead = damped_trend(y, h)
+                fitted, coming = damped_trend(y, len(ahead))
             else:
                 design = trend_design(len(group), group[FLAGS].to_numpy(float))
                 line = design @ least_squares(design[: len(y)], y)
-                fitted, ahead = line[: len(y)], line[len(y):]
+                fitted, coming = line[: len(y)], line[len(y):]
             spread = float(np.std((value - np.exp(fitted))[-window:]))
-            out = future[[*keys, "step", "week"]].copy()
-            frames.append(out.assign(model=model, forecast=np.exp(ahead), resid_sd=spread))
-        columns = [*keys, "model", "step", "week", "forecast", "resid_sd"]
+            out = ahead[[*keys, "step", "week"]].assign(model=model, actual=ahead["value"])
+            frames.append(out.assign(forecast=np.exp(coming), resid_sd=spread))
+        columns = [*keys, "model", "step", "week", "actual", "forecast", "resid_sd"]
         return pd.concat(frames)[columns] if frames else pd.DataFrame(columns=columns)
 
     return fit
 
 
-def _fitted(series: DataFrame, models: Sequence[str], h: int, r: Rules, keys: Sequence[str]) -> DataFrame:
-    schema = _key_schema(series, keys) + "model string, step int, week date, forecast double, resid_sd double"
-    rows = _with_future(series, h, keys)
-    return rows.groupBy(*keys).applyInPandas(_fitter(tuple(models), tuple(keys), h, r.residual_window), schema)
+def _fitted(rows: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str]) -> DataFrame:
+    """Fit per group of (keys): history has step 0, the weeks to forecast have steps 1, 2, ..."""
+    schema = _key_schema(rows, keys) + (
+        "model string, step int, week date, actual double, forecast double, resid_sd double"
+    )
+    flagged = holiday_flags(rows.select(*keys, "step", "week", "value"))
+    return flagged.groupBy(*keys).applyInPandas(_fitter(tuple(models), tuple(keys), r.residual_window), schema)
+
+
+def _split(models: Sequence[str]) -> tuple[list[str], list[str]]:
+    unknown = [m for m in models if m not in MODELS]
+    if unknown:
+        raise ValueError(f"unknown model {unknown}; use {MODELS}")
+    return [m for m in models if m in BASELINES], [m for m in models if m in FITTED]
 
 
 def forecasts(series: DataFrame, models: Sequence[str], h: int, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
@@ -119,13 +138,12 @@ def forecasts(series: DataFrame, models: Sequence[str], h: int, r: Rules, keys:
 
     Series with a non-positive week get no rows from the two log models.
     """
-    unknown = [m for m in models if m not in MODELS]
-    if unknown:
-        raise ValueError(f"unknown model {unknown}; use {MODELS}")
-    parts = [_baseline(series, m, h, r, keys) for m in models if m in BASELINES]
-    fitted = [m for m in models if m in FITTED]
+    base, fitted = _split(models)
+    parts = []
+    if base:
+        parts.append(_baselines(series, base, h, r, keys))
     if fitted:
-        parts.append(_fitted(series, fitted, h, r, keys))
+        parts.append(_fitted(_with_future(series, h, keys), fitted, r, keys).drop("actual"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -143,72 +161,98 @@ def residual_interval(points: DataFrame, r: Rules) -> DataFrame:
     })
 
 
-def rolling_origin_folds(series: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, fold, week, value, is_test, step, positive): training and test rows of every origin.
-
-    Fold 1 ends `horizon` weeks before the last week; each further fold ends `fold_step`
-    weeks earlier. Rows are multiplied by the folds after the only shuffle, and later
-    groupings by keys and fold reuse its partitioning.
-    """
+def _numbered(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     whole = Window.partitionBy(*keys)
-    numbered = series.withColumns({
+    return series.withColumns({
         "_i": F.row_number().over(_ordered(keys)),
         "_n": F.count(F.lit(1)).over(whole),
         "positive": F.min("value").over(whole) > 0,
-    }).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(r.folds))))
+    })
+
+
+def _in_folds(numbered: DataFrame, r: Rules, first: str) -> DataFrame:
+    """Repeat each week for every fold it belongs to; `_ahead` counts weeks after the origin.
+
+    Rows are multiplied by the folds after the only shuffle, and later groupings by keys
+    and fold reuse its partitioning. `first` limits how far back a fold reaches.
+    """
+    folded = numbered.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(r.folds))))
     cut = (F.col("_n") - r.horizon - (F.col("fold") - 1) * r.fold_step).cast("int")
-    ahead = F.col("_i") - F.col("_cut")
-    return (
-        numbered.withColumn("_cut", cut)
-        .filter((F.col("_cut") >= 1) & (ahead <= r.horizon))
-        .select(*keys, "fold", "week", "value", (ahead > 0).alias("is_test"),
-                F.when(ahead > 0, ahead).alias("step"), "positive")
+    folded = folded.withColumn("_cut", cut).withColumn("_ahead", F.col("_i") - F.col("_cut"))
+    return folded.filter((F.col("_cut") >= 1) & (F.col("_ahead") <= r.horizon)).filter(first)
+
+
+def rolling_origin_folds(series: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, fold, week, value, is_test, step, positive): training and test rows of every origin.
+
+    Fold 1 ends `horizon` weeks before the last week; each further fold ends `fold_step`
+    weeks earlier.
+    """
+    ahead = F.col("_ahead")
+    return _in_folds(_numbered(series, keys), r, "true").select(
+        *keys, "fold", "week", "value", (ahead > 0).alias("is_test"), F.when(ahead > 0, ahead).alias("step"),
+        "positive",
+    )
+
+
+def _baseline_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str]) -> DataFrame:
+    # A fold needs its origin week, which carries the forecasts, and its test weeks.
+    state = _baseline_state(_numbered(series, keys), models, r, keys)
+    rows = _in_folds(state, r, "_ahead >= 0")
+    at_origin = F.max(F.when(F.col("_ahead") == 0, F.col("states"))).over(Window.partitionBy(*keys, "fold"))
+    tests = rows.withColumn("states", at_origin).filter(F.col("_ahead") > 0)
+    return tests.select(
+        *keys, "fold", F.col("_ahead").alias("step"), "week", F.col("value").alias("actual"), F.inline("states")
     )
 
 
+def _fitted_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str]) -> DataFrame:
+    folds = rolling_origin_folds(series, r, keys).filter("positive")
+    rows = folds.withColumn("step", F.coalesce("step", F.lit(0)))
+    return _fitted(rows, models, r, [*keys, "fold"])
+
+
 def backtest_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, model, fold, step, week, actual, forecast, pct_err) for every origin and step.
 
     The log models take part only for series that are positive throughout, so that each
     model is judged on all folds of a series or on none.
     """
-    folds = rolling_origin_folds(series, r, keys)
-    fold_keys = [*keys, "fold"]
-    train = folds.filter(~F.col("is_test")).select(*fold_keys, "week", "value", "positive")
-    test = folds.filter("is_test").select(*fold_keys, "step", F.col("value").alias("actual"))
+    base, fitted = _split(models)
+    columns = [*keys, "model", "fold", "step", "week", "actual", "forecast"]
     parts = []
-    base = [m for m in models if m in BASELINES]
-    fitted = [m for m in models if m in FITTED]
     if base:
-        parts.append(forecasts(train.drop("positive"), base, r.horizon, r, fold_keys))
+        parts.append(_baseline_errors(series, base, r, keys).select(columns))
     if fitted:
-        parts.append(forecasts(train.filter("positive").drop("positive"), fitted, r.horizon, r, fold_keys))
-    points = reduce(DataFrame.unionByName, parts).drop("resid_sd")
-    joined = match(points, test, [*fold_keys, "step"])
-    return joined.withColumn("pct_err", ratio(F.col("actual") - F.col("forecast"), F.col("forecast")))
+        parts.append(_fitted_errors(series, fitted, r, keys).select(columns))
+    errors = reduce(DataFrame.unionByName, parts)
+    return errors.withColumn("pct_err", ratio(F.col("actual") - F.col("forecast"), F.col("forecast")))
 
 
 def backtest_summary(errors: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, model, wape_pct, period_err_p10, period_err_p90), unrounded."""
-    per_fold = errors.groupBy(*keys, "model", "fold").agg(
-        F.sum("actual").alias("actual"),
-        F.sum("forecast").alias("forecast"),
-        F.sum(F.abs(F.col("actual") - F.col("forecast"))).alias("abs_err"),
-    ).withColumn("total_pct_err", ratio(F.col("actual") - F.col("forecast"), F.col("forecast")))
-    out = per_fold.groupBy(*keys, "model").agg(
-        ratio(F.lit(100.0) * F.sum("abs_err"), F.sum("actual")).alias("wape_pct"),
-        interpolated("total_pct_err", r.interval_probs).alias("q"),
+    """Per series and model, unrounded: wape_pct, the period_err_* quantiles of the error of
+    whole test periods, and the step_err_* quantiles of single weeks."""
+    fold = Window.partitionBy(*keys, "model", "fold")
+    total, predicted = F.sum("actual").over(fold), F.sum("forecast").over(fold)
+    scored = errors.withColumn("_period", F.when(F.col("step") == 1, ratio(total - predicted, predicted)))
+    out = scored.groupBy(*keys, "model").agg(
+        ratio(F.lit(100.0) * F.sum(F.abs(F.col("actual") - F.col("forecast"))), F.sum("actual")).alias("wape_pct"),
+        interpolated("_period", r.interval_probs).alias("period"),
+        interpolated("pct_err", r.interval_probs).alias("steps"),
     )
     return out.select(
         *keys, "model", "wape_pct",
-        F.col("q")[0].alias("period_err_p10"), F.col("q")[1].alias("period_err_p90"),
+        F.col("period")[0].alias("period_err_p10"), F.col("period")[1].alias("period_err_p90"),
+        F.col("steps")[0].alias("step_err_p10"), F.col("steps")[1].alias("step_err_p90"),
     )
 
 
-def rounded_summary(summary: DataFrame) -> DataFrame:
+SUMMARY = ("wape_pct", "period_err_p10", "period_err_p90")
+
+
+def rounded_summary(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The report form: three decimals, half to even. The monthly plan uses these values."""
-    cols = ("wape_pct", "period_err_p10", "period_err_p90")
-    return summary.withColumns({c: F.bround(c, 3) for c in cols})
+    return summary.select(*keys, "model", *[F.bround(c, 3).alias(c) for c in SUMMARY])
 
 
 def backtest(
@@ -219,38 +263,55 @@ def backtest(
     return backtest_summary(errors, r, keys), errors
 
 
+def _best(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summary rows of the winners. A series has a handful of models, so the window is tiny."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("wape_pct", "model"))
+    ranked = summary.filter(F.col("wape_pct").isNotNull()).withColumn("_place", place)
+    return ranked.filter(F.col("_place") == 1).drop("_place")
+
+
 def select_best_model(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, model) with the lowest WAPE per series; equal WAPE goes to the first name."""
-    scored = summary.filter(F.col("wape_pct").isNotNull())
-    best = scored.groupBy(*keys).agg(F.min(F.struct("wape_pct", "model"))["model"].alias("model"))
-    return best.filter(F.col("model").isNotNull())
+    return _best(summary, keys).select(*keys, "model")
 
 
-def calibrated_interval(points: DataFrame, errors: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
+def calibrated_interval(points: DataFrame, summary: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
     """80% band from the pooled step errors of the same model in the backtest.
 
-    Beyond the tested horizon the band widens with the root of step / horizon.
+    Beyond the tested horizon the band widens with the root of step / horizon. Points of
+    models that the summary lacks are left out.
     """
     by = [*keys, "model"]
-    bounds = errors.groupBy(*by).agg(interpolated("pct_err", r.interval_probs).alias("q"))
+    return _banded(match(points, summary.select(*by, "step_err_p10", "step_err_p90"), by), r)
+
+
+def _banded(points: DataFrame, r: Rules) -> DataFrame:
     widen = F.sqrt(F.greatest(F.col("step") / F.lit(float(r.horizon)), F.lit(1.0)))
     point = F.col("forecast")
-    return match(points, bounds, by).withColumns({
-        "lower_80": F.greatest(point * (F.lit(1.0) + F.col("q")[0] * widen), F.lit(0.0)),
-        "upper_80": point * (F.lit(1.0) + F.col("q")[1] * widen),
-    }).drop("q")
+    return points.withColumns({
+        "lower_80": F.greatest(point * (F.lit(1.0) + F.col("step_err_p10") * widen), F.lit(0.0)),
+        "upper_80": point * (F.lit(1.0) + F.col("step_err_p90") * widen),
+    }).drop("step_err_p10", "step_err_p90")
 
 
-def weekly_forecast(
+def best_forecast(
     series: DataFrame, r: Rules, models: Sequence[str] = MODELS, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Forecast of each series' best model with the calibrated band, in whole money units."""
-    summary, errors = backtest(series, models, r, keys)
-    best = select_best_model(summary, keys)
+    """Forecast of each series' best model with the calibrated band, in whole money units,
+    together with the model's rounded period errors, which the monthly plan needs."""
+    summary, _ = backtest(series, models, r, keys)
+    best = _best(summary, keys).drop("wape_pct")
     points = forecasts(series, models, r.forecast_weeks, r, keys).drop("resid_sd")
-    chosen = match(points, best, [*keys, "model"])
-    banded = calibrated_interval(chosen, errors, r, keys)
-    return banded.withColumns({c: F.bround(c, 0) for c in ("forecast", "lower_80", "upper_80")})
+    banded = _banded(match(points, best, [*keys, "model"]), r)
+    whole = {c: F.bround(c, 0) for c in ("forecast", "lower_80", "upper_80")}
+    return banded.withColumns(whole | {c: F.bround(c, 3) for c in ("period_err_p10", "period_err_p90")})
+
+
+def weekly_forecast(
+    series: DataFrame, r: Rules, models: Sequence[str] = MODELS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, model, step, week, forecast, lower_80, upper_80) of the best model per series."""
+    return best_forecast(series, r, models, keys).drop("period_err_p10", "period_err_p90")
 
 
 def holiday_multiplier(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -270,34 +331,28 @@ def holiday_multiplier(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     return rows.groupBy(*keys).applyInPandas(fit, _key_schema(series, keys) + "multiplier double")
 
 
-def monthly_plan(
-    weekly: DataFrame, multiplier: DataFrame, summary: DataFrame, keys: Sequence[str] = ()
-) -> DataFrame:
+def monthly_plan(best: DataFrame, multiplier: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Spread weekly forecasts over days, lift the Black Friday week, sum complete months.
 
-    `weekly` holds the rounded forecasts of one model per series, `summary` the rounded
-    period errors. A series without a multiplier gets no lift.
+    `best` comes from best_forecast: rounded forecasts and period errors of one model per
+    series. A series without a multiplier gets no lift.
     """
-    lifted = attach(holiday_flags(weekly.select(*keys, "model", "week", "forecast")), multiplier, keys)
+    errors = ["period_err_p10", "period_err_p90"]
+    weeks = holiday_flags(best.select(*keys, "week", "forecast", *errors))
+    lifted = attach(weeks, multiplier, keys)
     base = F.col("forecast") / 7
     lift = F.when(F.col("black_friday_week") == 1, F.coalesce("multiplier", F.lit(1.0))).otherwise(1.0)
     days = lifted.select(
-        *keys, "model", base.alias("base"), (base * lift).alias("lifted"),
+        *keys, *errors, base.alias("base"), (base * lift).alias("lifted"),
         F.explode(F.sequence("week", F.date_add("week", 6))).alias("date"),
     )
-    months = days.groupBy(*keys, "model", F.trunc("date", "month").alias("month")).agg(
-        F.sum("base").alias("base"), F.sum("lifted").alias("base_with_uplift"), F.count(F.lit(1)).alias("days"),
+    months = days.groupBy(*keys, F.trunc("date", "month").alias("month")).agg(
+        F.sum("base").alias("base"), F.sum("lifted").alias("lifted"), F.count(F.lit(1)).alias("days"),
+        *[F.max(c).alias(c) for c in errors],
     ).filter(F.col("days") == F.dayofmonth(F.last_day("month")))
-    ranged = match(months, summary.select(*keys, "model", "period_err_p10", "period_err_p90"), [*keys, "model"])
-    plan = F.col("base_with_uplift")
-
-    def whole(c: Column) -> Column:
-        return F.bround(c, 0)
-
-    return ranged.select(
-        *keys, "month", whole(F.col("base")).alias("base"), whole(plan).alias("base_with_uplift"),
-        whole(plan * (F.lit(1.0) + F.col("period_err_p10"))).alias("low_p10"),
-        whole(plan * (F.lit(1.0) + F.col("period_err_p90"))).alias("high_p90"),
+    plan = F.col("lifted")
+    low, high = (plan * (F.lit(1.0) + F.col(c)) for c in errors)
+    return months.select(
+        *keys, "month", F.bround("base", 0).alias("base"), F.bround(plan, 0).alias("base_with_uplift"),
+        F.bround(low, 0).alias("low_p10"), F.bround(high, 0).alias("high_p90"),
     )
-
-

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storepulse.functions.lazy import LazyTables
+
 MONEY = "decimal(12,2)"
 TIME = "timestamp_ntz"
 
@@ -106,14 +108,15 @@ def stg_closed_deals(raw: DataFrame) -> DataFrame:
     )
 
 
-def stage_all(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    return {
-        "stg_orders": stg_orders(raw["orders"]),
-        "stg_order_items": stg_order_items(raw["order_items"]),
-        "stg_order_payments": stg_order_payments(raw["order_payments"]),
-        "stg_customers": stg_customers(raw["customers"]),
-        "stg_sellers": stg_sellers(raw["sellers"]),
-        "stg_products": stg_products(raw["products"], raw["category_translation"]),
-        "stg_leads": stg_leads(raw["marketing_qualified_leads"]),
-        "stg_closed_deals": stg_closed_deals(raw["closed_deals"]),
-    }
+def stage_all(raw: Mapping[str, DataFrame]) -> LazyTables:
+    """All staging tables, each built when first used."""
+    return LazyTables({
+        "stg_orders": lambda: stg_orders(raw["orders"]),
+        "stg_order_items": lambda: stg_order_items(raw["order_items"]),
+        "stg_order_payments": lambda: stg_order_payments(raw["order_payments"]),
+        "stg_customers": lambda: stg_customers(raw["customers"]),
+        "stg_sellers": lambda: stg_sellers(raw["sellers"]),
+        "stg_products": lambda: stg_products(raw["products"], raw["category_translation"]),
+        "stg_leads": lambda: stg_leads(raw["marketing_qualified_leads"]),
+        "stg_closed_deals": lambda: stg_closed_deals(raw["closed_deals"]),
+    })

@@ -12,6 +12,7 @@ from pyspark.sql.types import DecimalType, IntegerType, ShortType
 
 from storepulse import session
 from storepulse.functions.calendar import date_dimension, holiday_flags, month_start
+from storepulse.functions.lazy import LazyTables
 from storepulse.operators import checks, forecast, funnel, marts, measures, quality, retention, staging
 from storepulse.plans.workspace import Workspace
 from storepulse.sources.raw import row_counts
@@ -287,7 +288,7 @@ def forecast_backtest(w):
 @query
 def forecast_backtest_by_status(w):
     summary, _ = forecast.backtest(_weekly_by_status(w), BASE, RULES, STATUS)
-    return plain(forecast.rounded_summary(summary))
+    return plain(forecast.rounded_summary(summary, STATUS))
 
 
 @query
@@ -323,9 +324,9 @@ def weekly_forecast_all_models(w):
 
 @query
 def calibrated_interval(w):
-    errors = forecast.backtest_errors(w.weekly, BASE, RULES)
+    summary, _ = forecast.backtest(w.weekly, BASE, RULES)
     points = forecast.forecasts(w.weekly, BASE, RULES.forecast_weeks, RULES).drop("resid_sd")
-    return plain(forecast.calibrated_interval(points, errors, RULES), 2)
+    return plain(forecast.calibrated_interval(points, summary, RULES), 2)
 
 
 @query
@@ -334,8 +335,7 @@ def holiday_multiplier(w):
 
 
 def _plan(w: Workspace, models, multiplier: DataFrame) -> DataFrame:
-    summary = forecast.rounded_summary(forecast.backtest(w.weekly, models, RULES)[0])
-    return forecast.monthly_plan(forecast.weekly_forecast(w.weekly, RULES, models), multiplier, summary)
+    return forecast.monthly_plan(forecast.best_forecast(w.weekly, RULES, models), multiplier)
 
 
 @query
@@ -474,14 +474,14 @@ def customer_churn_by_size(w):
 
 # --- measures ------------------------------------------------------------------------
 
-def _star(w: Workspace) -> dict[str, DataFrame]:
+def _star(w: Workspace) -> LazyTables:
     """Star tables as exported: order facts of the analysis window only."""
-    return {
-        "fct_orders": w.fct_orders.filter("in_analysis_window"),
-        "fct_lead_funnel": w.fct_lead_funnel,
-        "dim_customers": w.dim_customers,
-        "fct_seller_monthly": w.fct_seller_monthly,
-    }
+    return LazyTables({
+        "fct_orders": lambda: w.fct_orders.filter("in_analysis_window"),
+        "fct_lead_funnel": lambda: w.fct_lead_funnel,
+        "dim_customers": lambda: w.dim_customers,
+        "fct_seller_monthly": lambda: w.fct_seller_monthly,
+    })
 
 
 @query

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from storepulse.functions.calendar import dim_date
+from storepulse.functions.lazy import LazyTables
 from storepulse.operators import marts, quality, staging
 from storepulse.operators.forecast import weekly_series
 from storepulse.rules import Rules
@@ -23,7 +24,7 @@ class Workspace:
         self.rules = rules
 
     @cached_property
-    def staged(self) -> dict[str, DataFrame]:
+    def staged(self) -> LazyTables:
         return staging.stage_all(self.raw)
 
     @cached_property
@@ -108,11 +109,13 @@ class Workspace:
     def weekly(self) -> DataFrame:
         return weekly_series(self.fct_daily_revenue, self.rules)
 
-    def tables(self) -> dict[str, DataFrame]:
-        """All model tables by name (still lazy)."""
+    def tables(self) -> LazyTables:
+        """All model tables by name, built when first used."""
         names = (
             "fct_orders", "fct_daily_revenue", "dim_customers", "dim_sellers", "fct_seller_monthly",
             "fct_lead_funnel", "dim_date", "dq_payment_reconciliation", "dq_order_lifecycle_anomalies",
             "dq_orphan_keys", "dq_possible_duplicate_orders", "dq_volume_anomalies", "dq_summary", "dq_findings",
         )
-        return {**self.staged, **{name: getattr(self, name) for name in names}}
+        models = {name: partial(getattr, self, name) for name in names}
+        staged = {name: partial(self.staged.__getitem__, name) for name in self.staged}
+        return LazyTables({**staged, **models})

@@ -22,6 +22,10 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Static settings for sessions started here: recording the call site of every column
+# expression costs several JVM calls each.
+START_CONF = {"spark.ui.enabled": "false", "spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
@@ -47,11 +51,10 @@ def local_session(cpus: str | int | None = None, app: str = "storepulse") -> Spa
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
-        .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**START_CONF, **RUNTIME_CONF}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,10 +8,12 @@ stand for the faults that the quality checks look for.
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storepulse.functions.lazy import LazyTables
 from storepulse.rules import Rules
 
 # Rules for the benchmark tables: dates of that data, thresholds for its volume.
@@ -27,6 +29,20 @@ RULES = Rules(
     forecast_weeks=18,
 )
 
+# Columns of the benchmark tables that the adapter reads.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 # Event clock: one event hour is one day of the lead calendar.
 EVENT_START = "2024-01-01 00:00:00"
 LEAD_START = dt.date(2000, 12, 1)
@@ -64,9 +80,13 @@ class Source:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # The given schema saves a footer-reading job per table.
+        if name not in self._read:
+            self._read[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def orders(self) -> DataFrame:
         bought = F.col("o_orderdate")
@@ -192,22 +212,25 @@ class Source:
             .alias("declared_monthly_revenue"),
         )
 
-    def raw_text(self) -> dict[str, DataFrame]:
+    def raw(self) -> LazyTables:
+        return LazyTables({
+            "orders": self.orders,
+            "order_items": self.order_items,
+            "order_payments": self.order_payments,
+            "customers": self.customers,
+            "sellers": self.sellers,
+            "products": self.products,
+            "category_translation": self.category_translation,
+            "marketing_qualified_leads": self.marketing_qualified_leads,
+            "closed_deals": self.closed_deals,
+        })
+
+    def raw_text(self) -> LazyTables:
         """The raw tables as a CSV reader gives them: every column is text."""
-        return {
-            name: df.select([F.col(c).cast("string").alias(c) for c in df.columns])
-            for name, df in self.raw().items()
-        }
-
-    def raw(self) -> dict[str, DataFrame]:
-        return {
-            "orders": self.orders(),
-            "order_items": self.order_items(),
-            "order_payments": self.order_payments(),
-            "customers": self.customers(),
-            "sellers": self.sellers(),
-            "products": self.products(),
-            "category_translation": self.category_translation(),
-            "marketing_qualified_leads": self.marketing_qualified_leads(),
-            "closed_deals": self.closed_deals(),
-        }
+        raw = self.raw()
+
+        def as_text(name: str) -> DataFrame:
+            df = raw[name]
+            return df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+
+        return LazyTables({name: partial(as_text, name) for name in raw})
