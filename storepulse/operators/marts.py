@@ -152,12 +152,26 @@ def dim_customers(orders_fact: DataFrame, r: Rules) -> DataFrame:
     )
 
 
-def dim_sellers(sellers: DataFrame, sales: DataFrame, deals: DataFrame, r: Rules) -> DataFrame:
-    activity = sales.groupBy("seller_id").agg(
+def active_months(sales: DataFrame, entity: str) -> DataFrame:
+    """Entity x month, active months only: the base of all activity, churn and cohort results.
+
+    An order has one purchase time, so it belongs to one month and orders add up over months.
+    """
+    return sales.groupBy(entity, month_start("purchased_at").alias("month")).agg(
+        F.countDistinct("order_id").alias("orders"),
+        F.sum("item_price").cast(TOTAL).alias("item_revenue"),
         F.min("purchased_at").alias("first_sale_at"),
         F.max("purchased_at").alias("last_sale_at"),
-        F.countDistinct("order_id").alias("orders"),
-        F.sum("item_price").alias("item_revenue"),
+    )
+
+
+def dim_sellers(sellers: DataFrame, months: DataFrame, deals: DataFrame, r: Rules) -> DataFrame:
+    """Sellers with their activity and status; `months` comes from active_months."""
+    activity = months.groupBy("seller_id").agg(
+        F.min("first_sale_at").alias("first_sale_at"),
+        F.max("last_sale_at").alias("last_sale_at"),
+        F.sum("orders").alias("orders"),
+        F.sum("item_revenue").alias("item_revenue"),
     )
     signed = deals.select("seller_id", "mql_id")
     idle = day_boundaries(F.col("last_sale_at"), F.lit(r.analysis_end))
@@ -184,20 +198,12 @@ def dim_sellers(sellers: DataFrame, sales: DataFrame, deals: DataFrame, r: Rules
     )
 
 
-def active_months(sales: DataFrame, entity: str) -> DataFrame:
-    """Entity x month, active months only. The input of all churn and cohort measures."""
-    return sales.groupBy(entity, month_start("purchased_at").alias("month")).agg(
-        F.countDistinct("order_id").alias("orders"),
-        F.sum("item_price").cast(TOTAL).alias("item_revenue"),
-        F.min("purchased_at").alias("first_sale_at"),
-    )
-
-
-def activity_panel(sales: DataFrame, entity: str, r: Rules) -> DataFrame:
+def activity_panel(months: DataFrame, entity: str, r: Rules) -> DataFrame:
     """Entity x every month from the first sale to the end month."""
-    months = active_months(sales, entity).drop("first_sale_at")
-    months = months.filter(F.col("month") <= F.lit(r.end_month)).withColumn(
-        "cohort_month", F.min("month").over(Window.partitionBy(entity))
+    months = (
+        months.select(entity, "month", "orders", "item_revenue")
+        .filter(F.col("month") <= F.lit(r.end_month))
+        .withColumn("cohort_month", F.min("month").over(Window.partitionBy(entity)))
     )
     zeros = {"orders": 0, "item_revenue": 0}
     panel = gap_fill(months, "month", "month", r.end_month, [entity], zeros, real="is_active")
@@ -212,31 +218,28 @@ def activity_panel(sales: DataFrame, entity: str, r: Rules) -> DataFrame:
     )
 
 
-def fct_seller_monthly(sales: DataFrame, r: Rules) -> DataFrame:
-    return activity_panel(sales, "seller_id", r)
+def fct_seller_monthly(months: DataFrame, r: Rules) -> DataFrame:
+    return activity_panel(months, "seller_id", r)
 
 
-def fct_lead_funnel(leads: DataFrame, deals: DataFrame, sales: DataFrame, r: Rules) -> DataFrame:
+def fct_lead_funnel(leads: DataFrame, deals: DataFrame, months: DataFrame, r: Rules) -> DataFrame:
     """One row per lead: won, activated (any sale), retained (sales in enough months).
 
-    Only sellers named by a deal matter, so the sales are first reduced to them.
+    Only sellers named by a deal matter, so their months are picked first; Spark moves
+    that filter below the aggregation and the join that make `months`.
     """
     signed = deals.select("seller_id").filter(F.col("seller_id").isNotNull()).distinct()
     counted = F.col("month") <= F.lit(r.end_month)
-    sellers = (
-        active_months(sales.join(signed, "seller_id", "left_semi"), "seller_id")
-        .groupBy("seller_id")
-        .agg(
-            F.min("first_sale_at").alias("first_sale_at"),
-            F.count(F.when(counted, 1)).alias("active_months"),
-            F.sum(F.when(counted, F.col("item_revenue"))).alias("seller_item_revenue"),
-        )
+    sellers = months.join(signed, "seller_id", "left_semi").groupBy("seller_id").agg(
+        F.min("first_sale_at").alias("first_sale_at"),
+        F.count(F.when(counted, 1)).alias("active_months"),
+        F.sum(F.when(counted, F.col("item_revenue"))).alias("seller_item_revenue"),
     )
     deal = deals.select(
         "mql_id", "seller_id", "won_at", "business_segment", "lead_type", "business_type",
         F.lit(True).alias("_deal"),
     )
-    months = _zero("active_months", "bigint")
+    sold_months = _zero("active_months", "bigint")
     won_day, sale_day = day("won_at"), day("first_sale_at")
     return leads.join(deal, "mql_id", "left").join(sellers, "seller_id", "left").select(
         "mql_id",
@@ -250,11 +253,11 @@ def fct_lead_funnel(leads: DataFrame, deals: DataFrame, sales: DataFrame, r: Rul
         "lead_type",
         "business_type",
         "first_sale_at",
-        months.alias("active_months"),
+        sold_months.alias("active_months"),
         _zero("seller_item_revenue", TOTAL).alias("seller_item_revenue"),
         F.col("_deal").isNotNull().alias("is_won"),
         F.col("first_sale_at").isNotNull().alias("is_activated"),
-        (months >= r.retained_months).alias("is_retained"),
+        (sold_months >= r.retained_months).alias("is_retained"),
         day_boundaries(F.col("first_contact_date"), won_day).alias("days_to_close"),
         day_boundaries(won_day, sale_day).alias("days_won_to_first_sale"),
     )

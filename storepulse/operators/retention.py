@@ -210,10 +210,10 @@ def churn_by_size(sellers: DataFrame, r: Rules) -> DataFrame:
     )
 
 
-def entity_status(sales: DataFrame, entity: str, r: Rules) -> DataFrame:
+def entity_status(months: DataFrame, entity: str, r: Rules) -> DataFrame:
     """Lifecycle status of every entity with a sale: the input of churn_by_size for any entity."""
-    activity = sales.groupBy(entity).agg(
-        F.max("purchased_at").alias("last_sale_at"), F.countDistinct("order_id").alias("orders")
+    activity = months.groupBy(entity).agg(
+        F.max("last_sale_at").alias("last_sale_at"), F.sum("orders").alias("orders")
     )
     idle = F.datediff(F.lit(r.analysis_end), F.col("last_sale_at").cast("date"))
     return activity.select(

@@ -113,7 +113,7 @@ def fct_seller_monthly(w):
 
 @query
 def fct_customer_monthly(w):
-    return plain(marts.activity_panel(w.customer_sales, "customer_unique_id", RULES))
+    return plain(marts.activity_panel(w.customer_months, "customer_unique_id", RULES))
 
 
 @query
@@ -399,7 +399,7 @@ def _customer_cohorts(w: Workspace) -> DataFrame:
 
 
 def _seller_months(w: Workspace) -> DataFrame:
-    return marts.active_months(w.seller_sales, "seller_id").filter(F.col("month") <= F.lit(RULES.end_month))
+    return w.seller_months.filter(F.col("month") <= F.lit(RULES.end_month))
 
 
 @query
@@ -468,7 +468,7 @@ def seller_churn_by_size(w):
 
 @query
 def customer_churn_by_size(w):
-    status = retention.entity_status(w.customer_sales, "customer_unique_id", RULES)
+    status = retention.entity_status(w.customer_months, "customer_unique_id", RULES)
     return plain(retention.churn_by_size(status, RULES))
 
 

@@ -42,6 +42,14 @@ class Workspace:
     def customer_sales(self) -> DataFrame:
         return marts.customer_sales(self.fct_orders)
 
+    @cached_property
+    def seller_months(self) -> DataFrame:
+        return marts.active_months(self.seller_sales, "seller_id")
+
+    @cached_property
+    def customer_months(self) -> DataFrame:
+        return marts.active_months(self.customer_sales, "customer_unique_id")
+
     @cached_property
     def fct_daily_revenue(self) -> DataFrame:
         return marts.fct_daily_revenue(self.fct_orders, self.rules)
@@ -53,16 +61,16 @@ class Workspace:
     @cached_property
     def dim_sellers(self) -> DataFrame:
         s = self.staged
-        return marts.dim_sellers(s["stg_sellers"], self.seller_sales, s["stg_closed_deals"], self.rules)
+        return marts.dim_sellers(s["stg_sellers"], self.seller_months, s["stg_closed_deals"], self.rules)
 
     @cached_property
     def fct_seller_monthly(self) -> DataFrame:
-        return marts.fct_seller_monthly(self.seller_sales, self.rules)
+        return marts.fct_seller_monthly(self.seller_months, self.rules)
 
     @cached_property
     def fct_lead_funnel(self) -> DataFrame:
         s = self.staged
-        return marts.fct_lead_funnel(s["stg_leads"], s["stg_closed_deals"], self.seller_sales, self.rules)
+        return marts.fct_lead_funnel(s["stg_leads"], s["stg_closed_deals"], self.seller_months, self.rules)
 
     @cached_property
     def dim_date(self) -> DataFrame:
