@@ -77,9 +77,9 @@ def gap_fill(
 
 def date_dimension(bounds: DataFrame) -> DataFrame:
     """Calendar table for a one-row frame with columns `start` and `end`."""
-    days = bounds.filter(F.col("start") <= F.col("end")).select(
-        F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("date")
-    )
+    # A sequence that runs backwards is an error in Spark; here it means an empty calendar.
+    whole = F.when(F.col("start") <= F.col("end"), F.sequence("start", "end", F.expr("interval 1 day")))
+    days = bounds.select(F.explode(whole).alias("date"))
     return days.select(
         "date",
         F.year("date").cast("bigint").alias("year"),

@@ -1,0 +1,81 @@
+"""Build small frames in the staged schemas from short tuples."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+ORDERS = (
+    "order_id string, customer_id string, order_status string, purchased_at timestamp_ntz, approved_at timestamp_ntz, "
+    "shipped_at timestamp_ntz, delivered_at timestamp_ntz, estimated_delivery_at timestamp_ntz"
+)
+ITEMS = (
+    "order_id string, order_item_id int, product_id string, seller_id string, shipping_limit_at timestamp_ntz, "
+    "item_price decimal(12,2), freight_value decimal(12,2)"
+)
+PAYMENTS = (
+    "order_id string, payment_sequential int, payment_type string, payment_installments int, "
+    "payment_value decimal(12,2)"
+)
+CUSTOMERS = "customer_id string, customer_unique_id string, zip_prefix string, city string, state string"
+SELLERS = "seller_id string, zip_prefix string, city string, state string"
+DEALS = (
+    "mql_id string, seller_id string, sdr_id string, sr_id string, won_at timestamp_ntz, business_segment string, "
+    "lead_type string, business_type string, declared_monthly_revenue double"
+)
+LEADS = "mql_id string, first_contact_date date, landing_page_id string, origin string"
+
+
+def at(text: str | None) -> dt.datetime | None:
+    return dt.datetime.fromisoformat(text) if text else None
+
+
+def d(text: str) -> dt.date:
+    return dt.date.fromisoformat(text)
+
+
+def orders(spark, rows):
+    """rows: (id, customer, status, purchased[, approved, shipped, delivered])"""
+    full = []
+    for r in rows:
+        times = [at(t) for t in r[3:]] + [None] * (8 - len(r))
+        full.append((*r[:3], *times))
+    return spark.createDataFrame(full, ORDERS)
+
+
+def items(spark, rows):
+    """rows: (order, seller, price, freight)"""
+    return spark.createDataFrame(
+        [(o, i + 1, "p1", s, None, Decimal(str(p)), Decimal(str(f))) for i, (o, s, p, f) in enumerate(rows)], ITEMS)
+
+
+def payments(spark, rows):
+    """rows: (order, type, value[, instalments])"""
+    return spark.createDataFrame(
+        [(r[0], i + 1, r[1], r[3] if len(r) > 3 else 1, None if r[2] is None else Decimal(str(r[2])))
+         for i, r in enumerate(rows)], PAYMENTS)
+
+
+def customers(spark, rows):
+    """rows: (customer, person, state)"""
+    return spark.createDataFrame([(c, p, "1", "x", s) for c, p, s in rows], CUSTOMERS)
+
+
+def sellers(spark, names):
+    return spark.createDataFrame([(s, "1", "x", "SP") for s in names], SELLERS)
+
+
+def deals(spark, rows):
+    """rows: (lead, seller, won)"""
+    return spark.createDataFrame([(m, s, "a", "b", at(w), "seg", "t", "t", None) for m, s, w in rows], DEALS)
+
+
+def leads(spark, rows):
+    """rows: (lead, contact[, origin])"""
+    return spark.createDataFrame(
+        [(r[0], d(r[1]), "lp", r[2] if len(r) > 2 else "email") for r in rows], LEADS)
+
+
+def rows(df, *columns):
+    """Sorted list of tuples of some columns."""
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)

@@ -1,0 +1,217 @@
+import datetime as dt
+import math
+from dataclasses import replace
+
+import numpy as np
+import pytest
+from helpers import d, rows
+
+from storepulse.functions.fitting import damped_trend, least_squares, trend_design
+from storepulse.operators import forecast
+from storepulse.rules import Rules
+
+R = Rules()
+MONDAY = dt.date(2017, 1, 2)
+
+
+def series(spark, values, key=None, start=MONDAY):
+    data = [(start + dt.timedelta(weeks=i), float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "week date, value double")
+    return df.selectExpr(f"'{key}' as key", "week", "value") if key else df
+
+
+def test_weekly_series_drops_incomplete_weeks(spark):
+    days = [(MONDAY + dt.timedelta(days=i - 3), 1.0) for i in range(3 + 14 + 6)]
+    daily = spark.createDataFrame(days, "order_date date, gross_revenue double")
+    got = rows(forecast.weekly_series(daily, R), "week", "value")
+    assert got == [(MONDAY, 7.0), (MONDAY + dt.timedelta(weeks=1), 7.0)]
+
+
+def test_unknown_model(spark):
+    with pytest.raises(ValueError, match="prophet"):
+        forecast.forecasts(series(spark, [1, 2]), ["prophet"], 2, R)
+
+
+def test_baselines_and_interval(spark):
+    values = [10, 20, 30, 40, 60, 50]
+    got = {(m, s): (w, p, sd, lo, hi) for m, s, w, p, sd, lo, hi in rows(
+        forecast.residual_interval(forecast.forecasts(series(spark, values), forecast.BASELINES, 4, R), R),
+        "model", "step", "week", "forecast", "resid_sd", "lower_80", "upper_80")}
+    assert len(got) == 8
+    week, point, sd, low, high = got["naive", 4]
+    assert week == MONDAY + dt.timedelta(weeks=9) and point == 50.0
+    assert sd == pytest.approx(np.std(np.diff(values)))
+    assert low == pytest.approx(50 - 1.2816 * sd * 2) and high == pytest.approx(50 + 1.2816 * sd * 2)
+    _, point, sd, _, _ = got["ma4", 1]
+    assert point == 45.0 and sd == pytest.approx(np.std([60 - 25, 50 - 37.5]))
+
+
+def test_interval_uses_the_last_residuals_and_stops_at_zero(spark):
+    values = [0, 1000] + [5] * 40
+    point = forecast.residual_interval(forecast.forecasts(series(spark, values), ["naive"], 1, R), R).first()
+    assert point.resid_sd == 0.0
+    wild = forecast.residual_interval(forecast.forecasts(series(spark, [1, 900, 1]), ["naive"], 1, R), R).first()
+    assert wild.lower_80 == 0.0
+
+
+def test_folds(spark):
+    folds = forecast.rolling_origin_folds(series(spark, range(1, 31)), R)
+    assert folds.select("fold").distinct().count() == 10
+    for fold, cut in ((1, 26), (10, 8)):
+        part = folds.filter(f"fold = {fold}")
+        assert part.filter("not is_test").count() == cut
+        assert rows(part.filter("is_test"), "step", "value") == [(s, float(cut + s)) for s in range(1, 5)]
+    short = forecast.rolling_origin_folds(series(spark, range(1, 9)), R)
+    assert rows(short.select("fold").distinct(), "fold") == [(1,), (2,)]
+
+
+def brute_force(values, folds=10, h=4, step=2):
+    """Baseline backtest in plain Python."""
+    out = {}
+    for name in ("naive", "ma4"):
+        err = act = 0.0
+        periods, singles = [], []
+        for k in range(folds, 0, -1):
+            cut = len(values) - h - (k - 1) * step
+            if cut < 1:
+                continue
+            p = values[cut - 1] if name == "naive" else float(np.mean(values[max(0, cut - 4):cut]))
+            test = np.array(values[cut:cut + h], float)
+            err, act = err + np.abs(test - p).sum(), act + test.sum()
+            periods.append((test.sum() - h * p) / (h * p))
+            singles += list((test - p) / p)
+        out[name] = [100 * err / act, *np.quantile(periods, [0.1, 0.9]), *np.quantile(singles, [0.1, 0.9])]
+    return out
+
+
+SUMMARY = ("wape_pct", "period_err_p10", "period_err_p90", "step_err_p10", "step_err_p90")
+
+
+def test_backtest_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    first, second = rng.uniform(50, 150, 60), rng.uniform(10, 20, 25)
+    both = series(spark, first, "a").unionByName(series(spark, second, "b"))
+    summary, errors = forecast.backtest(both, forecast.BASELINES, R, ["key"])
+    assert errors.count() == 2 * 2 * 10 * 4
+    for key, values in (("a", first), ("b", second)):
+        want = brute_force(list(values))
+        for row in summary.filter(f"key = '{key}'").collect():
+            assert [row[c] for c in SUMMARY] == pytest.approx(want[row.model])
+    best = dict(rows(forecast.select_best_model(summary, ["key"]), "key", "model"))
+    for key, values in (("a", first), ("b", second)):
+        want = brute_force(list(values))
+        assert best[key] == min(want, key=lambda m: want[m][0])
+
+
+def test_constant_series_has_no_error(spark):
+    summary, _ = forecast.backtest(series(spark, [100] * 30), forecast.BASELINES, R)
+    assert rows(summary, "model", "wape_pct") == [("ma4", 0.0), ("naive", 0.0)]
+    assert forecast.select_best_model(summary).first().model == "ma4"
+
+
+def test_all_models_on_a_trend(spark):
+    values = [1000 * math.exp(0.01 * i) for i in range(60)]
+    summary, _ = forecast.backtest(series(spark, values), forecast.MODELS, R)
+    wape = dict(rows(summary, "model", "wape_pct"))
+    assert wape["reg_trend"] < 0.01 and wape["reg_trend"] < wape["ma4"] and wape["holt_damped"] < wape["naive"]
+    assert forecast.select_best_model(summary).first().model == "reg_trend"
+    weekly = forecast.weekly_forecast(series(spark, values), R)
+    assert weekly.count() == R.forecast_weeks and {r.model for r in weekly.collect()} == {"reg_trend"}
+
+
+def test_log_models_skip_series_with_zero_weeks(spark):
+    both = series(spark, [5] * 30 + [0] * 2 + [5] * 10, "zero").unionByName(series(spark, range(1, 43), "fine"))
+    summary, _ = forecast.backtest(both, forecast.MODELS, R, ["key"])
+    models = {}
+    for key, model in rows(summary, "key", "model"):
+        models.setdefault(key, []).append(model)
+    assert models == {"zero": ["ma4", "naive"], "fine": ["holt_damped", "ma4", "naive", "reg_trend"]}
+    assert forecast.holiday_multiplier(both, ["key"]).count() == 1
+
+
+def test_regression_recovers_exact_coefficients(spark):
+    n = 60
+    flags = np.zeros((n, 2))
+    flags[46, 0] = 1.0
+    y = trend_design(n, flags) @ np.array([2.0, 0.01, 0.3, 0.8, 0.0])
+    start = dt.date(2017, 1, 2)
+    assert start + dt.timedelta(weeks=46) == dt.date(2017, 11, 20)
+    got = forecast.holiday_multiplier(series(spark, np.exp(y))).first()
+    assert got.multiplier == pytest.approx(math.exp(0.8), rel=1e-6)
+    coef = least_squares(trend_design(30, np.zeros((30, 2))), y[:30])
+    assert coef[3] == pytest.approx(0.0, abs=1e-9) and coef[:3] == pytest.approx([2.0, 0.01, 0.3])
+
+
+def test_damped_trend_recovers_a_noiseless_series():
+    level, trend, phi, values = 5.0, 0.2, 0.9, []
+    for _ in range(50):
+        level, trend = level + phi * trend, phi * trend
+        values.append(level)
+    fitted, ahead = damped_trend(np.array(values[:40]), 10)
+    assert ahead == pytest.approx(values[40:], rel=0.01)
+    assert fitted == pytest.approx(values[:40], rel=0.01)
+
+
+def _sse(y, alpha, beta, phi):
+    """Plain recursion with the best start state found by lstsq on three runs."""
+    def run(data, l, b):
+        out = []
+        for v in data:
+            p = l + phi * b
+            out.append(p)
+            new = alpha * v + (1 - alpha) * p
+            b = beta * (new - l) + (1 - beta) * phi * b
+            l = new
+        return np.array(out)
+
+    zero = np.zeros_like(y)
+    base, du, dv = run(y, 0, 0), run(zero, 1, 0), run(zero, 0, 1)
+    sol = np.linalg.lstsq(np.column_stack([du, dv]), y - base, rcond=None)[0]
+    return float(((y - base - du * sol[0] - dv * sol[1]) ** 2).sum())
+
+
+def test_damped_trend_is_near_the_best_of_a_fine_grid():
+    rng = np.random.default_rng(3)
+    y = 10 + np.cumsum(rng.normal(0.02, 0.1, 70)) + rng.normal(0, 0.05, 70)
+    fitted, _ = damped_trend(y, 4)
+    ours = float(((y - fitted) ** 2).sum())
+    grid = [_sse(y, a, b * a, p) for a in np.linspace(0.02, 0.98, 17) for b in np.linspace(0.01, 1, 9)
+            for p in np.linspace(0.8, 0.995, 7)]
+    assert ours <= min(grid) * 1.0001
+
+
+# Published results that contain their own inputs.
+PLAN = {"2018-09-01": (1305741, 1305741, 1122938, 1565584), "2018-10-01": (1349266, 1349266, 1160369, 1617770),
+        "2018-11-01": (1305741, 1692048, 1455161, 2028765)}
+BAND = {1: (238561, 404854), 4: (238561, 404854), 5: (230758, 416679), 10: (200142, 463073), 15: (176649, 498673)}
+
+
+def test_published_plan_and_band(spark):
+    first = d("2018-08-20")
+    points = spark.createDataFrame(
+        [("ma4", i + 1, first + dt.timedelta(weeks=i), 304673.0) for i in range(15)],
+        "model string, step int, week date, forecast double")
+    summary = spark.createDataFrame(
+        [("ma4", 16.357, -0.14, 0.199, -0.2169933, 0.3288148)],
+        "model string, " + ", ".join(f"{c} double" for c in SUMMARY))
+    band = forecast.calibrated_interval(points, summary, R)
+    for step, low, high in rows(band, "step", "lower_80", "upper_80"):
+        if step in BAND:
+            assert (low, high) == pytest.approx(BAND[step], abs=2)
+    best = band.selectExpr("*", "-0.14D as period_err_p10", "0.199D as period_err_p90")
+    plan = forecast.monthly_plan(best, spark.createDataFrame([(2.26794,)], "multiplier double"))
+    got = {str(r.month): (r.base, r.base_with_uplift, r.low_p10, r.high_p90) for r in plan.collect()}
+    assert got.keys() == PLAN.keys()
+    for month, want in PLAN.items():
+        assert got[month] == pytest.approx(want, abs=2)
+
+
+def test_keyed_forecast_and_plan(spark):
+    rng = np.random.default_rng(1)
+    both = series(spark, rng.uniform(50, 60, 85), "a").unionByName(series(spark, rng.uniform(500, 900, 85), "b"))
+    r = replace(R, forecast_weeks=8)
+    best = forecast.best_forecast(both, r, keys=["key"])
+    counts = dict(rows(best.groupBy("key").count(), "key", "count"))
+    assert counts == {"a": 8, "b": 8}
+    plan = forecast.monthly_plan(best, forecast.holiday_multiplier(both, ["key"]), ["key"])
+    assert {r.key for r in plan.collect()} == {"a", "b"}
