@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.calendar import holiday_flags, week_start
@@ -27,6 +27,13 @@ FITTED = ("holt_damped", "reg_trend")
 MODELS = BASELINES + FITTED
 
 
+def relative_error(actual: Column, predicted: Column) -> Column:
+    """(actual - predicted) / predicted. A forecast of zero misses a sale by an infinite share,
+    and gives NULL, which quantiles skip, when nothing was sold."""
+    miss = actual - predicted
+    return F.when(predicted != 0, miss / predicted).when(miss != 0, F.signum(miss) * F.lit(float("inf")))
+
+
 def weekly_series(daily: DataFrame, r: Rules, value: str = "gross_revenue", keys: Sequence[str] = ()) -> DataFrame:
     """Sum a gap-free daily table into Monday weeks; incomplete weeks are left out."""
     weeks = (
@@ -226,7 +233,7 @@ def backtest_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Se
     if fitted:
         parts.append(_fitted_errors(series, fitted, r, keys).select(columns))
     errors = reduce(DataFrame.unionByName, parts)
-    return errors.withColumn("pct_err", ratio(F.col("actual") - F.col("forecast"), F.col("forecast")))
+    return errors.withColumn("pct_err", relative_error(F.col("actual"), F.col("forecast")))
 
 
 def backtest_summary(errors: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
@@ -234,7 +241,7 @@ def backtest_summary(errors: DataFrame, r: Rules, keys: Sequence[str] = ()) -> D
     whole test periods, and the step_err_* quantiles of single weeks."""
     fold = Window.partitionBy(*keys, "model", "fold")
     total, predicted = F.sum("actual").over(fold), F.sum("forecast").over(fold)
-    scored = errors.withColumn("_period", F.when(F.col("step") == 1, ratio(total - predicted, predicted)))
+    scored = errors.withColumn("_period", F.when(F.col("step") == 1, relative_error(total, predicted)))
     out = scored.groupBy(*keys, "model").agg(
         ratio(F.lit(100.0) * F.sum(F.abs(F.col("actual") - F.col("forecast"))), F.sum("actual")).alias("wape_pct"),
         interpolated("_period", r.interval_probs).alias("period"),

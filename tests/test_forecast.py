@@ -103,6 +103,11 @@ def test_backtest_against_brute_force(spark):
         assert best[key] == min(want, key=lambda m: want[m][0])
 
 
+def test_zero_forecasts(spark):
+    errors = forecast.backtest_errors(series(spark, [5] * 20 + [0] * 4 + [0, 3, 0, 0]), ["naive"], R).filter("fold = 1")
+    assert rows(errors, "step", "pct_err") == [(1, None), (2, float("inf")), (3, None), (4, None)]
+
+
 def test_constant_series_has_no_error(spark):
     summary, _ = forecast.backtest(series(spark, [100] * 30), forecast.BASELINES, R)
     assert rows(summary, "model", "wape_pct") == [("ma4", 0.0), ("naive", 0.0)]
