@@ -17,7 +17,9 @@ from storepulse.functions.calendar import (
 )
 from storepulse.rules import Rules
 
-TOTAL = "decimal(18,2)"
+# Order totals leave one digit free, so that the sum of two of them still fits the 18
+# digits that Spark keeps in a plain long; larger amounts raise instead of wrapping.
+TOTAL = "decimal(17,2)"
 
 
 def earns_revenue(status: Column, r: Rules) -> Column:
@@ -32,7 +34,7 @@ def in_window(purchased_at: Column, r: Rules) -> Column:
 
 
 def _zero(column: str, kind: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(0)).cast(kind)
+    return F.coalesce(F.col(column).cast(kind), F.lit(0).cast(kind))
 
 
 def item_totals(items: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def fct_orders(
         .join(item_totals(items), "order_id", "left")
         .join(payment_totals(payments), "order_id", "left")
     )
-    gross = (_zero("item_revenue", TOTAL) + _zero("freight_revenue", TOTAL)).cast(TOTAL)
+    gross = _zero("item_revenue", TOTAL) + _zero("freight_revenue", TOTAL)
     return joined.select(
         "order_id",
         "customer_id",
@@ -225,8 +227,9 @@ def fct_seller_monthly(months: DataFrame, r: Rules) -> DataFrame:
 def fct_lead_funnel(leads: DataFrame, deals: DataFrame, months: DataFrame, r: Rules) -> DataFrame:
     """One row per lead: won, activated (any sale), retained (sales in enough months).
 
-    Only sellers named by a deal matter, so their months are picked first; Spark moves
-    that filter below the aggregation and the join that make `months`.
+    Only sellers named by a deal matter, so their months are picked first; when the deals
+    are small enough to broadcast, Spark moves that filter below the aggregation and the
+    join that make `months`, so other sellers' lines are dropped at the scan.
     """
     signed = deals.select("seller_id").filter(F.col("seller_id").isNotNull()).distinct()
     counted = F.col("month") <= F.lit(r.end_month)
