@@ -216,6 +216,9 @@ def _baseline_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: S
 def _fitted_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str]) -> DataFrame:
     folds = rolling_origin_folds(series, r, keys).filter("positive")
     rows = folds.withColumn("step", F.coalesce("step", F.lit(0)))
+    if not keys:
+        # One series sits in one partition; its folds can be fitted side by side.
+        rows = rows.repartition(r.folds, "fold")
     return _fitted(rows, models, r, [*keys, "fold"])
 
 

@@ -7,7 +7,6 @@ cluster already started. Partition counts and memory stay the cluster's choice.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -33,18 +32,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediates: the cluster's, else a local one for tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="storepulse-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
-
-
 def local_session(cpus: str | int | None = None, app: str = "storepulse") -> SparkSession:
     """Single-machine session for tests and the bench."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")

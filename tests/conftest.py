@@ -12,5 +12,6 @@ from storepulse.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cpus=8, app="storepulse-tests")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -79,3 +79,8 @@ def leads(spark, rows):
 def rows(df, *columns):
     """Sorted list of tuples of some columns."""
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def plan(df):
+    """Physical plan as text."""
+    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin, on the smallest data folder."""
 
 import pytest
+from helpers import plan
 from oracle_compare import compare, connect
 
 from storepulse.plans import oracle, registry
@@ -13,6 +14,13 @@ SEARCHED = {
     "forecast_holt_damped", "forecast_backtest_all_models", "weekly_forecast_all_models", "monthly_plan_fitted",
 }
 
+# Queries with a fitted model; all others must stay in the JVM.
+FITTED = {
+    "forecast_holt_damped", "forecast_reg_trend", "forecast_backtest", "forecast_backtest_all_models",
+    "backtest_step_errors", "select_best_model", "weekly_forecast", "weekly_forecast_all_models", "calibrated_interval",
+    "holiday_multiplier", "monthly_plan", "monthly_plan_fitted", "revenue_vs_forecast_weekly",
+}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -27,6 +35,9 @@ def test_every_query_has_sql_unless_searched():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    assert ("Pandas" in text or "Python" in text) == (name in FITTED)
     got = df.toPandas()
     if name in SQL:
         described = duck.execute(f"describe {SQL[name]}").fetchall()

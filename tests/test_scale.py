@@ -3,14 +3,13 @@
 import re
 from contextlib import contextmanager
 
-import pytest
-from helpers import customers, items, orders, payments, rows
+from pyspark.sql import functions as F
+from helpers import customers, items, orders, payments, plan, rows
 
 from storepulse.operators import marts, quality, retention
-from storepulse.plans import registry
 from storepulse.plans.registry import BenchmarkWorkspace
 from storepulse.rules import Rules
-from pyspark.sql import functions as F
+
 
 FOLDER = "/root/testdata/sf0.001"
 R = Rules()
@@ -29,25 +28,6 @@ def conf(spark, **settings):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-FITTED = {
-    "forecast_holt_damped", "forecast_reg_trend", "forecast_backtest", "forecast_backtest_all_models",
-    "backtest_step_errors", "select_best_model", "weekly_forecast", "weekly_forecast_all_models", "calibrated_interval",
-    "holiday_multiplier", "monthly_plan", "monthly_plan_fitted", "revenue_vs_forecast_weekly",
-}
-
-
-@pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_no_cross_join_and_python_only_for_fits(spark, name):
-    with conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        text = plan(registry.queries()[name](spark, FOLDER))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
-    assert ("Pandas" in text or "Python" in text) == (name in FITTED)
-
-
 def test_daily_revenue_reads_no_payments_and_few_columns(spark):
     text = re.sub(r"#\d+L?", "", plan(BenchmarkWorkspace(spark, FOLDER).fct_daily_revenue))
     columns = set(re.findall(r"\bl_\w+", text))
