@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse import session
-from storepulse.llm import urls, warc
+from storepulse.llm import bpe, repair, urls, warc
 from storepulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Vocabulary files are a parameter of the operators; the queries name the installed ones.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -24,6 +27,21 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_repair_files(spark, sf_dir):
+    return repair.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op2_bpe_forced_boundaries(spark, sf_dir):
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op8_url_trees(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
