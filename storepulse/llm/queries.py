@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse import session
-from storepulse.llm import bpe, repair, urls, warc
-from storepulse.llm.common import table
+from storepulse.llm import bpe, langid, mixing, repair, urls, warc
+from storepulse.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Vocabulary files are a parameter of the operators; the queries name the installed ones.
@@ -42,6 +42,21 @@ def op2_bpe_forced_boundaries(spark, sf_dir):
     )
 
 
+@query
+def op3_subset_sum_mix(spark, sf_dir):
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_language_hierarchy(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.filter(~held_out))
+    return langid.with_language(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+    )
+
+
 @query
 def op8_url_trees(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
