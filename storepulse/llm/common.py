@@ -34,6 +34,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*places).select(*(F.col(places[i]).alias(n) for i, n in zip(found, names)))
 
 
+def tucked(df: DataFrame, **taken: str) -> DataFrame:
+    """`row`, a struct of all columns as they were, and the columns in `taken` under new names.
+
+    Helper columns can then be added freely; `row.*` gives the rows back unchanged.
+    """
+    places = [f"c{i}" for i in range(len(df.columns))]
+    row = F.struct(*(F.col(p).alias(name) for p, name in zip(places, df.columns)))
+    return df.toDF(*places).select(
+        row.alias("row"), *(F.col(places[df.columns.index(name)]).alias(new) for new, name in taken.items())
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import pick, small_batches
+from storepulse.llm.common import pick, small_batches, tucked
 
 # Families of languages by code.
 FAMILIES = {
@@ -205,11 +205,23 @@ def predicted(model: LanguageModel, text: Column) -> Column:
     return guess(text)
 
 
-def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Adds lang_pred and lang_score; texts without a letter are und."""
-    written = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    found = docs.withColumn("lang_found", predicted(model, F.when(written, F.col(text))))
+def _identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """Adds lang_pred and lang_score from `body`; texts without a letter are und."""
+    written = F.coalesce(F.col("body").rlike(r"\p{L}"), F.lit(False))
+    found = rows.withColumn("found", predicted(model, F.when(written, F.col("body"))))
     return found.withColumns({
-        "lang_pred": F.when(written, F.col("lang_found.lang")).otherwise("und"),
-        "lang_score": F.when(written, F.col("lang_found.score")).otherwise(0.0),
-    }).drop("lang_found")
+        "lang_pred": F.when(written, F.col("found.lang")).otherwise("und"),
+        "lang_score": F.when(written, F.col("found.score")).otherwise(0.0),
+    })
+
+
+def identified(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, lang_score)."""
+    rows = pick(docs, key, text).select(F.struct(key).alias("row"), F.col(text).alias("body"))
+    return _identify(rows, model).select("row.*", "lang_pred", "lang_score")
+
+
+def in_known_language(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows whose language is known well enough, as they were; und rows go."""
+    found = _identify(tucked(docs, body=text), model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score)).select("row.*")

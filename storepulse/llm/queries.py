@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse import session
-from storepulse.llm import bpe, langid, mixing, repair, urls, warc
+from storepulse.llm import bpe, langid, mixing, repair, toxicity, urls, warc
 from storepulse.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,12 +47,24 @@ def op3_subset_sum_mix(spark, sf_dir):
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+@query
+def op6_toxicity_trees(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    learn = labels.select("doc_id", F.col("toxic").alias("label")).filter(F.col("doc_id").isNotNull() & ~held_out)
+    model = toxicity.fit(docs, learn)
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op7_language_hierarchy(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents")
     held_out = crc_fold(F.col("doc_id"), 3) == 1
     model = langid.fit(docs.filter(~held_out))
-    return langid.with_language(docs, model).select(
+    return langid.identified(docs, model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
     )
 
