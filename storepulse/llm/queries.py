@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse import session
-from storepulse.llm import bpe, langid, mixing, repair, toxicity, urls, warc
+from storepulse.llm import bpe, langid, mixing, repair, subspace, toxicity, urls, vptree, warc
 from storepulse.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,56 @@ def op3_subset_sum_mix(spark, sf_dir):
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+@query
+def op4_subspace_near_duplicates(spark, sf_dir):
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# A vector takes part when it is there, finite and not zero; sums run in the order of the components.
+_VECTORS = """
+    select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+    where embedding is not null and len(embedding) > 0 and vec_id is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
+"""
+_DOT = "list_reduce(list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i]), lambda s, x: s + x)"
+
+_SQL["op4_subspace_near_duplicates"] = f"""
+with recursive vectors as ({_VECTORS}),
+normed as (select vec_id, v, sqrt({_DOT.format("v", "v")}) as norm from vectors),
+links as (
+    select a.vec_id as a, b.vec_id as b from normed a join normed b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where {_DOT.format("a.v", "b.v")} / (a.norm * b.norm) >= 0.9
+),
+reach as (
+    select vec_id as a, vec_id as b from embeddings
+    union
+    select r.a, l.b from reach r join links l on l.a = r.b
+),
+component as (select a as vec_id, min(b) as component_id from reach group by a)
+select e.vec_id, (select count(*) from links where links.a = e.vec_id) as n_links, c.component_id,
+       e.vec_id = c.component_id as kept
+from embeddings e join component c using (vec_id)
+"""
+
+
+@query
+def op5_vantage_point_search(spark, sf_dir):
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+_SQL["op5_vantage_point_search"] = f"""
+with vectors as ({_VECTORS}),
+scored as (
+    select q.vec_id as query_id, c.vec_id, {_DOT.format("q.v", "c.v")} as score
+    from vectors q join vectors c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+    where q.vec_id % 20 = 0
+),
+placed as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+select query_id, rank, vec_id, score from placed where rank <= 20
+"""
+
+
 @query
 def op6_toxicity_trees(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
