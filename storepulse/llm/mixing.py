@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import WORD, pick, stored
+from storepulse.llm.common import WORD, pick, stored, tucked
 
 FIT = "source string, size long, source_size long, target double, copies int, n long, extra long"
 
@@ -107,7 +107,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack_word
 
 
 def mix(docs: DataFrame, options: MixOptions = MixOptions(), key: str = "doc_id") -> DataFrame:
-    """(key, size, source_size, target, copies): how often the mix takes each document."""
+    """(key, source, size, source_size, target, copies): how often the mix takes each document."""
     seed, knapsack = options.seed, options.knapsack_words
     cap = options.cap
     sized = stored(
@@ -149,7 +149,28 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions(), key: str = "doc_id"
         F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("slice") == F.col("s_slice")),
     )
     chosen = (F.col("before") + F.col("place") <= F.col("extra")).cast("int")
-    return ranked.select(key, "size", "source_size", "target", (F.col("copies") + chosen).alias("copies"))
+    return ranked.select(key, "source", "size", "source_size", "target", (F.col("copies") + chosen).alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, options: MixOptions = MixOptions(), key: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it.
+
+    Rows are matched by id, source and size; rows that share all three are numbered on both
+    sides, since the mix treats them alike.
+    """
+    alike = ("key", "source", "size")
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy("tie"))
+    taken = mix(docs, options, key).select(F.col(key).alias("key"), "source", "size", "copies")
+    taken = taken.withColumn("tie", F.col("copies")).withColumn("place", place).filter("copies > 0").alias("t")
+    rows = tucked(docs, key=key, source="source", text="text")
+    rows = rows.select("row", "key", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    rows = rows.withColumn("place", place).alias("r")
+    same = F.lit(True)
+    for c in (*alike, "place"):
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return (
+        rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")
+    )
 
 
 def taken_words(mixed: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse import session
-from storepulse.llm import bpe, langid, mixing, repair, subspace, toxicity, urls, vptree, warc
+from storepulse.llm import bpe, langid, mixing, ngram_join, repair, subspace, toxicity, urls, vptree, warc
 from storepulse.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def token_digests(coded: DataFrame, *more: str) -> DataFrame:
+    """Counts and digests of (doc_id, ids, decoded)."""
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *more,
+    )
+
+
 @query
 def op1_repair_files(spark, sf_dir):
     return repair.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -34,12 +43,7 @@ def op1_repair_files(spark, sf_dir):
 
 @query
 def op2_bpe_forced_boundaries(spark, sf_dir):
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return token_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER))
 
 
 @query
@@ -144,6 +148,44 @@ from sized s left join firsts f using (payload_digest)
 """
 
 
+@query
+def op10_ngram_matrix_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_SQL["op10_ngram_matrix_join"] = """
+with recursive words as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+    from documents
+),
+sets as (
+    select doc_id, case
+        when len(w) = 0 then []
+        when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as grams
+    from words
+),
+sizes as (select doc_id, cast(len(grams) as bigint) as n from sets),
+entries as (select doc_id, unnest(grams) as gram from sets),
+common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as k
+    from entries a join entries b on a.gram = b.gram and a.doc_id <> b.doc_id group by all
+),
+links as (
+    select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * k >= 75 * (x.n + y.n - k)
+),
+reach as (
+    select doc_id as a, doc_id as b from documents
+    union
+    select r.a, l.b from reach r join links l on l.a = r.b
+)
+select s.doc_id, s.n as n_shingles, min(r.b) as component_id
+from sizes s join reach r on r.a = s.doc_id group by s.doc_id, s.n
+"""
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
