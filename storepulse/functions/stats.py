@@ -44,68 +44,76 @@ def exact_quantiles(
     probs: Sequence[float],
     accuracy: int = 10_000,
     margin: float = 0.001,
-    small: int = 20_000,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of one column over any number of rows.
 
     Pass 1 brackets every quantile with a bounded sketch whose rank error is at most
-    1/accuracy. Pass 2 counts the rows below each bracket and keeps the distinct values
-    inside it, so only about 2 * margin of the distinct values are ever sorted; equal
-    values collapse before the shuffle. Frames up to `small` rows use their full range.
-    Returns one row (n, q), where q is an array in the order of `probs`.
+    1/accuracy, and computes the aggregates in `also` on the way. Pass 2 counts the values
+    inside each bracket, the rows on either side, and the nearest value on either side, so a
+    quantile next to its bracket is exact too; a rank farther outside raises an error. Only
+    the slice of a bracket that holds the rank is sorted. Returns one row (q, also...), q an
+    array in the order of `probs`, empty when there is no value.
     """
-    if margin < 5.0 / accuracy or small * margin < 10:
-        raise ValueError("margin must exceed the sketch error and cover whole ranks")
+    if margin < 5.0 / accuracy:
+        raise ValueError("margin must exceed the sketch error")
+    slices = 1024
     probs = [float(p) for p in probs]
-    rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    low_p = [max(p - margin, 0.0) for p in probs]
-    high_p = [min(p + margin, 1.0) for p in probs]
-    sketch = F.percentile_approx("v", low_p + high_p, accuracy)
-    brackets = rows.agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), sketch.alias("s")
-    )
-
-    def edge(i: int, whole_range: str, at_limit: bool) -> Column:
-        return F.when(
-            (F.col("n") <= small) | F.lit(at_limit), F.col(whole_range)
-        ).otherwise(F.element_at("s", i + 1))
-
     k = len(probs)
-    spans = brackets.select(
-        "n",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    edge(i, "lo", low_p[i] <= 0.0).alias("lo"),
-                    edge(k + i, "hi", high_p[i] >= 1.0).alias("hi"),
-                )
-                for i in range(k)
-            ]
-        ).alias("spans"),
+    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+    rows = df.withColumn("_v", F.col(value).cast("double"))
+    first = rows.agg(
+        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_s"), *also
+    )
+    extra = [c for c in first.columns if c not in ("_n", "_s")]
+    # One subquery, attached once; every later step reads its fields from the rows.
+    info = first.select(F.struct("_n", "_s", *extra).alias("info")).scalar()
+    span = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col("info._s")[i].alias("lo"), F.col("info._s")[k + i].alias("hi")) for i in range(k)
+    ]))
+    spans = rows.filter("_v is not null").select("_v", info.alias("info")).select("_v", "info", span.alias("b")).select(
+        "_v", "info", "b.*"
     )
-    info = spans.select(F.struct("n", "spans").alias("info")).scalar()
-
-    # Values below a bracket share one NULL slot: only their number matters.
-    counts = (
-        rows.select("v", F.explode(info["spans"]).alias("b"))
-        .filter(F.col("v") <= F.col("b.hi"))
-        .groupBy(F.col("b.i").alias("i"), F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
+    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
+    width = F.col("hi") - F.col("lo")
+    place = F.when(side != 0, F.when(side < 0, 0).otherwise(slices + 1)).when(width > 0, F.least(
+        F.floor((F.col("_v") - F.col("lo")) / width * slices) + 1, F.lit(slices)
+    )).otherwise(1)
+    # Rows beside a bracket share one slot each: their number and the value next to the bracket.
+    counts = spans.groupBy(
+        "i", side.alias("side"), place.cast("int").alias("slice"), F.when(side == 0, F.col("_v")).alias("at")
+    ).agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.first("info").alias("info"))
+    per_slice = counts.groupBy("i", "slice").agg(F.sum("c").alias("c"), F.first("info._n").alias("n"))
+    position = F.element_at(F.array(*map(F.lit, probs)), F.col("i") + 1) * (F.col("n") - 1)
+    # A bracket has at most 1026 slices, so this window is small whatever the data.
+    upto = F.sum("c").over(Window.partitionBy("i").orderBy("slice"))
+    wanted = (
+        per_slice.withColumns({"pos": position, "before": upto - F.col("c")})
+        .filter((F.ceil("pos") >= F.col("before")) & (F.floor("pos") < F.col("before") + F.col("c")))
+        .select(F.col("i").alias("j"), F.col("slice").alias("part"), "pos", "before")
     )
-    position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1) * (info["n"] - 1)
-    by_rank = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
-    ranked = counts.withColumn("upto", F.sum("c").over(by_rank)).withColumn("pos", position)
-    per_prob = ranked.groupBy("i").agg(
-        F.max("pos").alias("pos"),
-        F.min(F.when(F.col("upto") > F.floor("pos"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > F.ceil("pos"), F.col("v"))).alias("b"),
+    inside = counts.join(wanted, (F.col("i") == F.col("j")) & (F.col("slice") == F.col("part")))
+    ranked = inside.withColumn(
+        "after", F.col("before") + F.sum("c").over(Window.partitionBy("i", "slice").orderBy("at"))
+    ).withColumn("start", F.col("after") - F.col("c"))
+
+    def value_at(rank: Column) -> Column:
+        here = (F.col("start") <= rank) & (rank < F.col("after"))
+        beside = F.when(F.col("side") < 0, F.when(rank == F.col("after") - 1, F.col("high"))).when(
+            F.col("side") > 0, F.when(rank == F.col("start"), F.col("low"))
+        ).otherwise(F.col("at"))
+        return F.max(F.when(here, beside))
+
+    found = ranked.groupBy("i").agg(
+        F.max("pos").alias("pos"), value_at(F.floor("pos")).alias("a"), value_at(F.ceil("pos")).alias("b"),
+        F.first("info").alias("info"),
     )
-    part = F.col("pos") - F.floor("pos")
-    point = F.col("a") + (F.col("b") - F.col("a")) * part
-    return per_prob.select("i", point.alias("q")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q")
+    outside = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    point = F.when(F.col("a").isNull() | F.col("b").isNull(), outside).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
     )
+    q = F.transform(F.sort_array(F.collect_list(F.struct("i", point.alias("q")))), lambda s: s["q"])
+    return found.agg(q.alias("q"), F.first("info").alias("info")).select("q", *[f"info.{c}" for c in extra])
 
 
 def quartile_score(value: Column, edges: Column) -> Column:

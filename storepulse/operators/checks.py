@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storepulse.operators.marts import window_revenue
+from storepulse.operators.quality import reconciliation_issue
 from storepulse.rules import Rules
 
 
@@ -62,12 +63,10 @@ def check_funnel_monotonic(funnel: DataFrame) -> DataFrame:
     return funnel.filter(skipped).select("mql_id")
 
 
-def check_payment_recon_rate(orders_fact: DataFrame, reconciliation: DataFrame, r: Rules) -> DataFrame:
+def check_payment_recon_rate(orders_fact: DataFrame, r: Rules) -> DataFrame:
     """One row with the share of unreconciled revenue orders when it exceeds the limit."""
-    flagged = reconciliation.select("order_id", F.lit(1).alias("_bad"))
-    share = (
-        orders_fact.filter("is_revenue_order").select("order_id").join(flagged, "order_id", "left")
-        .agg(F.try_divide(F.lit(100.0) * F.count("_bad"), F.count(F.lit(1))).alias("pct"))
+    share = orders_fact.filter("is_revenue_order").agg(
+        F.try_divide(F.lit(100.0) * F.count(reconciliation_issue(r)), F.count(F.lit(1))).alias("pct")
     )
     return share.filter(F.col("pct") > r.recon_warn_pct).select(F.round("pct", 2).alias("pct_unreconciled"))
 
@@ -186,6 +185,6 @@ def standard_checks(r: Rules) -> list[Check | Key | Required]:
               lambda t: check_daily_reconciles(t["fct_daily_revenue"], t["fct_orders"], r)),
         Check("funnel_stages_are_monotonic", lambda t: check_funnel_monotonic(t["fct_lead_funnel"])),
         Check("payment_reconciliation_rate",
-              lambda t: check_payment_recon_rate(t["fct_orders"], t["dq_payment_reconciliation"], r),
+              lambda t: check_payment_recon_rate(t["fct_orders"], r),
               severity="warn"),
     ]

@@ -20,8 +20,9 @@ from storepulse.rules import Rules
 
 
 def customer_months(orders_fact: DataFrame) -> DataFrame:
-    """(customer_unique_id, month), once per month with a revenue order in the window."""
-    return window_revenue(orders_fact).select(
+    """(customer_unique_id, month), once per month with a revenue order in the window.
+    Orders without a customer belong to nobody's history."""
+    return window_revenue(orders_fact).filter("customer_unique_id is not null").select(
         "customer_unique_id", F.col("order_month").alias("month")
     ).distinct()
 
@@ -30,10 +31,10 @@ def cohort_retention(months: DataFrame, entity: str, min_size: int) -> DataFrame
     """(cohort_month, age, active, size, pct): share of each start cohort active at each age.
 
     An entity is active in its first month by definition, so the count at age 0 is the
-    cohort size and no second pass over the entities is needed.
+    cohort size and no second pass over the entities is needed. A NULL entity is nobody.
     """
     cohort = F.min("month").over(Window.partitionBy(entity))
-    aged = months.select(entity, "month").withColumn("cohort_month", cohort)
+    aged = months.filter(F.col(entity).isNotNull()).select(entity, "month").withColumn("cohort_month", cohort)
     cells = aged.groupBy(
         "cohort_month", month_boundaries("cohort_month", "month").alias("age")
     ).agg(F.count(F.lit(1)).alias("active"))
@@ -64,8 +65,12 @@ def purchase_days(orders_fact: DataFrame) -> DataFrame:
 
 
 def customer_history(orders_fact: DataFrame) -> DataFrame:
-    """Per person: first order, orders, revenue and days to the second order (NULL if none)."""
-    first_day = F.col("day_no") == 1
+    """Per person: first order, orders, revenue and days to the second order (NULL if none).
+
+    Orders without a customer form a row of their own, as in the customer dimension; they
+    are no person's first and second order, so that row has no gap.
+    """
+    first_day = (F.col("day_no") == 1) & F.col("customer_unique_id").isNotNull()
     second = F.when(F.col("orders") > 1, F.col("order_date")).otherwise(F.col("next_date"))
     return purchase_days(orders_fact).groupBy("customer_unique_id").agg(
         F.min("first_at").alias("first_order_at"),
@@ -128,13 +133,15 @@ def rfm_scores(customers: DataFrame) -> DataFrame:
     """Quartile scores and segment per person; the most recent quarter has R = 4.
 
     The edges are exact. Recency has as many distinct values as the window has days, so
-    its quantiles are one small aggregate; revenue is open-ended and takes two passes.
+    its quantiles ride along with the first of the two passes that revenue takes.
     """
     quarters = [0.25, 0.5, 0.75]
-    recency_edges = customers.agg(interpolated("recency_days", quarters).alias("q")).scalar()
-    revenue_edges = exact_quantiles(customers, "lifetime_revenue", quarters).scalar()
+    edges = exact_quantiles(
+        customers, "lifetime_revenue", quarters, also=[interpolated("recency_days", quarters).alias("recency")]
+    ).select(F.struct("q", "recency").alias("edges")).scalar()
+    recency_edges, revenue_edges = F.col("edges.recency"), F.col("edges.q")
     revenue = F.col("lifetime_revenue").cast("double")
-    scored = customers.select(
+    scored = customers.withColumn("edges", edges).select(
         "customer_unique_id",
         "recency_days",
         "lifetime_revenue",
@@ -177,7 +184,7 @@ def monthly_churn(months: DataFrame, entity: str, r: Rules) -> DataFrame:
     """
     w = Window.partitionBy(entity).orderBy("month")
     following = F.add_months("month", 1)
-    looked = months.select(entity, "month", F.lead("month").over(w).alias("next_month"))
+    looked = months.filter(F.col(entity).isNotNull()).select(entity, "month", F.lead("month").over(w).alias("next_month"))
     stayed = F.coalesce(F.col("next_month") == following, F.lit(False))
     churn = looked.groupBy(following.alias("month")).agg(
         F.count(F.lit(1)).alias("active_prev"), F.count_if(~stayed).alias("churned")

@@ -69,19 +69,21 @@ def analysis_reports(work: Workspace) -> LazyTables:
         "funnel_by_segment": lambda: funnel.funnel_by_segment(work.fct_lead_funnel, r),
         "funnel_timing": lambda: funnel.funnel_timing(work.fct_lead_funnel),
         "days_to_close_histogram": lambda: funnel.days_to_close_histogram(work.fct_lead_funnel, r).orderBy("bin"),
-        "customer_cohort_retention": lambda: cohorts().orderBy("cohort_month", "age"),
+        "customer_cohort_retention_pct": lambda: retention.cohort_matrix(
+            cohorts(), r.cohort_ages, 2).orderBy("cohort_month"),
         "customer_retention_summary": lambda: retention.customer_retention_summary(work.fct_orders, r),
-        "rfm_customer_scores": lambda: scores(),
+        "rfm_customer_scores": lambda: scores().select("customer_unique_id", "R", "F", "M", "segment"),
         "rfm_segments": lambda: retention.rfm_segments(scores()),
         "seller_monthly_churn": lambda: retention.monthly_churn(seller_months(), "seller_id", r).orderBy("month"),
-        "seller_cohort_retention": lambda: retention.cohort_retention(
-            seller_months(), "seller_id", r.seller_cohort_min).orderBy("cohort_month", "age"),
+        "seller_cohort_retention_pct": lambda: retention.cohort_matrix(
+            retention.cohort_retention(seller_months(), "seller_id", r.seller_cohort_min), r.cohort_ages, 1,
+        ).orderBy("cohort_month"),
         "seller_lifecycle_status": lambda: retention.lifecycle_status(work.dim_sellers).orderBy("lifecycle_status"),
         "seller_churn_by_size": lambda: retention.churn_by_size(work.dim_sellers, r),
         "revenue_vs_forecast_weekly": lambda: measures.actual_vs_forecast(work.weekly, best()).orderBy("week"),
         "data_quality_findings": lambda: work.dq_findings,
         "daily_order_volume": lambda: quality.dq_daily_volume(
-            work.staged["stg_orders"], r.days_before_end(90)).orderBy("order_date"),
+            work.staged["stg_orders"], r.volume_report_since).orderBy("order_date"),
         "data_tests": lambda: checks.run_checks(work.tables(), checks.standard_checks(r)),
     })
 

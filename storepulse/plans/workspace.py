@@ -6,8 +6,9 @@ from collections.abc import Mapping
 from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storepulse.functions.calendar import dim_date
+from storepulse.functions.calendar import date_dimension, month_start
 from storepulse.functions.lazy import LazyTables
 from storepulse.operators import marts, quality, staging
 from storepulse.operators.forecast import weekly_series
@@ -74,8 +75,11 @@ class Workspace:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        first, last = self.rules.week_start_from, self.rules.analysis_end
-        return dim_date(self.spark, first.replace(month=1, day=1), last.replace(month=12, day=31))
+        """Calendar of whole months around every order, so that each one has its day."""
+        bought = self.staged["stg_orders"]
+        return date_dimension(bought.agg(
+            month_start(F.min("purchased_at")).alias("start"), F.last_day(F.max("purchased_at").cast("date")).alias("end")
+        ))
 
     @cached_property
     def dq_payment_reconciliation(self) -> DataFrame:
@@ -94,7 +98,7 @@ class Workspace:
 
     @cached_property
     def dq_possible_duplicate_orders(self) -> DataFrame:
-        return quality.dq_possible_duplicate_orders(self.fct_orders, self.rules)
+        return quality.dq_possible_duplicate_orders(self.fct_orders)
 
     @cached_property
     def dq_volume_anomalies(self) -> DataFrame:
@@ -110,7 +114,7 @@ class Workspace:
     @cached_property
     def dq_findings(self) -> DataFrame:
         return quality.dq_findings(
-            self.dq_summary, self.dq_payment_reconciliation, quality.explanations(self.spark)
+            self.dq_summary, self.dq_payment_reconciliation, quality.explanations(self.spark, self.rules)
         )
 
     @cached_property

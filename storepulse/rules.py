@@ -14,6 +14,7 @@ from decimal import Decimal
 @dataclass(frozen=True)
 class Rules:
     # The published defaults of the analysis; override per run.
+    first_month: dt.date = dt.date(2016, 9, 1)
     analysis_end: dt.date = dt.date(2018, 8, 19)
     window_end_exclusive: bool = False
     non_revenue_statuses: tuple[str, ...] = ("canceled", "unavailable")
@@ -31,7 +32,7 @@ class Rules:
     volume_lookback: int = 28
     volume_min_median: float = 20.0
     volume_ratio: float = 0.3
-    duplicate_ids_inline: int = 10_000
+    volume_report_since: dt.date = dt.date(2018, 6, 1)
 
     week_start_from: dt.date = dt.date(2017, 1, 2)
     horizon: int = 4
@@ -62,6 +63,12 @@ class Rules:
     def end_month(self) -> dt.date:
         return self.analysis_end.replace(day=1)
 
+    @property
+    def cohort_ages(self) -> range:
+        """Every age a cohort can have: months from the first month of data to the end month."""
+        months = (self.end_month.year - self.first_month.year) * 12 + self.end_month.month - self.first_month.month
+        return range(months + 1)
+
     @property
     def last_full_month(self) -> dt.date:
         """Latest month that lies wholly inside the analysis window."""

@@ -12,13 +12,14 @@ LAYERS = ("raw", "staging", "marts", "data_quality", "reports")
 class Tables:
     """Named tables in layers, kept as Parquet below one folder.
 
-    Views are only registered in the session; saved tables are read back from their
-    files, so later jobs start from the files and no lineage grows across layers.
+    Saved tables are read back from their files, so no lineage grows across layers and any
+    later job can open them by folder, layer and name. Views live in the session only.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.views: dict[tuple[str, str], DataFrame] = {}
 
     def path(self, layer: str, name: str) -> str:
         if layer not in LAYERS:
@@ -26,6 +27,8 @@ class Tables:
         return f"{self.folder}/{layer}/{name}"
 
     def view(self, layer: str, name: str, df: DataFrame) -> DataFrame:
+        self.path(layer, name)
+        self.views[layer, name] = df
         register_view(df, f"{layer}_{name}")
         return df
 
@@ -37,9 +40,16 @@ class Tables:
         return self.view(layer, name, self.spark.read.parquet(self.path(layer, name)))
 
     def get(self, layer: str, name: str) -> DataFrame:
-        return self.spark.table(f"{layer}_{name}")
+        """A table of this folder: the view made here, or else the files of an earlier job."""
+        if (layer, name) not in self.views:
+            self.view(layer, name, self.spark.read.parquet(self.path(layer, name)))
+        return self.views[layer, name]
 
     def sql(self, text: str) -> DataFrame:
+        """SQL over <layer>_<name>. The names are registered anew, so that two folders open in
+        one session never answer for each other; tables that are only files need a `get` first."""
+        for (layer, name), df in self.views.items():
+            register_view(df, f"{layer}_{name}")
         return self.spark.sql(text)
 
 
@@ -56,7 +66,7 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
         df.write.mode("overwrite").parquet(path)
 
 
-def write_report(df: DataFrame, path: str, single_file: bool = True) -> None:
+def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header. Only summary-sized reports should use one file."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
@@ -77,8 +87,9 @@ STAR_RELATIONS = (
 
 
 def star_schema(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The exported star: order facts are limited to the analysis window."""
-    star = {name: tables[name] for name in STAR_TABLES}
+    """The exported star: order facts are limited to the analysis window, and the findings are
+    the summary (check_group, issue_type, records)."""
+    star = {name: tables["dq_summary" if name == "dq_findings" else name] for name in STAR_TABLES}
     star["fct_orders"] = star["fct_orders"].filter("in_analysis_window")
     return star
 

@@ -1,8 +1,10 @@
 """Adapter: order/line/event benchmark tables presented as the nine raw source tables.
 
-Every row of the given tables is used. Values that the benchmark tables lack
-(approval and delivery times) are derived from order columns; narrow price bands
-stand for the faults that the quality checks look for.
+Orders, lines, customers, suppliers and parts are used whole. Of the events, each user's
+first signup is a lead, and a user's first purchase above 100 is the deal that follows: most
+signups then end without a deal, as leads do; other events have no place in this data model.
+Values that the benchmark tables lack (approval and delivery times) are derived from order
+columns; narrow price bands stand for the faults that the quality checks look for.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from storepulse.rules import Rules
 
 # Rules for the benchmark tables: dates of that data, thresholds for its volume.
 RULES = Rules(
+    first_month=dt.date(1995, 1, 1),
     analysis_end=dt.date(2001, 7, 29),
+    volume_report_since=dt.date(2001, 1, 1),
     week_start_from=dt.date(1995, 1, 2),
     volume_min_median=5.0,
     customer_cohort_min=30,

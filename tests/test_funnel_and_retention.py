@@ -97,15 +97,31 @@ def test_histogram_against_numpy(spark):
     assert [r["count"] for r in sorted(flat.collect())] == np.histogram([3, 3], bins=4)[0].tolist()
 
 
-@pytest.mark.parametrize("n,small", [(1, 20_000), (7, 20_000), (3001, 20_000), (40_000, 10_000)])
-def test_exact_quantiles(spark, n, small):
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 3001, 40_000])
+def test_exact_quantiles(spark, n):
     rng = np.random.default_rng(n)
     values = np.round(rng.lognormal(3, 1, n), 2)
     values[: n // 3] = values[0]  # one value holds a third of the rows
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(df, "v", probs, small=small).first().q
-    assert got == pytest.approx(np.quantile(values, probs), rel=1e-12)
+    got = exact_quantiles(df, "v", probs, also=[F.count(F.lit(1)).alias("rows")]).first()
+    assert got.q == pytest.approx(np.quantile(values, probs), rel=1e-12)
+    assert got.rows == n + 1
+
+
+def test_exact_quantiles_of_spread_values(spark):
+    """All values differ and lie unevenly, so the slices of a bracket matter."""
+    df = spark.range(60_000).select((F.exp(F.col("id") / 3000) + F.col("id")).alias("v"))
+    probs = [0.013, 0.25, 0.5, 0.9871]
+    values = np.exp(np.arange(60_000) / 3000) + np.arange(60_000)
+    assert exact_quantiles(df, "v", probs).first().q == pytest.approx(np.quantile(values, probs), rel=1e-12)
+
+
+def test_rfm_reads_the_persons_three_times(spark):
+    people = spark.range(100).selectExpr(
+        "cast(id as string) as customer_unique_id", "id as recency_days", "1L as order_count", "id * 1.5D as lifetime_revenue")
+    text = retention.rfm_scores(people)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Range (") <= 3
 
 
 def test_quartile_scores(spark):
@@ -188,14 +204,38 @@ def test_churn_and_setwise_agree(spark):
 
 
 def test_published_churn_rates(spark):
+    """Active months with the published counts give the published rates."""
     # Published month, active before, churned, rate.
     published = [("2018-01-01", 859, 203, 23.6), ("2018-02-01", 968, 258, 26.7), ("2018-03-01", 933, 212, 22.7),
                  ("2018-04-01", 993, 224, 22.6), ("2018-05-01", 1116, 302, 27.1), ("2018-06-01", 1107, 307, 27.7),
                  ("2018-07-01", 1168, 314, 26.9)]
-    rates = spark.createDataFrame([(d(m), n, c) for m, n, c, _ in published], "month date, active_prev int, churned int")
-    rates = rates.withColumn("monthly_churn_pct", F.bround(F.lit(100.0) * F.col("churned") / F.col("active_prev"), 1))
-    assert [r for _, r in rows(rates, "month", "monthly_churn_pct")] == [p[3] for p in published]
-    assert round(retention.avg_churn(rates, 2018).first().avg_churn_pct, 1) == 25.3
+    active, data, born = [], [], 0
+    for month, before, lost, _ in published:
+        # Whoever is missing from the month before joins in it, then the churned leave.
+        previous = (d(month) - dt.timedelta(days=1)).replace(day=1)
+        joining = [f"s{born + i}" for i in range(before - len(active))]
+        born += len(joining)
+        active += joining
+        data += [(s, previous) for s in active[-len(joining):] if joining] if data else [(s, previous) for s in active]
+        active = active[lost:]
+        data += [(s, d(month)) for s in active]
+    m = spark.createDataFrame(data, "seller_id string, month date").distinct()
+    churn = retention.monthly_churn(m, "seller_id", replace(R, churn_from=dt.date(2018, 1, 1)))
+    assert rows(churn, "month", "active_prev", "churned", "monthly_churn_pct") == [(d(p[0]), *p[1:]) for p in published]
+    assert round(retention.avg_churn(churn, 2018).first().avg_churn_pct, 1) == 25.3
+
+
+def test_orders_without_a_customer_are_no_person(spark):
+    data = [("1", "a", "2018-01-01", 10.0), ("2", "a", "2018-02-05", 10.0)]
+    known = fact(spark, data)
+    f = fact(spark, data + [("3", None, "2018-01-01", 10.0), ("4", None, "2018-02-01", 10.0)])
+    assert rows(retention.second_order_gap(f), "customer_unique_id", "days_to_second") == [("a", 35)]
+    got, base = (rows(retention.cohort_retention(retention.customer_months(x), "customer_unique_id", 1),
+                      "cohort_month", "age", "active", "size") for x in (f, known))
+    assert got == base
+    assert dict(rows(retention.customer_retention_summary(f, R), "metric", "value"))["customers"] == 2.0
+    m = months(spark, [("a", "2018-01"), (None, "2018-01"), (None, "2018-02")])
+    assert rows(retention.cohort_retention(m, "e", 1), "age", "size") == [(0, 1)]
 
 
 def test_size_bands(spark):

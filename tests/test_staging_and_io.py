@@ -89,9 +89,21 @@ def test_save_replace_and_read_back(spark, tmp_path):
         tables.path("nowhere", "numbers")
 
 
+def test_tables_of_two_folders_and_a_new_session(spark, tmp_path):
+    one, two = (sinks.Tables(spark, str(tmp_path / x)) for x in ("one", "two"))
+    one.save("marts", "numbers", spark.range(5))
+    two.save("marts", "numbers", spark.range(7))
+    assert (one.get("marts", "numbers").count(), two.get("marts", "numbers").count()) == (5, 7)
+    assert one.sql("select count(*) as n from marts_numbers").first().n == 5
+    assert two.sql("select count(*) as n from marts_numbers").first().n == 7
+    later = sinks.Tables(spark.newSession(), str(tmp_path / "one"))
+    assert later.get("marts", "numbers").count() == 5
+    assert later.sql("select max(id) as m from marts_numbers").first().m == 4
+
+
 def test_report_has_header_and_one_file(spark, tmp_path):
     path = str(tmp_path / "report")
-    sinks.write_report(spark.range(4), path)
+    sinks.write_report(spark.range(4), path, single_file=True)
     parts = [f for f in os.listdir(path) if f.endswith(".csv")]
     assert len(parts) == 1
     with open(os.path.join(path, parts[0])) as f:
