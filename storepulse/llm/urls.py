@@ -53,12 +53,11 @@ def host_path(url: Column) -> tuple[Column, Column]:
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict; NULL without one. The rules are a short list
     given as a parameter, so they are one expression inside the scan."""
-    rule = verdict = None
+    rule = verdict = F.when(F.lit(False), F.lit(""))
     for kind, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         site, _, rest = text.partition("/")
         fits = ((host == site) | host.endswith("." + site)) & path.startswith("/" + rest)
-        rule = F.when(fits, F.lit(text)) if rule is None else rule.when(fits, F.lit(text))
-        verdict = F.when(fits, F.lit(kind)) if verdict is None else verdict.when(fits, F.lit(kind))
+        rule, verdict = rule.when(fits, F.lit(text)), verdict.when(fits, F.lit(kind))
     return rule, verdict
 
 
@@ -131,6 +130,6 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, mode
         fit_on = stored(dense(sample).select("features", "label"), "url-fit")
         trees = GBTClassifier(maxIter=model.trees, maxDepth=model.depth, seed=model.seed, maxBins=64).fit(fit_on)
         scored = trees.transform(dense(lexical(base))).withColumn("block_score", vector_to_array("probability")[1])
-    decided = F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
+    decided = F.coalesce(F.col("ruled"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return scored.select(key, "host", "path", "rule", decided.alias("verdict"), "block_score")
 
