@@ -15,30 +15,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse import session
 from storepulse.llm import bpe, langid, mixing, ngram_join, toxicity
-from storepulse.llm.common import stored, table
+from storepulse.llm.common import prepare, stored, table
 from storepulse.llm.queries import TOKENIZER, token_digests
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return langid.in_known_language(docs, langid.fit(docs))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    labels = table(prepare(spark), sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return ngram_join.first_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return mixing.mixed_rows(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return token_digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER), "ids")
 
 
@@ -57,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole `documents` table."""
-    session.configure(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse import session
 from storepulse.llm import bpe, langid, mixing, ngram_join, repair, subspace, toxicity, urls, vptree, warc
-from storepulse.llm.common import crc_fold, table
+from storepulse.llm.common import crc_fold, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Vocabulary files are a parameter of the operators; the queries name the installed ones.
@@ -21,7 +20,7 @@ _SQL: dict[str, str] = {}
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(session.configure(spark), sf_dir)
+        return fn(prepare(spark), sf_dir)
 
     _QUERIES[fn.__name__] = run
     return fn
