@@ -98,6 +98,7 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 FLAGS = ["black_friday_week", "christmas_week"]
+HOLIDAY = 3  # place of the Black Friday flag among the regressors
 
 
 def _fitter(models: Sequence[str], keys: Sequence[str], window: int) -> Callable:
@@ -108,17 +109,19 @@ def _fitter(models: Sequence[str], keys: Sequence[str], window: int) -> Callable
         frames = []
         # The log models are defined for positive series only.
         for model in models if len(value) and (value > 0).all() else ():
-            y = np.log(value)
+            y, lift = np.log(value), None
             if model == "holt_damped":
                 fitted, coming = damped_trend(y, len(ahead))
             else:
                 design = trend_design(len(group), group[FLAGS].to_numpy(float))
-                line = design @ least_squares(design[: len(y)], y)
+                coefficients = least_squares(design[: len(y)], y)
+                line = design @ coefficients
                 fitted, coming = line[: len(y)], line[len(y):]
+                lift = float(np.exp(coefficients[HOLIDAY]))
             spread = float(np.std((value - np.exp(fitted))[-window:]))
             out = ahead[[*keys, "step", "week"]].assign(model=model, actual=ahead["value"])
-            frames.append(out.assign(forecast=np.exp(coming), resid_sd=spread))
-        columns = [*keys, "model", "step", "week", "actual", "forecast", "resid_sd"]
+            frames.append(out.assign(forecast=np.exp(coming), resid_sd=spread, multiplier=lift))
+        columns = [*keys, "model", "step", "week", "actual", "forecast", "resid_sd", "multiplier"]
         return pd.concat(frames)[columns] if frames else pd.DataFrame(columns=columns)
 
     return fit
@@ -127,7 +130,7 @@ def _fitter(models: Sequence[str], keys: Sequence[str], window: int) -> Callable
 def _fitted(rows: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str]) -> DataFrame:
     """Fit per group of (keys): history has step 0, the weeks to forecast have steps 1, 2, ..."""
     schema = _key_schema(rows, keys) + (
-        "model string, step int, week date, actual double, forecast double, resid_sd double"
+        "model string, step int, week date, actual double, forecast double, resid_sd double, multiplier double"
     )
     flagged = holiday_flags(rows.select(*keys, "step", "week", "value"))
     return flagged.groupBy(*keys).applyInPandas(_fitter(tuple(models), tuple(keys), r.residual_window), schema)
@@ -150,7 +153,7 @@ def forecasts(series: DataFrame, models: Sequence[str], h: int, r: Rules, keys:
     if base:
         parts.append(_baselines(series, base, h, r, keys))
     if fitted:
-        parts.append(_fitted(_with_future(series, h, keys), fitted, r, keys).drop("actual"))
+        parts.append(_fitted(_with_future(series, h, keys), fitted, r, keys).drop("actual", "multiplier"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -213,12 +216,18 @@ def _baseline_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: S
     )
 
 
-def _fitted_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str]) -> DataFrame:
+def _fitted_folds(
+    series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str], ahead: int = 0
+) -> DataFrame:
+    """Fits of every fold; with `ahead`, the whole series is fold 0 and forecast that many weeks."""
     folds = rolling_origin_folds(series, r, keys).filter("positive")
-    rows = folds.withColumn("step", F.coalesce("step", F.lit(0)))
+    columns = [*keys, "fold", "week", "value", "step"]
+    rows = folds.withColumn("step", F.coalesce("step", F.lit(0))).select(columns)
+    if ahead:
+        rows = rows.unionByName(_with_future(series, ahead, keys).withColumn("fold", F.lit(0)).select(columns))
     if not keys:
         # One series sits in one partition; its folds can be fitted side by side.
-        rows = rows.repartition(r.folds, "fold")
+        rows = rows.repartition(r.folds + 1, "fold")
     return _fitted(rows, models, r, [*keys, "fold"])
 
 
@@ -234,7 +243,7 @@ def backtest_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Se
     if base:
         parts.append(_baseline_errors(series, base, r, keys).select(columns))
     if fitted:
-        parts.append(_fitted_errors(series, fitted, r, keys).select(columns))
+        parts.append(_fitted_folds(series, fitted, r, keys).select(columns))
     errors = reduce(DataFrame.unionByName, parts)
     return errors.withColumn("pct_err", relative_error(F.col("actual"), F.col("forecast")))
 
@@ -304,15 +313,56 @@ def _banded(points: DataFrame, r: Rules) -> DataFrame:
     }).drop("step_err_p10", "step_err_p90")
 
 
+def _scored(series: DataFrame, r: Rules, models: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Forecasts of every model, each row with the model's backtest figures.
+
+    Backtest and final forecast are rows of one frame (the final one is fold 0), so the
+    fitted models run in one grouped map and the figures are windows over its result: as
+    many rows per series and model as there are folds and weeks to forecast.
+    """
+    base, fitted = _split(models)
+    columns = [*keys, "model", "fold", "step", "week", "actual", "forecast", "multiplier"]
+    none = F.lit(None).cast("double")
+    parts = []
+    if base:
+        parts.append(_baseline_errors(series, base, r, keys).withColumn("multiplier", none).select(columns))
+        final = _baselines(series, base, r.forecast_weeks, r, keys)
+        parts.append(final.withColumns({"fold": F.lit(0), "actual": none, "multiplier": none}).select(columns))
+    if fitted:
+        parts.append(_fitted_folds(series, fitted, r, keys, r.forecast_weeks).select(columns))
+    rows = reduce(DataFrame.unionByName, parts)
+    model, fold = Window.partitionBy(*keys, "model"), Window.partitionBy(*keys, "model", "fold")
+    test = F.col("fold") > 0
+    total, predicted = F.sum("actual").over(fold), F.sum("forecast").over(fold)
+    rows = rows.withColumns({
+        "_step": F.when(test, relative_error(F.col("actual"), F.col("forecast"))),
+        "_period": F.when(test & (F.col("step") == 1), relative_error(total, predicted)),
+        "_miss": F.when(test, F.abs(F.col("actual") - F.col("forecast"))),
+    })
+    steps, periods = (interpolated(c, r.interval_probs).over(model) for c in ("_step", "_period"))
+    rows = rows.withColumns({
+        "wape_pct": ratio(F.lit(100.0) * F.sum("_miss").over(model), F.sum("actual").over(model)),
+        "_steps": steps, "_periods": periods,
+    })
+    return rows.filter(~test).select(
+        *keys, "model", "step", "week", "forecast", "multiplier", "wape_pct",
+        F.col("_steps")[0].alias("step_err_p10"), F.col("_steps")[1].alias("step_err_p90"),
+        F.col("_periods")[0].alias("period_err_p10"), F.col("_periods")[1].alias("period_err_p90"),
+    )
+
+
 def best_forecast(
     series: DataFrame, r: Rules, models: Sequence[str] = MODELS, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Forecast of each series' best model with the calibrated band, in whole money units,
-    together with the model's rounded period errors, which the monthly plan needs."""
-    summary, _ = backtest(series, models, r, keys)
-    best = _best(summary, keys).drop("wape_pct")
-    points = forecasts(series, models, r.forecast_weeks, r, keys).drop("resid_sd")
-    banded = _banded(match(points, best, [*keys, "model"]), r)
+    together with the model's rounded period errors and the holiday multiplier of the trend
+    regression (NULL without that model), which the monthly plan needs."""
+    every = Window.partitionBy(*keys)
+    first = F.min(F.when(F.col("wape_pct").isNotNull(), F.struct("wape_pct", "model"))).over(every)
+    rows = _scored(series, r, models, keys).withColumns(
+        {"_best": first["model"], "multiplier": F.max("multiplier").over(every)}
+    )
+    banded = _banded(rows.filter(F.col("model") == F.col("_best")).drop("_best", "wape_pct"), r)
     whole = {c: F.bround(c, 0) for c in ("forecast", "lower_80", "upper_80")}
     return banded.withColumns(whole | {c: F.bround(c, 3) for c in ("period_err_p10", "period_err_p90")})
 
@@ -321,7 +371,7 @@ def weekly_forecast(
     series: DataFrame, r: Rules, models: Sequence[str] = MODELS, keys: Sequence[str] = ()
 ) -> DataFrame:
     """(keys, model, step, week, forecast, lower_80, upper_80) of the best model per series."""
-    return best_forecast(series, r, models, keys).drop("period_err_p10", "period_err_p90")
+    return best_forecast(series, r, models, keys).drop("period_err_p10", "period_err_p90", "multiplier")
 
 
 def holiday_multiplier(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -335,21 +385,24 @@ def holiday_multiplier(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame
         if not (value > 0).all():
             return out.head(0).assign(multiplier=pd.Series(dtype=float))
         coef = least_squares(trend_design(len(group), group[FLAGS].to_numpy(float)), np.log(value))
-        return out.assign(multiplier=[float(np.exp(coef[3]))])
+        return out.assign(multiplier=[float(np.exp(coef[HOLIDAY]))])
 
     rows = holiday_flags(series.select(*keys, "week", "value"))
     return rows.groupBy(*keys).applyInPandas(fit, _key_schema(series, keys) + "multiplier double")
 
 
-def monthly_plan(best: DataFrame, multiplier: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def monthly_plan(best: DataFrame, multiplier: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Spread weekly forecasts over days, lift the Black Friday week, sum complete months.
 
-    `best` comes from best_forecast: rounded forecasts and period errors of one model per
-    series. A series without a multiplier gets no lift.
+    `best` comes from best_forecast: rounded forecasts, period errors and multiplier of each
+    series. A given `multiplier` frame takes the place of theirs; a series without one gets
+    no lift.
     """
     errors = ["period_err_p10", "period_err_p90"]
-    weeks = holiday_flags(best.select(*keys, "week", "forecast", *errors))
-    lifted = attach(weeks, multiplier, keys)
+    if multiplier is None:
+        lifted = holiday_flags(best.select(*keys, "week", "forecast", "multiplier", *errors))
+    else:
+        lifted = attach(holiday_flags(best.select(*keys, "week", "forecast", *errors)), multiplier, keys)
     base = F.col("forecast") / 7
     lift = F.when(F.col("black_friday_week") == 1, F.coalesce("multiplier", F.lit(1.0))).otherwise(1.0)
     days = lifted.select(

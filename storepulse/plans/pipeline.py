@@ -61,8 +61,7 @@ def analysis_reports(work: Workspace) -> LazyTables:
         "forecast_backtest": lambda: forecast.rounded_summary(
             forecast.backtest(work.weekly, forecast.MODELS, r)[0]).orderBy("wape_pct"),
         "revenue_forecast_weekly": lambda: best().select("week", "forecast", "lower_80", "upper_80").orderBy("week"),
-        "revenue_plan_monthly": lambda: forecast.monthly_plan(
-            best(), forecast.holiday_multiplier(work.weekly)).orderBy("month"),
+        "revenue_plan_monthly": lambda: forecast.monthly_plan(best()).orderBy("month"),
         "funnel_overall": lambda: funnel.funnel_overall(mature()).orderBy("position"),
         "funnel_by_origin": lambda: funnel.rounded_rates(funnel.funnel_by(mature(), r)).orderBy(F.desc("mqls"), "origin"),
         "funnel_win_rate": lambda: funnel.win_rate_ranked(funnel.funnel_by(mature(), r), r),

@@ -337,7 +337,7 @@ def holiday_multiplier(w):
     return plain(forecast.holiday_multiplier(w.weekly), 6)
 
 
-def _plan(w: Workspace, models, multiplier: DataFrame) -> DataFrame:
+def _plan(w: Workspace, models, multiplier: DataFrame | None = None) -> DataFrame:
     return forecast.monthly_plan(forecast.best_forecast(w.weekly, RULES, models), multiplier)
 
 
@@ -350,7 +350,7 @@ def monthly_plan(w):
 @query
 def monthly_plan_fitted(w):
     """All models and the estimated multiplier: the full planning job."""
-    return plain(_plan(w, forecast.MODELS, forecast.holiday_multiplier(w.weekly)))
+    return plain(_plan(w, forecast.MODELS))
 
 
 # --- funnel --------------------------------------------------------------------------

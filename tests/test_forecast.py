@@ -218,5 +218,8 @@ def test_keyed_forecast_and_plan(spark):
     best = forecast.best_forecast(both, r, keys=["key"])
     counts = dict(rows(best.groupBy("key").count(), "key", "count"))
     assert counts == {"a": 8, "b": 8}
-    plan = forecast.monthly_plan(best, forecast.holiday_multiplier(both, ["key"]), ["key"])
+    plan = forecast.monthly_plan(best, keys=["key"])
+    given = forecast.monthly_plan(best, forecast.holiday_multiplier(both, ["key"]), ["key"])
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, given.collect()))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
     assert {r.key for r in plan.collect()} == {"a", "b"}
