@@ -3,9 +3,10 @@
 Each source gets a share of all sizes by its weight, at most `cap` times its own size; what
 a source cannot take is dealt again to the others by weight. A source's whole copies come
 first. What is left of its target is a budget smaller than the source: documents are counted
-by exact size, a proportional number of each size is taken, and a bounded knapsack over the
-sizes still available fills the rest of the budget, exactly where the sizes allow it. Which
-documents of a size are taken is decided by a seeded hash, so reruns agree.
+by exact size, a proportional number of each size is taken for all but the last
+`knapsack_words` words, and a bounded knapsack over the documents still available fills the
+rest, exactly where their sizes allow it. Which documents of a size are taken is decided by a
+seeded hash, so reruns agree.
 
 Only counts per (source, size) reach Python, one source at a time: as many rows as a source
 has different sizes, whatever its number of documents.
@@ -64,20 +65,19 @@ def targets(sizes: DataFrame, options: MixOptions) -> DataFrame:
     return marked.select("source", "source_size", target.alias("target"))
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack_words: int) -> np.ndarray:
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack_words: int, seed: int = 0) -> np.ndarray:
     """How many documents of each size to take so that their sizes sum to the budget, or come
     as close below it as the sizes allow. 0 <= budget < sum(sizes * counts)."""
-    order = np.argsort(-sizes, kind="stable")
+    # The order in which the knapsack tries sizes is drawn by the seed, so none is preferred.
+    order = np.random.default_rng(seed).permutation(len(sizes))
     size, have = [int(x) for x in sizes[order]], [int(x) for x in counts[order]]
     total = sum(s * c for s, c in zip(size, have))
-    take = [c * budget // total if total else 0 for c in have]
+    share = max(0, budget - knapsack_words)
+    take = [c * share // total if total else 0 for c in have]
     left = budget - sum(s * t for s, t in zip(size, take))
-    # Largest fraction lost by rounding down first.
-    lost = sorted(range(len(size)), key=lambda i: (-(have[i] * budget % total) if total else 0, i))
-    for i in lost:
-        if left <= knapsack_words:
-            break
-        if 0 < size[i] <= left and take[i] < have[i]:
+    # Largest fraction lost by rounding down first, until the knapsack can fill the rest.
+    for i in sorted(range(len(size)), key=lambda i: -(have[i] * share % total) if total else 0):
+        if left > knapsack_words and 0 < size[i] <= left and take[i] < have[i]:
             take[i] += 1
             left -= size[i]
     for i, s in enumerate(size):
@@ -108,8 +108,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack_word
 
 def mix(docs: DataFrame, options: MixOptions = MixOptions(), key: str = "doc_id") -> DataFrame:
     """(key, source, size, source_size, target, copies): how often the mix takes each document."""
-    seed, knapsack = options.seed, options.knapsack_words
-    cap = options.cap
+    seed, knapsack, cap = options.seed, options.knapsack_words, options.cap
     sized = stored(
         pick(docs, key, "source", "text").select(
             key, "source", words(F.col("text")).alias("size"), F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("draw")
@@ -123,11 +122,12 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions(), key: str = "doc_id"
     whole = counted.alias("h").join(goals.alias("t"), same).select("h.source", "h.size", "h.n", "t.source_size", "t.target")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("size")  # the same order on every run
         source_size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         wanted = int(round(target))
         copies = min(cap, wanted // source_size) if source_size else 0
         budget = wanted - copies * source_size if copies < cap and source_size else 0
-        extra = fit_budget(group["size"].to_numpy(), group["n"].to_numpy(), budget, knapsack)
+        extra = fit_budget(group["size"].to_numpy(), group["n"].to_numpy(), budget, knapsack, seed)
         return group.assign(copies=np.int32(copies), extra=extra)[["source", "size", "source_size", "target", "copies", "n", "extra"]]
 
     plan = stored(whole.groupBy("source").applyInPandas(fit, FIT), "mix-plan")
