@@ -53,6 +53,7 @@ class JoinOptions:
     words: int = 5
     percent: int = 75  # links have 100 * overlap >= percent * union
     block_entries: int = 1_000_000
+    follow_passes: int = 2
 
     def needed(self, n):
         """Smallest overlap of a linked pair in which one side has n n-grams."""
@@ -327,6 +328,11 @@ def place_rows(shared: DataFrame, nodes: DataFrame, options: JoinOptions) -> Dat
         .select("node", F.col("best.centre").alias("block"))
     )
     named = known.join(follows, "node", "left").withColumn("block", F.coalesce("block", "node"))
+    # A followed row is more central than its follower, so following ends; each pass doubles the
+    # reach, and rows that follow one another end up in one block.
+    for _ in range(options.follow_passes):
+        leads = named.select(F.col("node").alias("block"), F.col("block").alias("root"))
+        named = stored(named.join(leads, "block").drop("block").withColumnRenamed("root", "block"), "ngram-named")
     slices = named.groupBy("block").agg(F.ceil(F.sum("n") / options.block_entries).cast("int").alias("slices"))
     placed = stored(
         named.join(slices, "block")
