@@ -42,8 +42,9 @@ from pyspark.sql import functions as F
 from storepulse.llm.bpe import Remembered
 from storepulse.llm.common import components, pick, small_batches, stored
 
-SKETCH_BITS = 22  # counters of the column sketch: 4 million, 8 MB when they reach the tasks
+SKETCH_BITS = 24  # counters of the column sketch: 16 million, one byte each when they reach the tasks
 SKETCH_PARTS = 64
+FILTER_BITS = 26  # bits of the filter for the ids whose texts are fetched: 8 MB
 SETS = "doc_id long, n long, node long, part int, counts binary"
 ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
@@ -102,18 +103,20 @@ def sets_and_counts(docs: DataFrame, options: JoinOptions, key: str, text: str)
     """One row per document (id, n, node), and per task the counters of its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts = Shingler(options.words), np.zeros(1 << SKETCH_BITS, np.uint32)
+        shingle, counts = Shingler(options.words), np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in small_batches(batches):
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             if not sets:
                 continue
-            counts += np.bincount(slots(np.concatenate(sets)), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            np.add.at(counts, slots(np.concatenate(sets)), 1)
             none = [None] * len(sets)
             yield _batch(
                 batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()),
             )
-        parts = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(np.split(counts, SKETCH_PARTS)) if c.any()]
+        # One byte per counter is enough for an order: a task that met a column 255 times says "often".
+        small = np.split(np.minimum(counts, 255).astype(np.uint8), SKETCH_PARTS)
+        parts = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(small) if c.any()]
         none = pa.array([None] * len(parts), pa.int64())
         yield _batch(none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary()))
 
@@ -124,21 +127,21 @@ def sets_and_counts(docs: DataFrame, options: JoinOptions, key: str, text: str)
 
 
 def column_levels(counts: DataFrame) -> np.ndarray:
-    """Sum the tasks' counters; a logarithmic level per counter comes to the driver (a fixed 8 MB)."""
+    """Sum the tasks' counters; a logarithmic level per counter comes to the driver (a fixed 16 MB)."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in small_batches(batches, 16):
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
+                got = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.uint32)
                 sums[part] = sums[part] + got if part in sums else got
-        levels = [(np.log2(1.0 + s) * 1000).astype(np.uint16).tobytes() for s in sums.values()]
+        levels = [np.minimum(np.log2(1.0 + s) * 10, 255).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
 
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint16)
+    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
     summed = counts.repartition("part").mapInArrow(run, "part int, levels binary")
     for row in summed.collect():
-        out[row["part"]] = np.frombuffer(row["levels"], np.uint16)
+        out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
     return out.ravel()
 
 
@@ -306,7 +309,7 @@ def multiply(dealt: DataFrame, options: JoinOptions) -> DataFrame:
 
 
 def place_rows(shared: DataFrame, nodes: DataFrame, options: JoinOptions) -> DataFrame:
-    """(node, doc_id, block, slice, central, visits): where every row with shared columns goes.
+    """(node, doc_id, block, slice, central, visits): where every row goes that can have a partner.
 
     The most central row of a column is the one that shares most of its own first columns; in
     a group of altered copies that is the original. A row's block is named by the central row
@@ -347,15 +350,70 @@ def place_rows(shared: DataFrame, nodes: DataFrame, options: JoinOptions) -> Dat
         here.withColumn("own", F.struct("block", "slice")).join(held, "gram")
         .filter(F.col("own") < F.col("there"))
         .filter((100 * F.col("most") >= options.percent * F.col("n")) & (100 * F.col("n") >= options.percent * F.col("least")))
-        .groupBy("node").agg(F.collect_set("there").alias("visits"))
+        .select("node", "there").distinct()
     )
-    return placed.join(visits, "node", "left")
+    visits = stored(visits, "ngram-visits")
+    # A row alone in its block that visits nothing and is not visited can have no partner.
+    met = visits.select("there.block", "there.slice").distinct().withColumn("met", F.lit(True))
+    crowd = placed.groupBy("block", "slice").agg(F.count(F.lit(1)).alias("crowd")).join(met, ["block", "slice"], "left")
+    goes = visits.groupBy("node").agg(F.collect_list("there").alias("visits"))
+    found = placed.join(crowd, ["block", "slice"]).join(goes, "node", "left")
+    found = found.filter("crowd > 1 or met or visits is not null")
+    return stored(found.select("node", "doc_id", "block", "slice", "central", "visits"), "ngram-active")
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    mixed = ids.astype(np.int64).view(np.uint64) * ODD[0]
+    return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame):
+    """A test that is true for all given ids and for few others: one bit per hash value.
+
+    Its size is fixed, so it may be sent to every task; more ids only make it less selective.
+    """
+    width = (1 << FILTER_BITS) // SKETCH_PARTS
+
+    def mark(batches):
+        marks = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            marks[_bits(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        yield from parts(np.split(marks, SKETCH_PARTS))
+
+    def parts(pieces):
+        rows = [(i, zlib.compress(np.packbits(m).tobytes(), 1)) for i, m in enumerate(pieces) if m.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "bits"])
+
+    def merge(batches):
+        pieces: dict[int, np.ndarray] = {}
+        for batch in small_batches(batches, 16):
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = np.frombuffer(zlib.decompress(packed), np.uint8)
+                pieces[part] = pieces[part] | got if part in pieces else got
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(pieces), pa.int32()), pa.array([p.tobytes() for p in pieces.values()], pa.binary())], ["part", "bits"]
+        )
+
+    schema = "part int, bits binary"
+    bits = np.zeros((SKETCH_PARTS, width // 8), np.uint8)
+    for row in ids.mapInArrow(mark, schema).repartition("part").mapInArrow(merge, schema).collect():
+        bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    sent = ids.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.arrow_udf("boolean")
+    def maybe(ids: pa.Array) -> pa.Array:
+        at = _bits(ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(np.unpackbits(sent.value[at >> 3][:, None], axis=1)[np.arange(len(at)), at & 7].astype(bool))
+
+    return maybe
 
 
 def deal_rows(docs: DataFrame, placed: DataFrame, options: JoinOptions, key: str, text: str) -> DataFrame:
     """Sets of the placed rows, one for the own block and one for each visit."""
     texts = pick(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    fetched = texts.join(placed, "doc_id").select("body", "node", "block", "slice", "central", "visits")
+    # Only texts that may be needed are shuffled to meet their places.
+    wanted = texts.filter(id_filter(placed.select("doc_id").filter("doc_id is not null"))(F.col("doc_id")))
+    fetched = wanted.join(placed, "doc_id").select("body", "node", "block", "slice", "central", "visits")
     schema = "block long, slice int, role int, central double, node long, hashes binary"
 
     def run(batches):
