@@ -22,8 +22,10 @@ ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,10 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storepulse.llm.bpe import REMEMBERED, fragments
-from storepulse.llm.common import fresh_path, list_array, pick, small_batches
+from storepulse.llm.bpe import fragments
+from storepulse.llm.common import fresh_path, pick, small_batches
 
 MAGIC = b"RPG1"
+# Fragments a worker remembers before it starts afresh; bounds its memory, never changes a result.
+REMEMBERED = 1 << 20
 HEAD = struct.Struct("<4sIIIQQ")
 SHARDS = "part int, shard int, n_docs int, n_tokens long, doc_ids array<bigint>, block binary"
 
@@ -210,6 +214,8 @@ class LibraryEncoder:
 
         from storepulse.llm.bpe import ByteBpe
 
+        # Spark runs the tasks side by side; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         spec = ByteBpe(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -219,7 +225,23 @@ class LibraryEncoder:
         self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode fragments not met before. A word before commas and full stops is encoded without
+        them: the pattern always ends a run of letters there, so the parts' ids can be joined."""
+        ended = {}
+        for fragment in new:
+            word = fragment.rstrip(",.")
+            if len(word) < len(fragment) and word[-1:].isalpha():
+                ended[fragment] = word
+        wanted = new.difference(ended)
+        wanted.update(ended.values())
+        wanted.update(f[len(w):] for f, w in ended.items())
+        wanted = list(wanted.difference(self.known))
+        self.known.update(zip(wanted, self._ids(wanted)))
+        for fragment, word in ended.items():
+            self.known[fragment] = self.known[word] + self.known[fragment[len(word):]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [not self.cut or any(s in t for s in self.special) for t in texts]
@@ -229,8 +251,7 @@ class LibraryEncoder:
         new = set()
         for p in parts:
             new.update(p)
-        new = sorted(new.difference(self.known))
-        self.known.update(zip(new, self._ids(new)))
+        self._learn(new.difference(self.known))
         get = self.known.__getitem__
         direct = iter(self._ids([t for t, w in zip(texts, whole) if w]))
         return [next(direct) if w else b"".join(map(get, p)) for p, w in zip(parts, whole)]
@@ -322,6 +343,3 @@ def token_files(docs: DataFrame, tokenizer_path: str, options: RepairOptions = R
     spark = docs.sparkSession
     path = write_shards(docs, fresh_path(spark, "tokens"), lambda: library_encoder(tokenizer_path), options)
     return read_documents(spark, path)
-
-
-__all__ = ["RepairOptions", "Shard", "compress", "list_array", "read_documents", "token_files", "write_shards"]
