@@ -38,13 +38,14 @@ from storepulse.llm.vectors import row_dots, usable
 CELLS = "length int, block int, x int, y int"
 DEALT = CELLS + ", chunk int, role int, id long, members long, vector array<double>"
 LINKS = "id long, links long, other long"
+VERIFIED = 50_000  # candidate pairs that are verified at a time
 
 
 @dataclass(frozen=True)
 class SubspaceOptions:
     cosine: float = 0.9
     block_size: int = 16
-    chunk_rows: int = 2048
+    chunk_rows: int = 8192
     seed: int = 17
 
 
@@ -168,46 +169,61 @@ class Chunk:
 
     def _prepare(self) -> None:
         self.ids, self.members, self.vectors = map(np.concatenate, (self.ids, self.members, self.vectors))
-        self.z = rotated(self.vectors, self.options)
-        self.norm = np.sqrt(row_dots(self.vectors, self.vectors))
+        self.left = self._sides(self.vectors)[0]
         self.links = np.zeros(len(self.ids), np.int64)
         self.labels = np.arange(len(self.ids))
         self.ready = True
 
-    def _pairs(self, z, vectors, norm, low: int, upper: bool):
-        """(own row, other row) of verified links between own rows from `low` on and the others."""
-        a, b, budget = self.spans[self.block]
-        mine, theirs = self.z[low:, a:b], z[:, a:b]
-        near = (mine**2).sum(1)[:, None] + (theirs**2).sum(1)[None, :] - 2 * mine @ theirs.T
-        i, j = np.nonzero(near <= budget + 1e-9)
+    def _sides(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two forms of the vectors' block whose product is the squared distance, nearly."""
+        a, b, _ = self.spans[self.block]
+        turn = rotation(vectors.shape[1], self.options.seed)[:, a:b]
+        z = (vectors @ turn) / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+        square, one = (z * z).sum(1)[:, None], np.ones((len(z), 1))
+        return np.hstack([-2 * z, square, one]).astype(np.float32), np.hstack([z, one, square]).astype(np.float32)
+
+    def _pairs(self, vectors: np.ndarray, right: np.ndarray, low: int, high: int, upper: bool):
+        """(own row, other row) of verified links between own rows low..high and the others.
+
+        The product finds candidates with some slack; a pair counts by sums in a fixed order.
+        """
+        budget = self.spans[self.block][2]
+        i, j = np.nonzero(self.left[low:high] @ right.T <= np.float32(budget * 1.0001 + 1e-5))
         i += low
         if upper:
             i, j = i[j < i], j[j < i]
+        found = [self._verified(vectors, i[k:k + VERIFIED], j[k:k + VERIFIED]) for k in range(0, len(i), VERIFIED)]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+    def _verified(self, vectors: np.ndarray, i: np.ndarray, j: np.ndarray):
+        own, at_i = np.unique(i, return_inverse=True)
+        others, at_j = np.unique(j, return_inverse=True)
+        x, y = self.vectors[own], vectors[others]
+        z, w = rotated(x, self.options), rotated(y, self.options)
         keep = np.ones(len(i), bool)
         for k, (a, b, budget) in enumerate(self.spans[: self.block + 1]):
-            gap = self.z[i, a:b] - z[j, a:b]
+            gap = z[at_i, a:b] - w[at_j, a:b]
             within = row_dots(gap, gap) <= budget
             keep &= within if k == self.block else ~within
-        i, j = i[keep], j[keep]
-        cosine = row_dots(self.vectors[i], vectors[j]) / (self.norm[i] * norm[j])
-        return i[cosine >= self.options.cosine], j[cosine >= self.options.cosine]
+        i, j, at_i, at_j = i[keep], j[keep], at_i[keep], at_j[keep]
+        norms = np.sqrt(row_dots(x, x))[at_i] * np.sqrt(row_dots(y, y))[at_j]
+        linked = row_dots(x[at_i], y[at_j]) / norms >= self.options.cosine
+        return i[linked], j[linked]
 
     def inner(self) -> None:
         """Links among the own vectors."""
         self._prepare()
+        right = self._sides(self.vectors)[1]
         for low in range(0, len(self.ids), 512):
-            stop = min(low + 512, len(self.ids))
-            own = Chunk.__new__(Chunk)
-            own.__dict__ = self.__dict__ | {"z": self.z[:stop], "vectors": self.vectors[:stop], "norm": self.norm[:stop]}
-            i, j = own._pairs(self.z[:stop], self.vectors[:stop], self.norm[:stop], low, True)
+            high = min(low + 512, len(self.ids))
+            i, j = self._pairs(self.vectors[:high], right[:high], low, high, True)
             np.add.at(self.links, i, self.members[j])
             np.add.at(self.links, j, self.members[i])
             join_labels(self.labels, i, j)
 
     def meet(self, ids, members, vectors) -> pa.RecordBatch:
         """Links with a batch of visitors; returns what the visitors gain."""
-        norm = np.sqrt(row_dots(vectors, vectors))
-        i, j = self._pairs(rotated(vectors, self.options), vectors, norm, 0, False)
+        i, j = self._pairs(vectors, self._sides(vectors)[1], 0, len(self.ids), False)
         np.add.at(self.links, i, members[j])
         gained = np.zeros(len(ids), np.int64)
         np.add.at(gained, j, self.members[i])
