@@ -35,7 +35,7 @@ from storepulse.llm.common import list_array, pick
 # Fixed value: the pattern that byte-level tokenizers of this family split text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Fragments a worker remembers before it starts afresh; bounds its memory, never changes a result.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 LONG = 96
 NEVER = (1 << 62, -1)
 
