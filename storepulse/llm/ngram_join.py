@@ -7,8 +7,8 @@ are ever computed:
 1. Equal sets are one row (`node`, a hash of the set). Column counts go into a sketch of
    fixed size, which orders the columns from rare to common; any order is correct.
 2. A pair with Jaccard >= t shares a column among the first n - ceil(t n) + 1 of each row in
-   that order (the size-derived bound), so only these entries are shuffled by column. Columns
-   with one row end there, which is most of them.
+   that order (the size-derived bound), so only these entries are shuffled by column. An entry
+   whose column has no other row of a size within the bound ends there, as most do.
 3. Rows that share columns are put into the same block: each follows the most central row it
    shares most columns with. A block holds at most about `block_entries` entries; a large
    group has several. A row also visits those other blocks that hold a row with which it
@@ -46,6 +46,7 @@ SKETCH_BITS = 24  # counters of the column sketch: 16 million, one byte each whe
 SKETCH_PARTS = 64
 FILTER_BITS = 26  # bits of the filter for the ids whose texts are fetched: 8 MB
 SETS = "doc_id long, n long, node long, part int, counts binary"
+ENTRIES = "gram long, node long, n int"
 ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
 
@@ -115,8 +116,10 @@ def sets_and_counts(docs: DataFrame, options: JoinOptions, key: str, text: str)
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()),
             )
         # One byte per counter is enough for an order: a task that met a column 255 times says "often".
-        small = np.split(np.minimum(counts, 255).astype(np.uint8), SKETCH_PARTS)
-        parts = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(small) if c.any()]
+        parts = [
+            (i, zlib.compress(np.minimum(c, 255).astype(np.uint8).tobytes(), 1))
+            for i, c in enumerate(np.split(counts, SKETCH_PARTS)) if c.any()
+        ]
         none = pa.array([None] * len(parts), pa.int64())
         yield _batch(none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary()))
 
@@ -146,12 +149,12 @@ def column_levels(counts: DataFrame) -> np.ndarray:
 
 
 def rare_entries(docs: DataFrame, levels, options: JoinOptions, text: str) -> DataFrame:
-    """(gram, node): the first entries of every row in the order rare to common."""
+    """(gram, node, n): the first entries of every row in the order rare to common."""
 
     def run(batches):
         shingle, level, seen = Shingler(options.words), levels.value, set()
         for batch in small_batches(batches, 500):
-            grams, nodes, many = [], [], []
+            grams, nodes, sizes, many = [], [], [], []
             for t in batch.column(0).to_pylist():
                 hashes = shingle(t)
                 if not len(hashes) or (node := node_of(hashes)) in seen:
@@ -159,6 +162,7 @@ def rare_entries(docs: DataFrame, levels, options: JoinOptions, text: str) -> Da
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(node)
+                sizes.append(len(hashes))
                 first = options.prefix(len(hashes))
                 if first < len(hashes):
                     order = (level[slots(hashes)].astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16))
@@ -167,39 +171,41 @@ def rare_entries(docs: DataFrame, levels, options: JoinOptions, text: str) -> Da
                 nodes.append(node)
                 many.append(len(hashes))
             if grams:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), many))], ["gram", "node"]
-                )
+                columns = (np.concatenate(grams).view(np.int64), np.repeat(np.array(nodes, np.int64), many), np.repeat(np.array(sizes, np.int32), many))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "node", "n"])
 
-    return pick(docs, text).mapInArrow(run, "gram long, node long")
+    return pick(docs, text).mapInArrow(run, ENTRIES)
 
 
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """Entries whose column holds at least two different rows, each once."""
+def shared_entries(entries: DataFrame, options: JoinOptions) -> DataFrame:
+    """Entries whose column holds another row of a size within the bound, each once.
+
+    In a column sorted by size, the nearest sizes are neighbours, so a look at the entry
+    before and the entry after is enough; only one entry is ever held back.
+    """
+    percent = options.percent
 
     def run(batches):
-        # Sorted by column and row: an entry stays if a neighbour has its column and another row.
-        # One entry waits for its successor; `kept_last` says whether its predecessor had its column.
         held, kept_last = None, False
         for batch in batches:
-            g, v = (batch.column(k).to_numpy() for k in (0, 1))
+            g, v, n = (batch.column(k).to_numpy() for k in range(3))
             if held is not None:
-                g, v = np.r_[held[0], g], np.r_[held[1], v]
+                g, v, n = (np.r_[x, y] for x, y in zip(held, (g, v, n)))
             if not len(g):
                 continue
             new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
-            g, v = g[new], v[new]
-            after = g[1:] == g[:-1]
+            g, v, n = g[new], v[new], n[new]
+            after = (g[1:] == g[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             stays = np.r_[kept_last if held is not None else False, after] | np.r_[after, False]
-            held, kept_last = (g[-1:], v[-1:]), bool(stays[-1])
-            yield _pairs(g[:-1][stays[:-1]], v[:-1][stays[:-1]])
+            held, kept_last = (g[-1:], v[-1:], n[-1:]), bool(stays[-1])
+            yield _entries(*(x[:-1][stays[:-1]] for x in (g, v, n)))
         if held is not None and kept_last:
-            yield _pairs(*held)
+            yield _entries(*held)
 
-    def _pairs(g, v):
-        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(v)], ["gram", "node"])
+    def _entries(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "node", "n"])
 
-    return entries.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(run, "gram long, node long")
+    return entries.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(run, ENTRIES)
 
 
 class Block:
@@ -321,7 +327,7 @@ def place_rows(shared: DataFrame, nodes: DataFrame, options: JoinOptions) -> Dat
         .select("node", "doc_id", "n", (F.col("m") / first_columns).alias("central")),
         "ngram-rows",
     )
-    sized = shared.join(known.select("node", "n", "central"), "node")
+    sized = shared.join(known.select("node", "central"), "node")
     centre = sized.groupBy("gram").agg(F.max(F.struct("central", "node", "n")).alias("top"))
     follows = (
         sized.join(centre, "gram")
@@ -343,7 +349,7 @@ def place_rows(shared: DataFrame, nodes: DataFrame, options: JoinOptions) -> Dat
         "ngram-placed",
     )
     # Which other blocks hold a row that shares a first column and is of a fitting size.
-    here = shared.join(placed.select("node", "n", "block", "slice"), "node")
+    here = shared.join(placed.select("node", "block", "slice"), "node")
     held = here.groupBy("gram", "block", "slice").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     held = held.select("gram", F.struct("block", "slice").alias("there"), "least", "most")
     visits = (
@@ -375,13 +381,11 @@ def id_filter(ids: DataFrame):
     width = (1 << FILTER_BITS) // SKETCH_PARTS
 
     def mark(batches):
-        marks = np.zeros(1 << FILTER_BITS, bool)
+        marks = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
         for batch in batches:
-            marks[_bits(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        yield from parts(np.split(marks, SKETCH_PARTS))
-
-    def parts(pieces):
-        rows = [(i, zlib.compress(np.packbits(m).tobytes(), 1)) for i, m in enumerate(pieces) if m.any()]
+            at = _bits(batch.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(marks, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        rows = [(i, zlib.compress(m.tobytes(), 1)) for i, m in enumerate(np.split(marks, SKETCH_PARTS)) if m.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "bits"])
 
     def merge(batches):
@@ -403,7 +407,7 @@ def id_filter(ids: DataFrame):
     @F.arrow_udf("boolean")
     def maybe(ids: pa.Array) -> pa.Array:
         at = _bits(ids.fill_null(0).to_numpy(zero_copy_only=False))
-        return pa.array(np.unpackbits(sent.value[at >> 3][:, None], axis=1)[np.arange(len(at)), at & 7].astype(bool))
+        return pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     return maybe
 
@@ -442,7 +446,7 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions(), key:
     first = stored(sets_and_counts(docs, options, key, text), "ngram-sets")
     rows = first.filter("part is null").select("doc_id", "n", "node")
     levels = spark.sparkContext.broadcast(column_levels(first.filter("part is not null").select("part", "counts")))
-    shared = stored(shared_entries(rare_entries(docs, levels, options, text)), "ngram-shared")
+    shared = stored(shared_entries(rare_entries(docs, levels, options, text), options), "ngram-shared")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     placed = place_rows(shared, nodes, options)
     links = stored(multiply(deal_rows(docs, placed, options, key, text), options), "ngram-links")
@@ -463,6 +467,3 @@ def first_of_each(docs: DataFrame, options: JoinOptions = JoinOptions(), key: st
     kept = near_duplicates(docs, options, key, text).filter(F.col(key) == F.col("component_id")).select(key).distinct()
     stay = docs.join(kept, key, "left_semi").dropDuplicates([key, text])
     return stay.union(docs.filter(F.col(key).isNull()))
-
-
-__all__ = ["Block", "JoinOptions", "Shingler", "first_of_each", "near_duplicates"]
