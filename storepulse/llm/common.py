@@ -19,8 +19,8 @@ from storepulse import session
 # Words as in the contracts: runs of anything but space, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Rows of one Arrow batch that Python sees at once; texts of 100 KB then stay below 100 MB.
-BATCH_ROWS = 1000
+# Rows of one Arrow batch that Python sees at once; texts of 100 KB then stay below 50 MB.
+BATCH_ROWS = 500
 
 
 _shipped: set[str] = set()
@@ -29,6 +29,8 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings, and once per application the package itself for the executors' Python."""
     session.configure(spark)
+    # Texts are long: fewer rows per Arrow batch keep both sides of the exchange small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(session.__file__).parent

@@ -147,7 +147,7 @@ def _entries(rows: DataFrame) -> DataFrame:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 cores = {plain_word(w)[0] for w in set((text or "").split())}
                 (toxic if label else clean).update(cores | {c[:BEGINNING] + "*" for c in cores if len(c) >= BEGINNING})
-            if len(toxic) + len(clean) > 500_000:
+            if len(toxic) + len(clean) > 100_000:
                 yield flush()
                 toxic, clean = Counter(), Counter()
         yield flush()
