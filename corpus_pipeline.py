@@ -42,7 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return token_digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER), "ids")
+    return token_digests(bpe.encode_and_decode(docs, TOKENIZER), "ids")
 
 
 STAGES = [

@@ -21,7 +21,7 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import list_array, pick
+from storepulse.llm.common import list_array, pick, small_batches
 
 # Fixed value: the pattern that byte-level tokenizers of this family split text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -239,5 +239,24 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     return encoded.withColumn(into, decoder(path)(F.col(ids)))
 
 
+def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded) in one pass: the ids of every whole text, and the text decoded from them.
+
+    Two chained functions would make Spark encode twice, once for each use of the ids.
+    """
+    rows = pick(docs, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path)
+        for batch in small_batches(batches):
+            parts = [bpe.encode_bytes(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ids = list_array(np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4, pa.int32())
+            decoded = pa.array([bpe.decode_bytes(x.values.to_pylist()) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], [key, "ids", "decoded"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
+
+
 def ids_text(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")

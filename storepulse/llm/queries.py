@@ -42,7 +42,7 @@ def op1_repair_files(spark, sf_dir):
 
 @query
 def op2_bpe_forced_boundaries(spark, sf_dir):
-    return token_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER))
+    return token_digests(bpe.encode_and_decode(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 @query

@@ -42,6 +42,9 @@ def test_encode_and_decode(spark, docs, library):
             want = ids_of(library, TEXTS[row.doc_id])
             assert row.ids == want
             assert row.decoded == library.decode(want, skip_special_tokens=False)
+    once = bpe.encode_and_decode(docs, PATH)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, got))
+    assert bpe.encode_and_decode(docs.limit(0), PATH).count() == 0
 
 
 def test_unknown_ids_and_null(spark):
