@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import bpe, langid, mixing, ngram_join, repair, subspace, toxicity, urls, vptree, warc
+from storepulse.llm import bpe, importance, langid, mixing, ngram_join, repair, subspace, toxicity, urls, vptree, warc
 from storepulse.llm.common import crc_fold, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,11 @@ from sizes s join reach r on r.a = s.doc_id group by s.doc_id, s.n
 """
 
 
+@query
+def op11_prefix_crc_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
