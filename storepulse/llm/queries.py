@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import bpe, importance, langid, mixing, ngram_join, repair, subspace, toxicity, urls, vptree, warc
+from storepulse.llm import bpe, conversations, importance, langid, mixing, ngram_join, repair, subspace, toxicity, urls, vptree, warc
 from storepulse.llm.common import crc_fold, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +190,11 @@ def op11_prefix_crc_resampling(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
