@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import bpe, conversations, importance, langid, mixing, ngram_join, repair, subspace, toxicity, urls, vptree, warc
+from storepulse.llm import bpe, conversations, importance, langid, mixing, ngram_join, quality, repair, subspace, toxicity, urls, vptree, warc
 from storepulse.llm.common import crc_fold, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +195,13 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+@query
+def op13_quality_decision_list(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.judge(table(spark, sf_dir, "documents"), labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -19,7 +19,7 @@ from oracle_compare import compare  # noqa: E402
 from .brute import components_of_texts  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "benchmark", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -36,7 +36,7 @@ def test_registration():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and "fct_orders" in names
 
 
