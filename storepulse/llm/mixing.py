@@ -5,8 +5,10 @@ a source cannot take is dealt again to the others by weight. A source's whole co
 first. What is left of its target is a budget smaller than the source: documents are counted
 by exact size, a proportional number of each size is taken for all but the last
 `knapsack_words` words, and a bounded knapsack over the documents still available fills the
-rest, exactly where their sizes allow it. Which documents of a size are taken is decided by a
-seeded hash, so reruns agree.
+rest, exactly where their sizes allow it, else to the nearest sum on either side. Where that
+misses, whole copies are given up and fitted anew, so that a document may come 0 to `cap`
+times. Which documents of a size are taken once more is decided by a seeded hash, so reruns
+agree.
 
 Only counts per (source, size) reach Python, one source at a time: as many rows as a source
 has different sizes, whatever its number of documents.
@@ -66,13 +68,13 @@ def targets(sizes: DataFrame, options: MixOptions) -> DataFrame:
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack_words: int, seed: int = 0) -> np.ndarray:
-    """How many documents of each size to take so that their sizes sum to the budget, or come
-    as close below it as the sizes allow. 0 <= budget < sum(sizes * counts)."""
+    """How many documents of each size to take so that the sum of their sizes is the budget, or
+    as near to it as the sizes allow; of two equally near sums the lower one. 0 <= budget."""
     # The order in which the knapsack tries sizes is drawn by the seed, so none is preferred.
     order = np.random.default_rng(seed).permutation(len(sizes))
     size, have = [int(x) for x in sizes[order]], [int(x) for x in counts[order]]
     total = sum(s * c for s, c in zip(size, have))
-    share = max(0, budget - knapsack_words)
+    share = max(0, min(budget, total) - knapsack_words)
     take = [c * share // total if total else 0 for c in have]
     left = budget - sum(s * t for s, t in zip(size, take))
     # Largest fraction lost by rounding down first, until the knapsack can fill the rest.
@@ -85,18 +87,23 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack_word
             more = min(have[i] - take[i], (left - knapsack_words) // s)
             take[i] += more
             left -= more * s
-    # Bounded knapsack: bit b of `reach` says that b words can be made of the items so far.
-    items, reach, goal = [], 1, 1 << left
+    # Bounded knapsack: bit b of `reach` says that b words can be made of the items so far. A
+    # sum above the budget is of use while nearer to it than taking nothing.
+    most = min(2 * left, left + max(size, default=0))
+    items, reach, goal, bound = [], 1, 1 << left, (2 << most) - 1
     for i, s in enumerate(size):
-        spare = min(have[i] - take[i], left // s) if s else 0
+        spare = min(have[i] - take[i], most // s) if s else 0
         part = 1
         while spare > 0 and not reach & goal:
             part = min(part, spare)
             items.append((i, part, reach))
-            reach |= (reach << (s * part)) & ((goal << 1) - 1)
+            reach |= (reach << (s * part)) & bound
             spare -= part
             part *= 2
-    at = reach.bit_length() - 1
+    at = (reach & (2 * goal - 1)).bit_length() - 1
+    above = reach >> left
+    if above and (above & -above).bit_length() - 1 < left - at:
+        at = left + (above & -above).bit_length() - 1
     for i, part, before in reversed(items):
         if not before >> at & 1:
             take[i] += part
@@ -106,6 +113,28 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack_word
     return out
 
 
+def fit_copies(sizes: np.ndarray, counts: np.ndarray, wanted: int, cap: int, knapsack_words: int, seed: int = 0) -> np.ndarray:
+    """How many copies of documents of each size to take, at most `cap` of each document, for a
+    sum as near to `wanted` as they allow.
+
+    Whole copies of the source come first, so that documents are taken about equally often.
+    Where the sizes then miss the target, one whole copy after the other is given up and
+    fitted again together with the rest.
+    """
+    whole = int((sizes * counts).sum())
+    copies = min(cap, wanted // whole) if whole else 0
+    best, gap = copies * counts, abs(wanted - copies * whole)
+    # First one copy more of some documents, then all that `cap` leaves over fewer whole copies.
+    for given, more in [(copies, min(1, cap - copies)), *((c, cap - c) for c in range(copies, -1, -1))]:
+        if not gap:
+            break
+        units = given * counts + fit_budget(sizes, more * counts, max(wanted - given * whole, 0), knapsack_words, seed)
+        off = abs(int((sizes * units).sum()) - wanted)
+        if off < gap:
+            best, gap = units, off
+    return best
+
+
 def mix(docs: DataFrame, options: MixOptions = MixOptions(), key: str = "doc_id") -> DataFrame:
     """(key, source, size, source_size, target, copies): how often the mix takes each document."""
     seed, knapsack, cap = options.seed, options.knapsack_words, options.cap
@@ -124,11 +153,10 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions(), key: str = "doc_id"
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")  # the same order on every run
         source_size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
-        wanted = int(round(target))
-        copies = min(cap, wanted // source_size) if source_size else 0
-        budget = wanted - copies * source_size if copies < cap and source_size else 0
-        extra = fit_budget(group["size"].to_numpy(), group["n"].to_numpy(), budget, knapsack, seed)
-        return group.assign(copies=np.int32(copies), extra=extra)[["source", "size", "source_size", "target", "copies", "n", "extra"]]
+        n = group["n"].to_numpy()
+        units = fit_copies(group["size"].to_numpy(), n, int(round(target)), cap, knapsack, seed)
+        group = group.assign(copies=(units // n).astype(np.int32), extra=units % n)
+        return group[["source", "size", "source_size", "target", "copies", "n", "extra"]]
 
     plan = stored(whole.groupBy("source").applyInPandas(fit, FIT), "mix-plan")
     planned = sized.alias("d").join(

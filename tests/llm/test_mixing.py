@@ -1,12 +1,13 @@
 """Targets, budgets and selection against plain versions."""
 
-import itertools
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storepulse.llm import mixing
+from storepulse.llm import mixing, queries
+from storepulse.llm.common import table
 
 WORDS = "[^\x20\x09-\x0d]+"
 
@@ -37,17 +38,36 @@ def test_targets(spark, seed):
     assert got == pytest.approx({s: want.get(s, 0.0) for s in sizes})
 
 
+def nearest(sizes, most, goal):
+    """Least distance to the goal over all choices of 0..most[i] times sizes[i]."""
+    sums = {0}
+    for s, m in zip(sizes, most):
+        sums = {x + s * k for x in sums for k in range(m + 1)}
+    return min(abs(x - goal) for x in sums)
+
+
 @pytest.mark.parametrize("seed", range(30))
-def test_budget_is_as_close_as_any_subset(seed):
+def test_budget_is_as_near_as_any_subset(seed):
     rng = np.random.default_rng(seed)
     sizes = rng.choice(np.arange(0, 40), 5, replace=False).astype(np.int64)
     counts = rng.integers(1, 4, 5)
     total = int((sizes * counts).sum())
     budget = int(rng.integers(0, max(total, 1)))
     take = mixing.fit_budget(sizes, counts, budget, 1 << 16)
-    assert (take >= 0).all() and (take <= counts).all() and int((take * sizes).sum()) <= budget
-    reachable = {sum(a * b for a, b in zip(pick, sizes.tolist())) for pick in itertools.product(*(range(c + 1) for c in counts))}
-    assert int((take * sizes).sum()) == max(x for x in reachable if x <= budget)
+    assert (take >= 0).all() and (take <= counts).all()
+    assert abs(int((take * sizes).sum()) - budget) == nearest(sizes.tolist(), counts.tolist(), budget)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_copies_are_as_near_as_any_choice(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice(np.arange(0, 90), int(rng.integers(1, 5)), replace=False).astype(np.int64)
+    counts = rng.integers(1, 3, len(sizes))
+    total = int((sizes * counts).sum())
+    wanted = int(rng.integers(0, 3 * total + 1))
+    units = mixing.fit_copies(sizes, counts, wanted, 3, 1 << 16)
+    assert (units >= 0).all() and (units <= 3 * counts).all()
+    assert abs(int((units * sizes).sum()) - wanted) == nearest(sizes.tolist(), (3 * counts).tolist(), wanted)
 
 
 def test_budget_over_many_sizes_is_exact():
@@ -57,7 +77,7 @@ def test_budget_over_many_sizes_is_exact():
     for budget in (0, 1, 999, total // 3, total * 9 // 10, total - 1):
         take = mixing.fit_budget(sizes, counts, budget, 1 << 14)
         assert (take >= 0).all() and (take <= counts).all()
-        assert int((take * sizes).sum()) == budget or budget == total - 1 and budget - int((take * sizes).sum()) < sizes.max()
+        assert int((take * sizes).sum()) == budget or budget == total - 1 and abs(budget - int((take * sizes).sum())) < sizes.max()
 
 
 DOCS = "doc_id long, text string, source string, SIZE string, copies int"
@@ -93,6 +113,32 @@ def test_mix(spark):
     assert {s if s is not None else "~": t for s, t in target.items()} == pytest.approx(want)
 
 
+def test_query(spark):
+    """Sizes, shares and targets against plain code; each source as near to its target as any choice of copies."""
+    folder = "/root/testdata/sf0.001"
+    docs = table(spark, folder, "documents").collect()
+    rows = {r.doc_id: r for r in queries.queries()["op3_subset_sum_mix"](spark, folder).collect()}
+    assert len(rows) == len(docs)
+    size = {d.doc_id: len(re.findall(WORDS, d.text or "")) for d in docs}
+    by_source = {}
+    for d in docs:
+        by_source.setdefault(d.source, []).append(d.doc_id)
+    want = plain_targets({s if s is not None else "~": sum(size[i] for i in ids) for s, ids in by_source.items()})
+    for s, ids in by_source.items():
+        target = want[s if s is not None else "~"]
+        for i in ids:
+            assert rows[i]["size"] == size[i] and rows[i].source_size == sum(size[j] for j in ids)
+            assert rows[i].target == pytest.approx(target) and rows[i].taken <= 3 * size[i] and rows[i].taken % max(size[i], 1) == 0
+        gap = abs(sum(rows[i].taken for i in ids) - int(round(target)))
+        assert gap == nearest([size[i] for i in ids], [3] * len(ids), int(round(target)))
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "v", "a"), (3, "x " * 9, "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r["size"], r.taken) for r in mixing.taken_words(mixing.mix(docs)).collect()}
+    assert got[1][0] == 400_000 and got[3] == (9, 27) and got[1][1] in (400_000 * k for k in range(4))
+
+
 def test_mixed_rows_repeat_documents(spark):
     docs = documents(spark)
     out = mixing.mixed_rows(docs)
