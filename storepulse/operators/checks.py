@@ -82,7 +82,7 @@ class Check:
 
 @dataclass(frozen=True)
 class Key:
-    """A column that must be unique and never NULL; both are counted in one pass."""
+    """A column that must be unique and never NULL."""
 
     table: str
     column: str
@@ -90,12 +90,72 @@ class Key:
 
 @dataclass(frozen=True)
 class Required:
-    """Columns that must never be NULL; one scan per table counts them all."""
+    """Columns that must never be NULL."""
 
     table: str
     columns: tuple[str, ...]
 
 
+@dataclass(frozen=True)
+class Accepted:
+    """A column whose values must be in a list; each other value is a failure."""
+
+    table: str
+    column: str
+    values: tuple[object, ...]
+
+
+@dataclass(frozen=True)
+class References:
+    """A column whose values must be keys of a parent; each row without one is a failure."""
+
+    table: str
+    column: str
+    parent: str
+    parent_column: str
+    severity: str = "error"
+
+
+@dataclass(frozen=True)
+class UniqueTogether:
+    """Columns whose tuples must be unique; NULLs form a group of their own."""
+
+    table: str
+    columns: tuple[str, ...]
+
+
+Spec = Check | Key | Required | Accepted | References | UniqueTogether
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A smaller frame that answers some tests of a table: one row per value of `column`, with
+    the number of the table's `rows` and, per column in `nulls`, how many of them are NULL."""
+
+    frame: DataFrame
+    column: str
+    rows: str
+    nulls: Mapping[str, str]
+
+
+@dataclass(frozen=True)
+class _Test:
+    """One line of the report: what is marked, and how the marks of a key count as failures."""
+
+    name: str
+    failures: str
+    severity: str = "error"
+
+
+# How many failures a key with n rows and p parents means.
+_FAILURES = {
+    "repeated": "if(n > 1, 1, 0)",
+    "rows": "n",
+    "values": "if(n > 0, 1, 0)",
+    "orphans": "if(p = 0, n, 0)",
+}
+
+
 def _outcome(name: Column, severity: str, failures: Column) -> list[Column]:
     bad = "warn" if severity == "warn" else "fail"
     return [
@@ -106,57 +166,120 @@ def _outcome(name: Column, severity: str, failures: Column) -> list[Column]:
     ]
 
 
-def _key_outcomes(spec: Key, df: DataFrame) -> DataFrame:
-    value, base = F.col(spec.column), f"{spec.table}.{spec.column}"
-    groups = df.groupBy(spec.column).agg(F.count(F.lit(1)).alias("n"))
-    totals = groups.agg(
-        F.count_if(value.isNotNull() & (F.col("n") > 1)).alias("unique"),
-        F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("not_null"),
-    )
-    return _long(totals, base)
+def _check_outcome(spec: Check, tables: Mapping[str, DataFrame]) -> DataFrame:
+    count = spec.violations(tables).agg(F.count(F.lit(1)).alias("n"))
+    return count.select(*_outcome(F.lit(spec.name), spec.severity, F.col("n")))
 
 
-def _required_outcomes(spec: Required, df: DataFrame) -> DataFrame:
-    totals = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in spec.columns])
-    rows = [
-        F.struct(F.lit(f"{spec.table}.{c}:not_null").alias("name"), F.col(c).cast("bigint").alias("n"))
-        for c in spec.columns
-    ]
-    return _explode_rows(totals, rows)
+def _text(*columns: str) -> Column:
+    """A value or tuple as text that is equal only for equal tuples; NULL is told from any text."""
+    parts = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-"))
+             for v in (F.col(c).cast("string") for c in columns)]
+    return F.col(columns[0]).cast("string") if len(columns) == 1 else F.concat(*parts)
 
 
-def _long(totals: DataFrame, base: str) -> DataFrame:
-    rows = [
-        F.struct(F.lit(f"{base}:{kind}").alias("name"), F.col(kind).cast("bigint").alias("n"))
-        for kind in ("unique", "not_null")
-    ]
-    return _explode_rows(totals, rows)
+class _Plan:
+    """Tests and, per table, the marks that its rows leave for them."""
 
+    def __init__(self, profiles: Mapping[str, Sequence[Profile]]):
+        self.tests: list[_Test] = []
+        self.marks: dict[str, list[Column]] = {}
+        self.profile_marks: list[tuple[Profile, Column]] = []
+        self.profiles = profiles
 
-def _explode_rows(totals: DataFrame, rows: Sequence[Column]) -> DataFrame:
-    long = totals.select(F.inline(F.array(*rows)))
-    return long.select(*_outcome(F.col("name"), "error", F.col("n")))
+    def _test(self, name: str, failures: str, severity: str = "error") -> int:
+        self.tests.append(_Test(name, failures, severity))
+        return len(self.tests) - 1
 
+    @staticmethod
+    def _mark(test: int, key: Column, when: Column, n: Column | int = 1, p: int = 0) -> Column:
+        count = F.lit(n) if isinstance(n, int) else n
+        return F.when(when, F.struct(
+            F.lit(test).alias("test"), key.alias("key"), count.cast("bigint").alias("n"), F.lit(p).cast("bigint").alias("p")))
 
-def _check_outcome(spec: Check, tables: Mapping[str, DataFrame]) -> DataFrame:
-    count = spec.violations(tables).agg(F.count(F.lit(1)).alias("n"))
-    return count.select(*_outcome(F.lit(spec.name), spec.severity, F.col("n")))
+    def _leave(self, table: str, mark: Column) -> None:
+        self.marks.setdefault(table, []).append(mark)
 
+    def not_null(self, table: str, column: str) -> None:
+        test = self._test(f"{table}.{column}:not_null", "rows")
+        for profile in self.profiles.get(table, ()):
+            if column in profile.nulls:
+                n = F.col(profile.nulls[column])
+                self.profile_marks.append((profile, self._mark(test, F.lit(""), n > 0, n)))
+                return
+        self._leave(table, self._mark(test, F.lit(""), F.col(column).isNull()))
 
-def run_checks(tables: Mapping[str, DataFrame], specs: Sequence[Check | Key | Required]) -> DataFrame:
-    """One row per check: (check, severity, failures, status)."""
-    parts = []
-    for spec in specs:
+    def add(self, spec: Spec) -> None:
         if isinstance(spec, Key):
-            parts.append(_key_outcomes(spec, tables[spec.table]))
+            test = self._test(f"{spec.table}.{spec.column}:unique", "repeated")
+            self._leave(spec.table, self._mark(test, _text(spec.column), F.col(spec.column).isNotNull()))
+            self.not_null(spec.table, spec.column)
         elif isinstance(spec, Required):
-            parts.append(_required_outcomes(spec, tables[spec.table]))
+            for column in spec.columns:
+                self.not_null(spec.table, column)
+        elif isinstance(spec, Accepted):
+            test, value = self._test(f"{spec.table}.{spec.column}:accepted_values", "values"), F.col(spec.column)
+            self._leave(spec.table, self._mark(test, _text(spec.column), value.isNotNull() & ~value.isin(*spec.values)))
+        elif isinstance(spec, UniqueTogether):
+            test = self._test(f"{spec.table}:unique_combination", "repeated")
+            self._leave(spec.table, self._mark(test, _text(*spec.columns), F.lit(True)))
+        elif isinstance(spec, References):
+            test = self._test(f"{spec.table}.{spec.column}:relationships", "orphans", spec.severity)
+            key, known = _text(spec.column), F.col(spec.column).isNotNull()
+            self._leave(spec.parent, self._mark(test, _text(spec.parent_column), F.col(spec.parent_column).isNotNull(), 0, 1))
+            for profile in self.profiles.get(spec.table, ()):
+                if profile.column == spec.column:
+                    self.profile_marks.append((profile, self._mark(test, key, known, F.col(profile.rows))))
+                    return
+            self._leave(spec.table, self._mark(test, key, known))
         else:
+            raise TypeError(f"unknown check {spec!r}")
+
+    def outcome(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """One scan per table or profile, one shuffle by (test, key) for all of them."""
+        sources = [(tables[name], marks) for name, marks in self.marks.items()]
+        for profile in {id(p): p for p, _ in self.profile_marks}.values():
+            sources.append((profile.frame, [m for p, m in self.profile_marks if p is profile]))
+        left = [df.select(F.inline(F.array_compact(F.array(*marks)))) for df, marks in sources]
+        keys = reduce(DataFrame.unionByName, left).groupBy("test", "key").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        failures = F.lit(0).cast("bigint")
+        for kind, rule in _FAILURES.items():
+            places = [i for i, t in enumerate(self.tests) if t.failures == kind]
+            if places:
+                failures = F.when(F.col("test").isin(*places), F.expr(rule)).otherwise(failures)
+        found = keys.groupBy("test").agg(F.sum(failures).alias("failures"))
+        spark = found.sparkSession
+        lines = spark.createDataFrame(
+            [(i, t.name, t.severity) for i, t in enumerate(self.tests)], "test int, check string, severity string")
+        count = F.coalesce("failures", F.lit(0).cast("bigint"))
+        bad = F.when(F.col("severity") == "warn", "warn").otherwise("fail")
+        return lines.join(found, "test", "left").select(
+            "check", "severity", count.alias("failures"), F.when(count > 0, bad).otherwise("pass").alias("status"))
+
+
+def run_checks(
+    tables: Mapping[str, DataFrame], specs: Sequence[Spec], profiles: Mapping[str, Sequence[Profile]] | None = None
+) -> DataFrame:
+    """One row per check: (check, severity, failures, status).
+
+    Tests on keys, values and NULLs are planned together: a row of a table leaves one mark for
+    each test that it bears on (for NULLs and lists only when it fails), all marks of all
+    tables meet in one shuffle by (test, key), and marks are added up before it. A table is
+    scanned once for all its tests, and not at all for those that one of its `profiles`
+    answers. Checks given as functions are counted on their own.
+    """
+    plan, parts = _Plan(profiles or {}), []
+    for spec in specs:
+        if isinstance(spec, Check):
             parts.append(_check_outcome(spec, tables))
+        else:
+            plan.add(spec)
+    if plan.tests:
+        parts.insert(0, plan.outcome(tables))
     return reduce(DataFrame.unionByName, parts)
 
 
-def standard_checks(r: Rules) -> list[Check | Key | Required]:
+def standard_checks(r: Rules) -> list[Spec]:
     """The checks declared for the staging and mart tables."""
     return [
         Key("stg_orders", "order_id"),
@@ -171,16 +294,11 @@ def standard_checks(r: Rules) -> list[Check | Key | Required]:
         Key("fct_lead_funnel", "mql_id"),
         Required("stg_customers", ("customer_unique_id",)),
         Required("stg_order_items", ("item_price",)),
-        Check("stg_orders.order_status:accepted_values",
-              lambda t: check_accepted_values(t["stg_orders"], "order_status", r.order_statuses)),
-        Check("dim_sellers.lifecycle_status:accepted_values",
-              lambda t: check_accepted_values(t["dim_sellers"], "lifecycle_status", r.lifecycle_statuses)),
-        Check("stg_order_items.order_id:relationships",
-              lambda t: check_relationships(t["stg_order_items"], "order_id", t["stg_orders"], "order_id")),
-        Check("stg_closed_deals.mql_id:relationships",
-              lambda t: check_relationships(t["stg_closed_deals"], "mql_id", t["stg_leads"], "mql_id")),
-        Check("fct_seller_monthly:unique_combination",
-              lambda t: check_unique_combination(t["fct_seller_monthly"], ["seller_id", "month"])),
+        Accepted("stg_orders", "order_status", r.order_statuses),
+        Accepted("dim_sellers", "lifecycle_status", r.lifecycle_statuses),
+        References("stg_order_items", "order_id", "stg_orders", "order_id"),
+        References("stg_closed_deals", "mql_id", "stg_leads", "mql_id"),
+        UniqueTogether("fct_seller_monthly", ("seller_id", "month")),
         Check("daily_revenue_matches_orders",
               lambda t: check_daily_reconciles(t["fct_daily_revenue"], t["fct_orders"], r)),
         Check("funnel_stages_are_monotonic", lambda t: check_funnel_monotonic(t["fct_lead_funnel"])),

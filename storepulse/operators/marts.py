@@ -37,11 +37,12 @@ def _zero(column: str, kind: str) -> Column:
     return F.coalesce(F.col(column).cast(kind), F.lit(0).cast(kind))
 
 
-def item_totals(items: DataFrame) -> DataFrame:
+def item_totals(items: DataFrame, *more: Column) -> DataFrame:
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_count"),
         F.sum("item_price").cast(TOTAL).alias("item_revenue"),
         F.sum("freight_value").cast(TOTAL).alias("freight_revenue"),
+        *more,
     )
 
 
@@ -65,11 +66,19 @@ def payment_totals(payments: DataFrame) -> DataFrame:
 def fct_orders(
     orders: DataFrame, items: DataFrame, payments: DataFrame, customers: DataFrame, r: Rules
 ) -> DataFrame:
+    return orders_with_totals(orders, item_totals(items), payment_totals(payments), customers, r)
+
+
+def orders_with_totals(
+    orders: DataFrame, items: DataFrame, payments: DataFrame, customers: DataFrame, r: Rules
+) -> DataFrame:
+    """The order fact from totals per order; items may carry further columns."""
+    items = items.select("order_id", "item_count", "item_revenue", "freight_revenue")
     people = customers.select("customer_id", "customer_unique_id", F.col("state").alias("customer_state"))
     joined = (
         orders.join(people, "customer_id", "left")
-        .join(item_totals(items), "order_id", "left")
-        .join(payment_totals(payments), "order_id", "left")
+        .join(items, "order_id", "left")
+        .join(payments, "order_id", "left")
     )
     gross = _zero("item_revenue", TOTAL) + _zero("freight_revenue", TOTAL)
     return joined.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse.functions.lazy import LazyTables
-from storepulse.operators import checks, forecast, funnel, measures, quality, retention
+from storepulse.operators import forecast, funnel, measures, quality, retention
 from storepulse.plans.workspace import Workspace
 from storepulse.rules import Rules
 from storepulse.sources.sinks import Tables, export_star, write_report
@@ -83,7 +83,7 @@ def analysis_reports(work: Workspace) -> LazyTables:
         "data_quality_findings": lambda: work.dq_findings,
         "daily_order_volume": lambda: quality.dq_daily_volume(
             work.staged["stg_orders"], r.volume_report_since).orderBy("order_date"),
-        "data_tests": lambda: checks.run_checks(work.tables(), checks.standard_checks(r)),
+        "data_tests": work.run_checks,
     })
 
 

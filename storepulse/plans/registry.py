@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from storepulse import session
 from storepulse.functions.calendar import holiday_flags
 from storepulse.functions.lazy import LazyTables
 from storepulse.operators import checks, forecast, funnel, marts, measures, quality, retention, staging
-from storepulse.plans.workspace import Workspace
+from storepulse.plans.workspace import AuditWorkspace, Workspace
 from storepulse.sources.raw import row_counts
 from storepulse.sources.tpch import RULES, Source
 
@@ -173,12 +174,12 @@ def dq_volume_anomalies_by_status(w):
 
 @query
 def dq_summary(w):
-    return plain(w.dq_summary)
+    return plain(w.audit.dq_summary)
 
 
 @query
 def dq_findings(w):
-    return plain(w.dq_findings)
+    return plain(w.audit.dq_findings)
 
 
 @query
@@ -238,7 +239,7 @@ def check_payment_recon_rate(w):
 
 @query
 def run_checks(w):
-    return plain(checks.run_checks(w.tables(), checks.standard_checks(RULES)))
+    return plain(w.audit.run_checks())
 
 
 # --- forecasting ---------------------------------------------------------------------
@@ -582,6 +583,10 @@ class BenchmarkWorkspace(Workspace):
         self.source = Source(spark, folder)
         super().__init__(spark, self.source.raw(), RULES)
 
+    @cached_property
+    def audit(self) -> AuditWorkspace:
+        return AuditWorkspace(self.spark, self.raw, self.rules)
+
 
 def queries() -> dict[str, Query]:
     def runner(build):

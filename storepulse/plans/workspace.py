@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from storepulse.functions.calendar import date_dimension, month_start
 from storepulse.functions.lazy import LazyTables
+from storepulse.functions.shared import once
 from storepulse.operators import marts, quality, staging
+from storepulse.operators.checks import Profile, run_checks, standard_checks
 from storepulse.operators.forecast import weekly_series
+from storepulse.operators.quality import issue_counts
 from storepulse.rules import Rules
 
 
@@ -117,6 +120,14 @@ class Workspace:
             self.dq_summary, self.dq_payment_reconciliation, quality.explanations(self.spark, self.rules)
         )
 
+    @property
+    def profiles(self) -> dict[str, list[Profile]]:
+        """Frames that answer tests of larger tables; none where tables are built one by one."""
+        return {}
+
+    def run_checks(self) -> DataFrame:
+        return run_checks(self.tables(), standard_checks(self.rules), self.profiles)
+
     @cached_property
     def weekly(self) -> DataFrame:
         return weekly_series(self.fct_daily_revenue, self.rules)
@@ -131,3 +142,49 @@ class Workspace:
         models = {name: partial(getattr, self, name) for name in names}
         staged = {name: partial(self.staged.__getitem__, name) for name in self.staged}
         return LazyTables({**staged, **models})
+
+
+# Columns of the order fact that checks, summaries and the tables behind them read.
+AUDITED = (
+    "order_id", "customer_unique_id", "customer_state", "order_status", "purchased_at", "order_date", "order_month",
+    "item_count", "item_revenue", "gross_revenue", "payment_total", "is_revenue_order", "in_analysis_window",
+)
+
+
+class AuditWorkspace(Workspace):
+    """The same models for plans that read many of them at once, as checks and summaries do.
+
+    Items are read once for the order fact and their own checks (`item_orders`, one row per
+    order); the order fact and the sales per seller and month are computed once per plan.
+    """
+
+    @cached_property
+    def item_orders(self) -> DataFrame:
+        s = self.staged
+        return once(quality.item_profile(s["stg_order_items"], s["stg_sellers"], s["stg_products"]))
+
+    @cached_property
+    def fct_orders(self) -> DataFrame:
+        s = self.staged
+        payments = marts.payment_totals(s["stg_order_payments"])
+        fact = marts.orders_with_totals(s["stg_orders"], self.item_orders, payments, s["stg_customers"], self.rules)
+        return once(fact, *AUDITED)
+
+    @cached_property
+    def seller_months(self) -> DataFrame:
+        return once(marts.active_months(self.seller_sales, "seller_id"))
+
+    @cached_property
+    def dq_summary(self) -> DataFrame:
+        s = self.staged
+        orphans = issue_counts(quality.other_orphans(
+            s["stg_sellers"], s["stg_products"], s["stg_closed_deals"], s["stg_leads"]))
+        return quality.summary_of(
+            issue_counts(self.dq_payment_reconciliation), issue_counts(self.dq_order_lifecycle_anomalies),
+            orphans.unionByName(quality.item_orphan_counts(self.item_orders)),
+            quality.duplicate_groups(self.fct_orders), issue_counts(self.dq_volume_anomalies),
+        )
+
+    @property
+    def profiles(self) -> dict[str, list[Profile]]:
+        return {"stg_order_items": [Profile(self.item_orders, "order_id", "item_count", {"item_price": "no_price"})]}

@@ -173,6 +173,52 @@ def test_run_checks_status(spark):
         ("t.k:not_null", "error", 0, "pass"), ("t.k:unique", "error", 1, "fail"), ("t.v:not_null", "error", 1, "fail")]
 
 
+def test_tests_are_planned_together(spark):
+    """Every kind of test against its own function, over nulls, repeats and clashing texts."""
+    child = spark.createDataFrame(
+        [(1, "a", 5), (1, "a", None), (2, None, 6), (None, "b", 7), (None, "b", 7), (9, "-", 9), (9, None, 9)], "k int, v string, p long")
+    parent = spark.createDataFrame([(5,), (6,), (6,), (None,)], "id long")
+    tables = {"c": child, "p": parent, "empty": child.limit(0)}
+    specs = [
+        checks.Key("c", "k"), checks.Key("p", "id"), checks.Required("c", ("v", "p")), checks.Accepted("c", "v", ("a",)),
+        checks.References("c", "p", "p", "id"), checks.References("c", "p", "p", "id", severity="warn"),
+        checks.UniqueTogether("c", ("k", "v")), checks.UniqueTogether("c", ("v", "k")), checks.Key("empty", "k"),
+    ]
+    got = [(r.check, r.severity, r.failures, r.status) for r in checks.run_checks(tables, specs).collect()]
+    orphans = checks.check_relationships(child, "p", parent, "id").count()
+    assert orphans == 4
+    want = [
+        ("c.k:unique", "error", checks.check_unique(child, "k").count(), "fail"), ("c.k:not_null", "error", 2, "fail"),
+        ("p.id:unique", "error", 1, "fail"), ("p.id:not_null", "error", 1, "fail"),
+        ("c.v:not_null", "error", 2, "fail"), ("c.p:not_null", "error", 1, "fail"),
+        ("c.v:accepted_values", "error", checks.check_accepted_values(child, "v", ["a"]).count(), "fail"),
+        ("c.p:relationships", "error", orphans, "fail"), ("c.p:relationships", "warn", orphans, "warn"),
+        ("c:unique_combination", "error", checks.check_unique_combination(child, ["k", "v"]).count(), "fail"),
+        ("c:unique_combination", "error", checks.check_unique_combination(child, ["v", "k"]).count(), "fail"),
+        ("empty.k:unique", "error", 0, "pass"), ("empty.k:not_null", "error", 0, "pass"),
+    ]
+    assert sorted(got) == sorted(want)
+
+
+def test_planned_tests_scan_each_table_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, i % 7, "x") for i in range(50)], "k int, v int, w string").write.parquet(path)
+    table = spark.read.parquet(path)
+    specs = [checks.Key("t", "k"), checks.Required("t", ("v", "w")), checks.UniqueTogether("t", ("k", "v")),
+             checks.Accepted("t", "w", ("x",)), checks.References("t", "v", "t", "k")]
+    text = plan(checks.run_checks({"t": table}, specs))
+    assert text.count("FileScan parquet") == 1 and text.count("Exchange hashpartitioning(test") == 2
+
+
+def test_profiles_answer_for_the_table(spark):
+    """Counts by key stand for the rows: the table itself is not read."""
+    profile = spark.createDataFrame([(5, 3, 1), (8, 2, 0), (None, 4, 2)], "p long, n long, none long")
+    parent = spark.createDataFrame([(5,)], "id long")
+    specs = [checks.References("c", "p", "p", "id"), checks.Required("c", ("v",))]
+    out = checks.run_checks({"p": parent}, specs, {"c": [checks.Profile(profile, "p", "n", {"v": "none"})]})
+    assert rows(out, "check", "failures") == [("c.p:relationships", 2), ("c.v:not_null", 3)]
+
+
 def test_standard_checks_are_thirty():
     n = 0
     for spec in checks.standard_checks(R):

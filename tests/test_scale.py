@@ -6,7 +6,9 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 from helpers import customers, items, orders, payments, plan, rows
 
+from storepulse.functions import shared
 from storepulse.operators import marts, quality, retention
+from storepulse.plans import registry
 from storepulse.plans.registry import BenchmarkWorkspace
 from storepulse.rules import Rules
 
@@ -125,3 +127,28 @@ def test_null_customer_and_small_example(spark):
         orders(spark, [("a", None, "delivered", "2018-01-01")]), items(spark, [("a", "s", 1, 0)]),
         payments(spark, [("a", "card", 1)]), customers(spark, [("c", "u", "SP")]), R)
     assert rows(f, "order_id", "customer_unique_id") == [("a", None)]
+
+
+def scans(df, table):
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    return len(re.findall(rf"FileScan parquet[^\n]*/{table}\.parquet", text))
+
+
+def test_checks_and_summaries_read_each_table_few_times(spark):
+    """Items and payments come from the same lines here: one scan each, and one for sales per seller."""
+    queries = registry.queries()
+    assert scans(queries["run_checks"](spark, FOLDER), "lineitem") == 3
+    assert scans(queries["dq_summary"](spark, FOLDER), "lineitem") == 2
+    assert scans(queries["dq_findings"](spark, FOLDER), "lineitem") == 2
+
+
+def test_a_shared_frame_is_computed_once(spark):
+    source = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    per_order = shared.once(source.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_tax").alias("t")))
+    readers = [per_order.filter("t > 0.05").agg(F.sum("q").alias("x")), per_order.groupBy("t").count().agg(F.max("t").alias("x")),
+               per_order.filter("l_orderkey < 10").select(F.col("q").alias("x"))]
+    both = readers[0].union(readers[1]).union(readers[2])
+    assert scans(both, "lineitem") == 1
+    plain = source.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_tax").alias("t"))
+    assert sorted(r.x for r in both.collect())[-1] == plain.filter("t > 0.05").agg(F.sum("q")).first()[0]
