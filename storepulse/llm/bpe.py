@@ -5,14 +5,15 @@ one token, so the text may be cut there and the fragments encoded one by one. Tw
 
 * Between words. Where the vocabulary has no token with a space or line feed after another
   byte (checked when the codec is built), every single space or line feed starts a fragment.
-  Fragments repeat all over a corpus, so each worker remembers their ids.
-* Inside a word. A fragment not seen before is split by the tokenizer's own pattern, then at
-  the remaining forced pairs, and merged by rank. Very long runs merge with a heap, so a
-  text of one endless word still takes n log n steps.
+  Fragments repeat all over a corpus, so each task remembers their ids, up to a number of bytes.
+* Inside a word. Fragments not seen before are split by the tokenizer's own pattern, then at
+  the remaining forced pairs, and merged by rank, all pieces of a batch side by side. Very
+  long runs merge with a heap, so a text of one endless word still takes n log n steps.
 
 Defined cases: a null text is empty and encodes to no ids; repeated rows are encoded alike;
-texts of any length are encoded whole; extra columns are ignored; an empty table gives an
-empty result. `decode` of null is null; ids outside the vocabulary raise.
+texts of any length are encoded whole, long ones slice by slice between forced cuts; extra columns are ignored; an empty table gives an
+empty result. `decode` of null is null; ids outside the vocabulary raise, and so does a
+tokenizer file whose settings are not those this method stands on.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,14 +30,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import list_array, pick, small_batches
+from storepulse.llm.common import ENTRY, REMEMBERED, WORTH, let_go, list_array, pick, small_batches
 
 # Fixed value: the pattern that byte-level tokenizers of this family split text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Fragments a worker remembers before it starts afresh; bounds its memory, never changes a result.
-REMEMBERED = 1 << 18
+# Characters of a long text, and of all texts, that are cut into fragments at once.
+SLICE, GROUP = 1 << 18, 1 << 22
 LONG = 96
-NEVER = (1 << 62, -1)
 
 
 def byte_symbols() -> list[str]:
@@ -49,23 +48,42 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-def fragments(text: str) -> list[str]:
-    """Cut before every space that a non-space follows and around single line feeds.
+_BEFORE_WORD = re.compile(r"(?= \S)")
 
-    The pattern puts a token boundary at each of these places whatever stands around it, so
-    fragments can be encoded alone. Python counts at least the characters as space that the
-    pattern does, which can only leave cuts out.
-    """
-    # A text whose only space characters are single spaces and single line feeds needs no pattern.
-    if (
+
+def plain_spacing(text: str) -> bool:
+    """Whether the only space characters are single spaces and single line feeds."""
+    return (
         text.replace("\n", "").isprintable()
         and "  " not in text and "\n " not in text and " \n" not in text and "\n\n" not in text
-    ):
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-    return _BEFORE_WORD.split(text)
+    )
 
 
-_BEFORE_WORD = re.compile(r"(?= \S)")
+def forced_cuts(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts as bytes, the places where fragments start, and the number of fragments of each.
+
+    Cut before every space that a non-space follows and, in texts of plain spacing, around
+    line feeds. The pattern puts a token boundary at each of these places whatever stands
+    around it, so fragments can be encoded alone. Python counts at least the characters as
+    space that the pattern does, which can only leave cuts out.
+    """
+    plain = np.array([plain_spacing(t) for t in texts], bool)
+    parts = [[t.encode()] if p else [x.encode() for x in _BEFORE_WORD.split(t)] for t, p in zip(texts, plain)]
+    raw = b"".join(x for p in parts for x in p)
+    codes = np.frombuffer(raw, np.uint8)
+    sizes = np.array([sum(map(len, p)) for p in parts], np.int64)
+    feed = codes == 10
+    cut = (codes == 32) | feed
+    cut[1:] |= feed[:-1]
+    starts = sizes.cumsum() - sizes
+    for i in np.flatnonzero(~plain).tolist():
+        own = cut[starts[i]:starts[i] + sizes[i]]
+        own[:] = False
+        lengths = np.fromiter(map(len, parts[i]), np.int64, len(parts[i]))
+        own[lengths.cumsum()[:-1]] = True
+    cut[starts[sizes > 0]] = True
+    places = np.flatnonzero(cut)
+    return raw, places, np.searchsorted(places, starts + sizes) - np.searchsorted(places, starts)
 
 
 def _pairs_inside(tokens: Iterable[bytes]) -> np.ndarray:
@@ -77,99 +95,254 @@ def _pairs_inside(tokens: Iterable[bytes]) -> np.ndarray:
     return inside
 
 
-class Remembered(dict):
-    """Fragment -> its ids as bytes; computes what it lacks."""
+def slices(text: str) -> Iterator[str]:
+    """A long text in parts that end before a space with a letter or sign after it."""
+    start = 0
+    while len(text) - start > SLICE:
+        cut = _BEFORE_WORD.search(text, start + SLICE)
+        if cut is None:
+            break
+        yield text[start:cut.start()]
+        start = cut.start()
+    yield text[start:] if start else text
 
-    def __init__(self, compute):
-        self.compute = compute
 
-    def __missing__(self, fragment: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[fragment] = self.compute(fragment)
-        return found
+class FragmentEncoder:
+    """Encodes texts fragment by fragment and remembers the ids of short fragments.
 
+    Subclasses say how to encode fragments not met before (`compute`) and texts that may not
+    be cut (`compute_whole`).
+    """
 
-class ByteBpe:
+    def __init__(self, cut: bool, special: Iterable[str]):
+        self.cut, self.special = cut, tuple(special)
+        self.forget()
+
+    def compute(self, new: list[bytes]) -> Iterable[bytes]:
+        raise NotImplementedError
+
+    def compute_whole(self, texts: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        whole = [i for i, t in enumerate(texts) if not self.cut or any(x in t for x in self.special)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, self.compute_whole([texts[i] for i in whole])):
+            out[i] = ids
+        # Slices of all other texts, a bounded number of characters at a time.
+        apart, group, owner, size = set(whole), [], [], 0
+        for i, text in enumerate(texts):
+            for part in slices(text) if i not in apart else ():
+                group.append(part)
+                owner.append(i)
+                size += len(part)
+                if size >= GROUP:
+                    self._into(out, owner, group)
+                    group, owner, size = [], [], 0
+        self._into(out, owner, group)
+        return out
+
+    def _into(self, out: list[bytes], owner: list[int], parts: list[str]) -> None:
+        for i, ids in zip(owner, self._encode(parts)):
+            out[i] = out[i] + ids if out[i] else ids
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Each distinct fragment of the parts is looked up once; ids are then laid out in one gather."""
+        raw, places, many = forced_cuts(parts)
+        if not len(places):
+            return [b""] * len(parts)
+        offsets = np.append(places, len(raw)).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        distinct, which = cut.dictionary.to_pylist(), cut.indices.to_numpy()
+        if self.held > REMEMBERED:
+            self.forget()
+        known = self.known
+        new = [f for f in distinct if f not in known]
+        self._learn(new)
+        ids = [known[f] for f in distinct]
+        for fragment in new:
+            if len(fragment) > WORTH:
+                known.pop(fragment, None)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        data = np.frombuffer(b"".join(ids), np.int32)
+        lengths = sizes[which]
+        stops = lengths.cumsum()
+        laid = data[np.arange(int(stops[-1])) + np.repeat((sizes.cumsum() - sizes)[which] - (stops - lengths), lengths)].tobytes()
+        ends = (4 * np.append(0, stops)[many.cumsum()]).tolist()
+        return [laid[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode fragments not met before. A word is encoded without the signs behind it: the
+        pattern always ends a run of letters there, so the parts' ids can be joined."""
+        known, ended, todo = self.known, [], set()
+        for fragment in new:
+            word = fragment.rstrip(b",.;:!?")
+            if len(word) < len(fragment) and word[-1:].isalpha():
+                signs = fragment[len(word):]
+                ended.append((fragment, word, signs))
+                todo.add(word)
+                todo.add(signs)
+            else:
+                todo.add(fragment)
+        todo = list(todo.difference(known))
+        known.update(zip(todo, self.compute(todo)))
+        for fragment, word, signs in ended:
+            known[fragment] = known[word] + known[signs]
+        self.held += (ENTRY + WORTH // 2) * (len(todo) + len(ended))
+
+
+# The settings under which forced cuts and the pattern hold.
+_SETTINGS = {
+    "normalizer": None, "post_processor": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
+              "byte_fallback": False, "ignore_merges": False},
+}
+_PLAIN_TOKEN = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def _check(spec: dict, path: str) -> None:
+    """Raise unless the file describes plain byte-level BPE."""
+    for part, wanted in _SETTINGS.items():
+        found = spec.get(part)
+        for name, value in (wanted or {}).items():
+            if (found or {}).get(name, value) != value or not found:
+                raise ValueError(f"{path}: {part}.{name} is {(found or {}).get(name)!r}, only {value!r} is supported")
+        if wanted is None and found is not None:
+            raise ValueError(f"{path}: {part} is set, which is not supported")
+    for token in spec.get("added_tokens", ()):
+        if any(token.get(name) for name in _PLAIN_TOKEN):
+            raise ValueError(f"{path}: added token {token['content']!r} is not plain")
+
+
+class ByteBpe(FragmentEncoder):
     """Codec built from a `tokenizers` JSON file of a byte-level BPE model."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec, path)
         model, symbols = spec["model"], byte_symbols()
         back = {s: b for b, s in enumerate(symbols)}
         vocab = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        self.special_ids = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.special_ids.values()]) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[ch] for ch in token)
-        for token, i in self.special.items():
+        for token, i in self.special_ids.items():
             self.bytes_of[i] = token.encode()
-        self.single = [vocab[symbols[b]] for b in range(256)]
+        self.token_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.token_size = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.token_start = self.token_size.cumsum() - self.token_size
+        self.single = np.array([vocab[symbols[b]] for b in range(256)], np.int32)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self._made = np.array([new for _, new in self.merges.values()], np.int32)
+        self._table_keys, self._table_ranks = _pair_table(self.merges)
         self.inside = _pairs_inside(self.bytes_of[i] for i in vocab.values())
-        self._joined = frozenset(zip(*(x.tolist() for x in np.nonzero(self.inside))))
         # True when a space never follows, and a line feed never touches, a visible byte inside a
         # token. Tokens of nothing but space characters come from runs of those, which stay whole.
         worded = _pairs_inside(b for b in self.bytes_of if not b.decode("utf-8", "replace").isspace())
         ink = np.setdiff1d(np.arange(256), [9, 10, 11, 12, 13, 32])
-        self.cut_at_words = not (worded[ink][:, [32, 10]].any() or worded[10, ink].any())
         self._pattern = regex.compile(PATTERN)
-        self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._pieces = Remembered(self._merge_bytes)
-        self._fragments = Remembered(self._encode_fragment)
+        self._special = regex.compile("(" + "|".join(map(regex.escape, self.special_ids)) + ")") if self.special_ids else None
+        super().__init__(not (worded[ink][:, [32, 10]].any() or worded[10, ink].any()), self.special_ids)
 
     # --- encoding -----------------------------------------------------------------------
 
-    def encode_bytes(self, text: str) -> bytes:
-        """All ids of a text as little-endian 32-bit integers."""
-        if self._special and self._special.search(text):
-            parts = self._special.split(text)
-            return b"".join(
-                np.int32(self.special[p]).tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts)
-            )
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if not self.cut_at_words:
-            return self._encode_fragment(text)
-        return b"".join(map(self._fragments.__getitem__, fragments(text)))
-
-    def _encode_fragment(self, fragment: str) -> bytes:
-        pieces = self._pieces
-        return b"".join(pieces[part] for word in self._pattern.findall(fragment) for part in self._cut(word.encode()))
-
-    def _cut(self, raw: bytes) -> list[bytes]:
-        """Cut at every forced boundary."""
-        if len(raw) > LONG:
-            codes = np.frombuffer(raw, np.uint8)
-            at = [0, *(np.flatnonzero(~self.inside[codes[:-1], codes[1:]]) + 1).tolist(), len(raw)]
-        else:
-            joined = self._joined
-            at = [0, *(i for i, p in enumerate(zip(raw, raw[1:]), 1) if p not in joined), len(raw)]
-        return [raw[i:j] for i, j in zip(at, at[1:])]
-
-    def _merge_bytes(self, part: bytes) -> bytes:
-        ids = [self.single[b] for b in part]
-        return array("i", self._merge_long(ids) if len(ids) > LONG else self._merge_short(ids)).tobytes()
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        """Merge the lowest rank, leftmost first, until no pair has one."""
-        rank = self.merges.get
-        keys = [rank(p, NEVER) for p in zip(ids, ids[1:])]
-        while keys and (best := min(keys)) is not NEVER:
-            i = keys.index(best)
-            new = best[1]
-            ids[i:i + 2] = [new]
-            del keys[i]
-            if i < len(keys):
-                keys[i] = rank((new, ids[i + 1]), NEVER)
-            if i:
-                keys[i - 1] = rank((ids[i - 1], new), NEVER)
-        return ids
+    def compute_whole(self, texts: list[str]) -> list[bytes]:
+        """Texts with special tokens, or of a vocabulary that forces no cuts between words."""
+        out = []
+        for text in texts:
+            parts = self._special.split(text) if self._special else [text]
+            encode = (lambda t: self([t])[0]) if self.cut else (lambda t: next(iter(self.compute([t.encode()]))))
+            out.append(b"".join(np.int32(self.special_ids[p]).tobytes() if i % 2 else encode(p) for i, p in enumerate(parts)))
+        return out
+
+    def compute(self, new: list[bytes]) -> Iterable[bytes]:
+        """Split by the pattern, cut at every forced pair, merge all pieces side by side."""
+        words, owner = [], []
+        for i, fragment in enumerate(new):
+            if fragment.isalpha() or fragment[1:].isalpha() and fragment[:1] == b" ":  # ASCII letters only
+                words.append(fragment)
+                owner.append(i)
+            else:
+                found = self._pattern.findall(fragment.decode())
+                words += [w.encode() for w in found]
+                owner += [i] * len(found)
+        codes = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        word_of = np.repeat(np.arange(len(words)), sizes)
+        cut = np.ones(len(codes), bool)
+        cut[1:] = ~self.inside[codes[:-1], codes[1:]] | (word_of[1:] != word_of[:-1])
+        ids, piece = self._merge_pieces(self.single[codes], np.cumsum(cut) - 1)
+        of_piece = np.array(owner, np.int64)[word_of[cut]]
+        counts = np.bincount(of_piece[piece], minlength=len(new)) if len(piece) else np.zeros(len(new), np.int64)
+        data, stops = ids.astype(np.int32).tobytes(), (4 * counts.cumsum()).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or the number of merges where there is none."""
+        key = left.astype(np.int64) << 32 | right
+        at = _slot(key, len(self._table_keys))
+        found = np.full(len(key), len(self._made), np.int64)
+        todo = np.arange(len(key))
+        while len(todo):
+            seen = self._table_keys[at[todo]]
+            hit = seen == key[todo]
+            found[todo[hit]] = self._table_ranks[at[todo[hit]]]
+            todo = todo[~hit & (seen >= 0)]
+            at[todo] = (at[todo] + 1) % len(self._table_keys)
+        return found
+
+    def _merge_pieces(self, ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge each piece by rank, leftmost first among equals: ids, and the piece of each, in order."""
+        never = len(self._made)
+        done_ids, done_piece = [], []
+        sizes = np.bincount(piece)
+        for long in np.flatnonzero(sizes > LONG).tolist():
+            merged = self._merge_long(ids[slice(*np.searchsorted(piece, [long, long + 1]))].tolist())
+            done_ids.append(np.array(merged, np.int32))
+            done_piece.append(np.full(len(merged), long))
+        if len(done_ids):
+            short = sizes[piece] <= LONG
+            ids, piece = ids[short], piece[short]
+        ids = ids.copy()
+        rank = np.full(len(ids), never, np.int64)
+        inner = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[inner] = self._ranks(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            lengths = np.diff(np.r_[starts, len(ids)])
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), starts)
+            live = (best >> 32) < never
+            stay = np.repeat(live, lengths)
+            if not live.all():
+                done_ids.append(ids[~stay])
+                done_piece.append(piece[~stay])
+            at = (best[live] & 0xFFFFFFFF).astype(np.int64)
+            ids[at] = self._made[(best[live] >> 32)]
+            # The merged place takes over its right neighbour's end; only two pairs change.
+            last = np.repeat(starts + lengths - 1, lengths)
+            ends = at + 1 == last[at]
+            after = np.minimum(at + 2, len(ids) - 1)
+            rank[at] = np.where(ends, never, self._ranks(ids[at], ids[after]))
+            before = at[~(at == np.repeat(starts, lengths)[at])] - 1
+            rank[before] = self._ranks(ids[before], ids[before + 1])
+            stay[at + 1] = False
+            ids, piece, rank = ids[stay], piece[stay], rank[stay]
+        if not done_ids:
+            return ids, piece
+        ids, piece = np.concatenate(done_ids), np.concatenate(done_piece)
+        order = np.argsort(piece, kind="stable")
+        return ids[order], piece[order]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges in the same order, lowest rank first and leftmost among equals."""
@@ -195,23 +368,53 @@ class ByteBpe:
 
     # --- decoding -----------------------------------------------------------------------
 
-    def decode_bytes(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-
-
-@lru_cache(maxsize=2)
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The text of each run of `counts` ids, from one buffer of all token bytes."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.bytes_of)):
+            raise IndexError("id out of range of the vocabulary")
+        sizes = self.token_size[ids]
+        stops = sizes.cumsum()
+        places = np.arange(int(sizes.sum())) + np.repeat(self.token_start[ids] - (stops - sizes), sizes)
+        data = self.token_bytes[places].tobytes()
+        ends = np.r_[0, stops][counts.cumsum()].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    """First place of a pair in the hash table of pairs."""
+    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64) % size
+
+
+def _pair_table(merges: dict[tuple[int, int], tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Open-addressing table from pairs to ranks, four times as large as it has entries."""
+    size = 4 * len(merges) + 1
+    keys, ranks = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    pairs = np.array(list(merges), np.int64).reshape(-1, 2)
+    key = pairs[:, 0] << 32 | pairs[:, 1]
+    for k, at, (rank, _) in zip(key.tolist(), _slot(key, size).tolist(), merges.values()):
+        while keys[at] >= 0:
+            at = (at + 1) % size
+        keys[at], ranks[at] = k, rank
+    return keys, ranks
+
+
+@lru_cache(maxsize=1)
 def codec(path: str) -> ByteBpe:
     """One codec per worker process and vocabulary."""
     return ByteBpe(path)
 
 
+def _coded(bpe: ByteBpe, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, and how many each has."""
+    parts = bpe([t or "" for t in texts])
+    return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
 def encoder(path: str):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        bpe = codec(path)
-        parts = [bpe.encode_bytes(t) if t else b"" for t in texts.to_pylist()]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        return list_array(np.frombuffer(b"".join(parts), np.int32), counts, pa.int32())
+        return list_array(*_coded(codec(path), texts.to_pylist()), pa.int32())
 
     return encode
 
@@ -219,16 +422,13 @@ def encoder(path: str):
 def decoder(path: str):
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        bpe = codec(path)
-        return pa.array([None if x is None else bpe.decode_bytes(x.tolist()) for x in map(_values, ids)], pa.string())
+        counts = ids.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        texts = codec(path).decode_all(ids.flatten().to_numpy(zero_copy_only=False), counts)
+        return pa.array([t if there else None for t, there in zip(texts, ids.is_valid().to_pylist())], pa.string())
 
     return decode
 
 
-def _values(x: pa.Scalar):
-    return x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
-
-
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): the ids of every whole text."""
     return pick(docs, key, text).select(key, encoder(path)(F.col(text)).alias("ids"))
@@ -249,10 +449,11 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in small_batches(batches):
-            parts = [bpe.encode_bytes(t) if t else b"" for t in batch.column(1).to_pylist()]
-            ids = list_array(np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4, pa.int32())
-            decoded = pa.array([bpe.decode_bytes(x.values.to_pylist()) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], [key, "ids", "decoded"])
+            ids, counts = _coded(bpe, batch.column(1).to_pylist())
+            decoded = pa.array(bpe.decode_all(ids, counts), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(ids, counts, pa.int32()), decoded], [key, "ids", "decoded"])
+        bpe.forget()
+        let_go()
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -23,9 +25,46 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS = 500
 
 
+# A worker's memory of words or fragments: bytes (about) before it starts afresh, the longest
+# text that is remembered, and the bytes of an entry besides. Bounds memory, never results.
+REMEMBERED, WORTH, ENTRY = 64 << 20, 64, 190
+
 _shipped: set[str] = set()
 
 
+class Remembered(dict):
+    """Text -> value computed from it, kept for short texts up to a number of bytes."""
+
+    def __init__(self, compute):
+        self.compute, self.held = compute, 0
+
+    def __missing__(self, text):
+        found = self.compute(text)
+        if len(text) <= WORTH:
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self[text] = found
+            self.held += ENTRY + len(text)
+        return found
+
+
+def let_go() -> None:
+    """Hand memory freed at the end of a task back to the system: Spark's Python workers live on,
+    and what one stage leaves behind would add to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # not this C library: nothing to trim
+    _libc = None
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings, and once per application the package itself for the executors' Python."""
     session.configure(spark)

@@ -39,8 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.bpe import Remembered
-from storepulse.llm.common import components, pick, small_batches, stored
+from storepulse.llm.common import Remembered, components, pick, small_batches, stored
 
 SKETCH_BITS = 24  # counters of the column sketch: 16 million, one byte each when they reach the tasks
 SKETCH_PARTS = 64

@@ -25,7 +25,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,12 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storepulse.llm.bpe import fragments
+from storepulse.llm.bpe import ByteBpe, FragmentEncoder
 from storepulse.llm.common import fresh_path, pick, small_batches
 
 MAGIC = b"RPG1"
-# Fragments a worker remembers before it starts afresh; bounds its memory, never changes a result.
-REMEMBERED = 1 << 20
 HEAD = struct.Struct("<4sIIIQQ")
 SHARDS = "part int, shard int, n_docs int, n_tokens long, doc_ids array<bigint>, block binary"
 
@@ -205,56 +202,51 @@ class Shard:
 
 # --- encoding with the library ----------------------------------------------------------
 
-class LibraryEncoder:
+class LibraryEncoder(FragmentEncoder):
     """Ids by the `tokenizers` library. Fragments between forced cuts are encoded once and
     remembered; a text with a special token goes to the library as it is."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        from storepulse.llm.bpe import ByteBpe
-
         # Spark runs the tasks side by side; threads of the library would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         spec = ByteBpe(path)
+        self.token_size = spec.token_size
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = list(spec.special)
-        self.cut = spec.cut_at_words
-        self.known: dict[str, bytes] = {"": b""}
+        super().__init__(spec.cut, spec.special)
+
+    def compute_whole(self, texts: list[str]) -> list[bytes]:
+        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, np.uint32).tobytes() for e in encoded]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def compute(self, new: list[bytes]) -> list[bytes]:
+        """Encode fragments not met before as one text, each after its own space or a line feed.
 
-    def _learn(self, new: set[str]) -> None:
-        """Encode fragments not met before. A word before commas and full stops is encoded without
-        them: the pattern always ends a run of letters there, so the parts' ids can be joined."""
-        ended = {}
+        Without space characters inside, a fragment has forced cuts on both sides there; the
+        bytes of the tokens tell whose ids are whose. Other fragments are encoded one by one.
+        """
+        plain, texts = [], []
         for fragment in new:
-            word = fragment.rstrip(",.")
-            if len(word) < len(fragment) and word[-1:].isalpha():
-                ended[fragment] = word
-        wanted = new.difference(ended)
-        wanted.update(ended.values())
-        wanted.update(f[len(w):] for f, w in ended.items())
-        wanted = list(wanted.difference(self.known))
-        self.known.update(zip(wanted, self._ids(wanted)))
-        for fragment, word in ended.items():
-            self.known[fragment] = self.known[word] + self.known[fragment[len(word):]]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.cut or any(s in t for s in self.special) for t in texts]
-        parts = [[] if w else fragments(t) for t, w in zip(texts, whole)]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = set()
-        for p in parts:
-            new.update(p)
-        self._learn(new.difference(self.known))
-        get = self.known.__getitem__
-        direct = iter(self._ids([t for t, w in zip(texts, whole) if w]))
-        return [next(direct) if w else b"".join(map(get, p)) for p, w in zip(parts, whole)]
+            text = fragment.decode()
+            word = text[1:] if text[0] == " " else text
+            plain.append(word.split() == [word])
+            texts.append(text)
+        shown = [f if f[0] == 32 else b"\n" + f for f, p in zip(new, plain) if p]
+        others = iter(self.compute_whole([t for t, p in zip(texts, plain) if not p]))
+        sizes = np.fromiter(map(len, shown), np.int64, len(shown))
+        skip = np.fromiter((f[0] == 10 for f in shown), np.int64, len(shown))
+        ids = np.frombuffer(self.compute_whole([b"".join(shown).decode()])[0], np.uint32) if shown else np.zeros(0, np.uint32)
+        reach = np.r_[0, self.token_size[ids].cumsum()]
+        stops = sizes.cumsum()
+        first, last = np.searchsorted(reach, stops - sizes + skip), np.searchsorted(reach, stops)
+        if (reach[last] != stops).any() or (reach[first] != stops - sizes + skip).any():
+            raise ValueError("a token reaches over a forced cut")
+        data = ids.tobytes()
+        words = iter([data[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist())])
+        return [next(words) if p else next(others) for p in plain]
 
 
 @lru_cache(maxsize=1)

@@ -31,8 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.bpe import Remembered
-from storepulse.llm.common import list_array, pick, small_batches, stored, tucked
+from storepulse.llm.common import Remembered, list_array, pick, small_batches, stored, tucked
 
 # Words that address someone.
 SECOND_PERSON = frozenset(
