@@ -114,6 +114,8 @@ class FragmentEncoder:
     be cut (`compute_whole`).
     """
 
+    remembered = REMEMBERED
+
     def __init__(self, cut: bool, special: Iterable[str]):
         self.cut, self.special = cut, tuple(special)
         self.forget()
@@ -159,7 +161,7 @@ class FragmentEncoder:
         offsets = np.append(places, len(raw)).astype(np.int32)
         cut = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
         distinct, which = cut.dictionary.to_pylist(), cut.indices.to_numpy()
-        if self.held > REMEMBERED:
+        if self.held > self.remembered:
             self.forget()
         known = self.known
         new = [f for f in distinct if f not in known]

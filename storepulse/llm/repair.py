@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storepulse.llm.bpe import ByteBpe, FragmentEncoder
+from storepulse.llm.bpe import GROUP, ByteBpe, FragmentEncoder
 from storepulse.llm.common import fresh_path, pick, small_batches
 
 MAGIC = b"RPG1"
@@ -206,6 +206,8 @@ class LibraryEncoder(FragmentEncoder):
     """Ids by the `tokenizers` library. Fragments between forced cuts are encoded once and
     remembered; a text with a special token goes to the library as it is."""
 
+    remembered = 160 << 20
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -256,6 +258,20 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 # --- Spark ------------------------------------------------------------------------------
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts, some megabytes at a time: a fragment is looked up once per group."""
+    names, texts, size = [], [], 0
+    for batch in small_batches(batches):
+        names += batch.column(0).to_pylist()
+        texts += [t or "" for t in batch.column(1).to_pylist()]
+        size += batch.column(1).nbytes
+        if size >= GROUP:
+            yield names, texts
+            names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
 def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[str]], list[bytes]]],
                  options: RepairOptions = RepairOptions(), key: str = "doc_id", text: str = "text") -> str:
     """Encode all texts in ascending key order and write the shard table to `path`."""
@@ -279,9 +295,8 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable[[lis
                 ["part", "shard", "n_docs", "n_tokens", "doc_ids", "block"],
             )
 
-        for batch in small_batches(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for k, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+        for names, texts in _gathered(batches):
+            for k, ids in zip(names, encode(texts)):
                 keys.append(k)
                 held.append(ids + end)
                 size += len(held[-1])
