@@ -6,19 +6,24 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storepulse.sources.versions import Version, VersionedTable
+
 LAYERS = ("raw", "staging", "marts", "data_quality", "reports")
 
 
 class Tables:
-    """Named tables in layers, kept as Parquet below one folder.
+    """Named tables in layers, kept as versioned Parquet tables below one folder.
 
-    Saved tables are read back from their files, so no lineage grows across layers and any
-    later job can open them by folder, layer and name. Views live in the session only.
+    A saved table is replaced as a whole or not at all: a write that fails, or a job that is
+    killed, leaves the version before it in place. Saved tables are read back from their
+    files, so no lineage grows across layers and any later job can open them by folder, layer
+    and name. Views live in the session only.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.keep = keep
         self.views: dict[tuple[str, str], DataFrame] = {}
 
     def path(self, layer: str, name: str) -> str:
@@ -26,6 +31,9 @@ class Tables:
             raise ValueError(f"unknown layer {layer!r}; use one of {LAYERS}")
         return f"{self.folder}/{layer}/{name}"
 
+    def table(self, layer: str, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, self.path(layer, name))
+
     def view(self, layer: str, name: str, df: DataFrame) -> DataFrame:
         self.path(layer, name)
         self.views[layer, name] = df
@@ -35,14 +43,20 @@ class Tables:
     def save(
         self, layer: str, name: str, df: DataFrame, partition_by: Sequence[str] = ()
     ) -> DataFrame:
-        """Create or replace a table and return it as read back."""
-        save_table(df, self.path(layer, name), partition_by)
-        return self.view(layer, name, self.spark.read.parquet(self.path(layer, name)))
-
-    def get(self, layer: str, name: str) -> DataFrame:
-        """A table of this folder: the view made here, or else the files of an earlier job."""
+        """Create or replace a table and return it as read back. Versions before the last
+        `keep` are removed, so a job that opened the table before can still finish."""
+        table = self.table(layer, name)
+        version = save_table(df, table.path, partition_by)
+        table.remove_old(self.keep)
+        return self.view(layer, name, table.read(version))
+
+    def get(self, layer: str, name: str, version: int | None = None) -> DataFrame:
+        """A table of this folder: the view made here, or else the files of an earlier job. With
+        `version`, that version from the files."""
+        if version is not None:
+            return self.table(layer, name).read(version)
         if (layer, name) not in self.views:
-            self.view(layer, name, self.spark.read.parquet(self.path(layer, name)))
+            self.view(layer, name, self.table(layer, name).read())
         return self.views[layer, name]
 
     def sql(self, text: str) -> DataFrame:
@@ -57,13 +71,9 @@ def register_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite a Parquet table. Partitioned writes are rebalanced by Spark, which also
-    splits a partition value that holds far more rows than the others."""
-    if partition_by:
-        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Version:
+    """Write a new version of the table at `path`; the old one stays until the new one is complete."""
+    return VersionedTable(df.sparkSession, path).write(df, partition_by)
 
 
 def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:

@@ -26,7 +26,8 @@ def test_every_layer_is_there(built):
     for name in pipeline.QUALITY_TABLES:
         assert tables.get("data_quality", name).columns
     assert tables.get("staging", "stg_orders").count() == tables.get("marts", "fct_orders").count()
-    assert any(d.startswith("order_month=") for d in os.listdir(folder + "/marts/fct_orders"))
+    data, = tables.table("marts", "fct_orders").folders()
+    assert any(d.startswith("order_month=") for d in os.listdir(data))
 
 
 def test_reports(spark, built):
