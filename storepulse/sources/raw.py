@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -65,14 +67,46 @@ def _path(folder: str, table: RawTable) -> str:
     return f"{folder.rstrip('/')}/{table.file}"
 
 
+MALFORMED = "_malformed"
+# How fields are read, by the file reader and line by line alike.
+_CSV = {"escape": '"', "nullValue": "", "emptyValue": "", "columnNameOfCorruptRecord": MALFORMED, "mode": "PERMISSIVE"}
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Column names, from the header row: extra or reordered columns are fine."""
+    return spark.read.options(**_CSV).option("header", True).csv(path).columns
+
+
+def _schema(names: Sequence[str]) -> StructType:
+    return StructType([StructField(n, StringType()) for n in (*names, MALFORMED)])
+
+
 def _scan(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    # Column names come from the header row, so extra or reordered columns are fine.
+    """All rows as text; rows with too few or too many fields carry their text in the last column.
+
+    Whole rows are parsed whatever columns are used, since a row's faults may lie in others;
+    the files of a table must agree in their headers.
+    """
     return (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-        .option("nullValue", "").option("emptyValue", "").csv(path)
+        spark.read.schema(_schema(_names(spark, path))).options(**_CSV).option("header", True).option("enforceSchema", False)
+        .option("columnPruning", False).option("multiLine", multi_line).csv(path)
     )
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of every line. Lines of a file are numbered by the blocks that tasks
+    read: the number inside the block, plus the lines of all blocks before it."""
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"),
+    )
+    blocks = text.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    known = blocks.select("file", "block", "first", before.alias("before"))
+    return text.join(known, ["file", "block"]).select(
+        "file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "text")
+
+
 def check_inputs(
     spark: SparkSession, folder: str, catalog: Mapping[str, RawTable] = CATALOG
 ) -> None:
@@ -98,7 +132,8 @@ def read_raw(
     """All catalogue tables as text columns. A table may be one file or a folder of parts.
 
     `multi_line` accepts line breaks inside quotes at the price of unsplittable files.
-    Empty cells, quoted or not, are NULL.
+    Empty cells, quoted or not, are NULL. Rows with too few or too many fields are left out;
+    `malformed` lists them.
     """
     check_inputs(spark, folder, catalog)
     tables = {}
@@ -107,10 +142,28 @@ def read_raw(
         absent = [c for c in table.columns if c not in df.columns]
         if absent:
             raise ValueError(f"{table.file} lacks columns: {', '.join(absent)}")
-        tables[name] = df
+        # Spark refuses to read the last column alone, so a count needs another one in the condition.
+        parsed = F.length(F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit(""))) >= 0
+        tables[name] = df.filter(F.col(MALFORMED).isNull() & parsed).drop(MALFORMED)
     return tables
 
 
+def malformed(spark: SparkSession, folder: str, catalog: Mapping[str, RawTable] = CATALOG) -> DataFrame:
+    """(table, file, line, text) of the rows that `read_raw` leaves out of one-line-a-row files.
+
+    Lines are judged by the same parser and settings. Headers and blank lines are no rows.
+    """
+    check_inputs(spark, folder, catalog)
+    parts = []
+    for name, table in catalog.items():
+        path = _path(folder, table)
+        names = _names(spark, path)
+        fields = F.from_csv("text", _schema(names).toDDL(), _CSV)
+        faulty = _lines(spark, path).filter((F.col("line") > 1) & (F.trim("text") != "")).withColumn("fields", fields)
+        parts.append(faulty.filter(F.col(f"fields.{MALFORMED}").isNotNull()).select(F.lit(name).alias("table"), "file", "line", "text"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: (table, rows)."""
     counts = [

@@ -55,6 +55,53 @@ def test_missing_column_is_named(spark, tmp_path):
         raw.read_raw(spark, str(tmp_path))
 
 
+BAD = ["4,5", "6,7,8,9,10", "s7,\"open,RIO,rj", "s8"]
+GOOD = ["s1,04321,RIO,rj", "s2,\"a, \"\"b\"\"\",SP,sp", "s3,,,", ",,,"]
+
+
+def test_malformed_rows_are_set_aside(spark, tmp_path):
+    """Good and malformed rows together are all rows; each malformed one is named by file and line."""
+    write_raw(str(tmp_path))
+    (tmp_path / "sellers.csv").unlink()
+    (tmp_path / "sellers.csv").mkdir()
+    header = ",".join(raw.CATALOG["sellers"].columns)
+    where = {}
+    for part, lines in {"a": [GOOD[0], BAD[0], "", GOOD[1], BAD[1]], "b": [BAD[2], *GOOD, BAD[3]]}.items():
+        (tmp_path / "sellers.csv" / f"{part}.csv").write_text("\n".join([header, *lines]) + "\n")
+        where |= {(f"{part}.csv", i): x for i, x in enumerate(lines, start=2) if x in BAD}
+    tables = raw.read_raw(spark, str(tmp_path))
+    assert tables["sellers"].columns == list(raw.CATALOG["sellers"].columns)
+    good = rows(tables["sellers"], "seller_id", "seller_zip_code_prefix")
+    assert good == sorted([("s1", "04321"), ("s2", 'a, "b"'), ("s1", "04321"), ("s2", 'a, "b"'), ("s3", None), (None, None)], key=repr)
+    assert tables["sellers"].select("seller_id").count() == 6 == raw.row_counts(tables).filter("table = 'sellers'").first().rows
+    out = raw.malformed(spark, str(tmp_path))
+    assert {(os.path.basename(r.file), r.line): r.text for r in out.collect()} == where
+    assert {r.table for r in out.collect()} == {"sellers"}
+
+
+def test_line_numbers_over_many_blocks(spark, tmp_path):
+    write_raw(str(tmp_path), {**TEXT, "products": [f"p{i},c{i}" if i % 50 else f"p{i}" for i in range(2, 3000)]})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = raw.malformed(spark, str(tmp_path))
+        assert rows(out, "line", "text") == sorted(((i, f"p{i}") for i in range(50, 3000, 50)), key=repr)
+        assert raw.read_raw(spark, str(tmp_path))["products"].count() == 2998 - 59
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_files_of_a_table_agree_in_their_headers(spark, tmp_path):
+    write_raw(str(tmp_path))
+    (tmp_path / "products.csv").unlink()
+    (tmp_path / "products.csv").mkdir()
+    (tmp_path / "products.csv" / "a.csv").write_text("product_id,product_category_name\np1,x\n")
+    (tmp_path / "products.csv" / "b.csv").write_text("product_category_name,product_id\nx,p2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        raw.read_raw(spark, str(tmp_path))["products"].collect()
+
+
 def test_other_file_names():
     assert raw.catalog_with_files({"orders": "my_orders.csv"})["orders"].file == "my_orders.csv"
 
