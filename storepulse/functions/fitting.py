@@ -1,97 +1,183 @@
-"""Numeric fits for one short series inside a task (numpy only)."""
+"""Fits of short series in column expressions: damped trend and least squares.
 
-from __future__ import annotations
+A series is one array, or one row per point of it; its length is the number of calendar weeks.
+"""
 
-import sys
+from __future__ import annotations
 
-import numpy as np
-from pyspark import cloudpickle
+from collections.abc import Callable, Sequence
+from itertools import combinations_with_replacement, product
 
-# Executors get these functions inside the task, so they need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Search bounds of the damped-trend parameters.
 SMOOTHING_BOUNDS = (1e-4, 1 - 1e-4)
 DAMPING_BOUNDS = (0.8, 0.995)
+# First grid (level weight, trend weight as a share of it, damping) and the number of times the
+# neighbourhood of its best point is searched with half the steps.
+GRID = (9, 5, 4)
+HALVINGS = 8
+# A regressor whose part that others do not explain is smaller than this share is left out.
+DEPENDENT = 1e-10
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+# --- damped trend --------------------------------------------------------------------------
+
+def _even(low: float, high: float, n: int) -> list[float]:
+    return [low + (high - low) * i / (n - 1) for i in range(n)]
+
+
+def first_grid() -> list[tuple[float, float, float]]:
+    """(level weight, share of the trend weight, damping) of every point of the first grid."""
+    return list(product(_even(*SMOOTHING_BOUNDS, GRID[0]), _even(0.0, 1.0, GRID[1]), _even(*DAMPING_BOUNDS, GRID[2])))
+
+
+def first_steps() -> tuple[float, float, float]:
+    return ((SMOOTHING_BOUNDS[1] - SMOOTHING_BOUNDS[0]) / (GRID[0] - 1), 1.0 / (GRID[1] - 1),
+            (DAMPING_BOUNDS[1] - DAMPING_BOUNDS[0]) / (GRID[2] - 1))
 
 
-def _one_step(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray, phi: np.ndarray):
-    """Run the level/trend recursion for many parameter triples at once.
+RUNS = ("a", "u", "v")  # the data, a unit start level, a unit start trend
 
-    Forecasts are affine in the start level and start trend, so three runs (data, unit
-    level, unit trend) describe every start state. Yields per time step the three
-    predictions, and finally the three (level, trend) states.
+
+def _started(y: Column, p: Column) -> Column:
+    """Run level and trend through the series; the sums that give the best start state.
+
+    Forecasts are affine in the start level and trend: three runs describe every start. The
+    state holds, for each run, the level, the damped trend and the next prediction.
     """
-    m = len(alpha)
-    level = np.zeros((3, m))
-    trend = np.zeros((3, m))
-    level[1], trend[2] = 1.0, 1.0
-    preds = np.empty((len(y), 3, m))
-    for t, value in enumerate(y):
-        drift = phi * trend
-        pred = level + drift
-        preds[t] = pred
-        new_level = (1 - alpha) * pred
-        new_level[0] += alpha * value
-        trend = beta * (new_level - level) + (1 - beta) * drift
-        level = new_level
-    return preds, level, trend
-
-
-def _best_start(y: np.ndarray, preds: np.ndarray):
-    """Least-squares start state and squared error for every parameter triple."""
-    d = y[:, None] - preds[:, 0]
-    u, v = preds[:, 1], preds[:, 2]
-    uu, uv, vv = (u * u).sum(0), (u * v).sum(0), (v * v).sum(0)
-    ud, vd = (u * d).sum(0), (v * d).sum(0)
-    det = uu * vv - uv * uv
-    det = np.where(np.abs(det) < 1e-12, 1e-12, det)
-    level0 = (ud * vv - vd * uv) / det
-    trend0 = (vd * uu - ud * uv) / det
-    sse = ((d - u * level0 - v * trend0) ** 2).sum(0)
-    return level0, trend0, sse
-
-
-def _grid(alpha, share, phi):
-    a, s, p = (g.ravel() for g in np.meshgrid(alpha, share, phi, indexing="ij"))
-    return a, np.clip(a * s, SMOOTHING_BOUNDS[0], a), p
-
-
-def damped_trend(y: np.ndarray, h: int, rounds: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """Additive damped trend by least squares: (fitted values, h forecasts).
-
-    The trend weight is at most the level weight. A coarse grid over the three smoothing
-    parameters is refined around its best point.
+    alpha, phi = p["alpha"], p["phi"]
+    beta = F.greatest(alpha * p["share"], F.lit(SMOOTHING_BOUNDS[0]))
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def state(level: dict, drift: dict, predicted: dict, sums: dict) -> Column:
+        parts = [(f"{n}{r}", c[r]) for n, c in (("l", level), ("d", drift), ("p", predicted)) for r in RUNS]
+        return F.struct(*(c.alias(n) for n, c in [*parts, *sums.items()]))
+
+    names = ("uu", "uv", "vv", "ue", "ve", "ee")
+    start = state({"a": zero, "u": one, "v": zero}, {"a": zero, "u": zero, "v": phi * one},
+                  {"a": zero, "u": one, "v": phi * one}, dict.fromkeys(names, zero))
+
+    def step(s: Column, value: Column) -> Column:
+        e, u, v = value - s["pa"], s["pu"], s["pv"]
+        level = {r: (one - alpha) * s[f"p{r}"] + (alpha * value if r == "a" else zero) for r in RUNS}
+        drift = {r: phi * (beta * (level[r] - s[f"l{r}"]) + (one - beta) * s[f"d{r}"]) for r in RUNS}
+        sums = {"uu": s["uu"] + u * u, "uv": s["uv"] + u * v, "vv": s["vv"] + v * v,
+                "ue": s["ue"] + u * e, "ve": s["ve"] + v * e, "ee": s["ee"] + e * e}
+        return state(level, drift, {r: level[r] + drift[r] for r in RUNS}, sums)
+
+    def best_start(s: Column) -> Column:
+        # A series too short to tell level and trend apart starts without a trend.
+        det = s["uu"] * s["vv"] - s["uv"] * s["uv"]
+        alone = det <= F.lit(DEPENDENT) * s["uu"] * s["vv"]
+        level = F.when(alone, s["ue"] / s["uu"]).otherwise((s["ue"] * s["vv"] - s["ve"] * s["uv"]) / det)
+        trend = F.when(alone, F.lit(0.0)).otherwise((s["ve"] * s["uu"] - s["ue"] * s["uv"]) / det)
+        return F.struct(
+            (s["ee"] - level * s["ue"] - trend * s["ve"]).alias("sse"), alpha.alias("alpha"), p["share"].alias("share"),
+            phi.alias("phi"), level.alias("level"), trend.alias("trend"))
+
+    return _let(F.aggregate(y, start, step), best_start)
+
+
+def _clipped(value: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def _around(best: Column, steps: Sequence[float]) -> Column:
+    """The best point and its neighbours one step away in every direction, inside the bounds."""
+    def point(i: int, j: int, k: int) -> Column:
+        return F.struct(
+            _clipped(best["alpha"] + i * steps[0], *SMOOTHING_BOUNDS).alias("alpha"),
+            _clipped(best["share"] + j * steps[1], 0.0, 1.0).alias("share"),
+            _clipped(best["phi"] + k * steps[2], *DAMPING_BOUNDS).alias("phi"))
+
+    return F.array(*(point(i, j, k) for i, j, k in product((-1, 0, 1), repeat=3)))
+
+
+def damped_trend(y: Column) -> Column:
+    """Additive damped trend of an array by least squares: struct(phi, level, trend, fitted).
+
+    The trend weight is at most the level weight. A grid over the three smoothing parameters is
+    refined around its best point; of points with the same error the one with the smallest
+    parameters is taken. `level` and `trend` are the state after the last value.
+    """
+    grid = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(s).alias("share"), F.lit(f).alias("phi")) for a, s, f in first_grid()))
+
+    def least(points: Column, values: Column) -> Column:
+        return F.array_min(F.transform(points, lambda p: _started(values, p)))
+
+    def refined(values: Column) -> Column:
+        best, steps = least(grid, values), first_steps()
+        for _ in range(HALVINGS):
+            steps = tuple(x / 2 for x in steps)
+            best = closer(best, steps, values)
+        return _let(best, lambda b: _run(values, b))
+
+    def closer(best: Column, steps: Sequence[float], values: Column) -> Column:
+        return _let(best, lambda b: least(_around(b, steps), values))
+
+    return _let(y, refined)
+
+
+def _run(y: Column, best: Column) -> Column:
+    """Run from the best start state; fitted values in order and the last state."""
+    alpha, phi = best["alpha"], best["phi"]
+    beta = F.greatest(alpha * best["share"], F.lit(SMOOTHING_BOUNDS[0]))
+    start = F.struct(best["level"].alias("level"), (phi * best["trend"]).alias("drift"), best["trend"].alias("trend"),
+                     F.array().cast("array<double>").alias("fitted"))
+
+    def step(s: Column, value: Column) -> Column:
+        predicted = s["level"] + s["drift"]
+        level = (F.lit(1.0) - alpha) * predicted + alpha * value
+        trend = beta * (level - s["level"]) + (F.lit(1.0) - beta) * s["drift"]
+        return F.struct(level.alias("level"), (phi * trend).alias("drift"), trend.alias("trend"),
+                        F.concat(s["fitted"], F.array(predicted)).alias("fitted"))
+
+    return _let(F.aggregate(y, start, step), lambda s: F.struct(
+        phi.alias("phi"), s["level"].alias("level"), s["trend"].alias("trend"), s["fitted"].alias("fitted")))
+
+
+def damped_ahead(fit: Column, step: Column) -> Column:
+    """Forecast so many steps after the last value."""
+    reach = fit["phi"] * (F.lit(1.0) - F.pow(fit["phi"], step)) / (F.lit(1.0) - fit["phi"])
+    return fit["level"] + reach * fit["trend"]
+
+
+# --- least squares ---------------------------------------------------------------------------
+
+def gram_columns(x: Sequence[str], y: str) -> dict[str, Column]:
+    """Products whose sums over any set of rows are all that least squares needs; sums of parts add up."""
+    out = {f"_g{i}_{j}": F.col(x[i]) * F.col(x[j]) for i, j in combinations_with_replacement(range(len(x)), 2)}
+    return out | {f"_r{i}": F.col(x[i]) * F.col(y) for i in range(len(x))}
+
+
+def solve(df: DataFrame, n: int, into: str) -> DataFrame:
+    """Adds the coefficients `into`0..n-1 from columns _g<i>_<j> and _r<i> with the summed products.
+
+    The regressors are cleared of those before them in order (Cholesky without roots). One that
+    depends on those before it, like a flag that never occurs, gets the coefficient 0.
     """
-    lo, hi = SMOOTHING_BOUNDS
-    axes = [np.linspace(lo, hi, 9), np.linspace(0.0, 1.0, 7), np.linspace(*DAMPING_BOUNDS, 6)]
-    limits = [(lo, hi), (0.0, 1.0), DAMPING_BOUNDS]
-    best = None
-    for _ in range(rounds):
-        alpha, beta, phi = _grid(*axes)
-        preds, level, trend = _one_step(y, alpha, beta, phi)
-        level0, trend0, sse = _best_start(y, preds)
-        i = int(np.argmin(sse))
-        if best is None or sse[i] < best[0]:
-            mix = np.array([1.0, level0[i], trend0[i]])
-            point = (alpha[i], beta[i] / alpha[i], phi[i])
-            best = (sse[i], preds[:, :, i] @ mix, level[:, i] @ mix, trend[:, i] @ mix, phi[i], point)
-        widths = [ax[1] - ax[0] for ax in axes]
-        axes = [
-            np.linspace(max(c - w, a), min(c + w, b), 6)
-            for c, w, (a, b) in zip(best[5], widths, limits)
-        ]
-    _, fitted, level, trend, phi, _ = best
-    damping = np.cumsum(phi ** np.arange(1, h + 1))
-    return fitted, level + damping * trend
-
-
-def trend_design(n: int, flags: np.ndarray) -> np.ndarray:
-    """Regressors for weeks 0..n-1: constant, t, log(1+t) and the flag columns."""
-    t = np.arange(n, dtype=float)
-    return np.column_stack([np.ones(n), t, np.log1p(t), flags])
-
-
-def least_squares(design: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Minimum-norm solution, so a flag that never occurs gets coefficient 0."""
-    return np.linalg.lstsq(design, y, rcond=None)[0]
+    first = {f"_d{j}": F.col(f"_g{j}_{j}") for j in range(n)}
+    df = df.withColumns(first)
+    for j in range(n - 1):
+        pivot = F.col(f"_g{j}_{j}")
+        share = {k: F.when(pivot > DEPENDENT * F.col(f"_d{j}"), F.col(f"_g{j}_{k}") / pivot).otherwise(0.0) for k in range(j + 1, n)}
+        df = df.withColumns({f"_f{j}_{k}": c for k, c in share.items()})
+        changed = {f"_r{k}": F.col(f"_r{k}") - F.col(f"_f{j}_{k}") * F.col(f"_r{j}") for k in range(j + 1, n)}
+        for k in range(j + 1, n):
+            for m in range(k, n):
+                changed[f"_g{k}_{m}"] = F.col(f"_g{k}_{m}") - F.col(f"_f{j}_{k}") * F.col(f"_g{j}_{m}")
+        df = df.withColumns(changed)
+    for j in reversed(range(n)):
+        rest = F.col(f"_r{j}")
+        for k in range(j + 1, n):
+            rest = rest - F.col(f"_g{j}_{k}") * F.col(f"{into}{k}")
+        pivot = F.col(f"_g{j}_{j}")
+        df = df.withColumn(f"{into}{j}", F.when(pivot > DEPENDENT * F.col(f"_d{j}"), rest / pivot).otherwise(0.0))
+    return df.drop(*(c for c in df.columns if c[:2] in ("_g", "_r", "_f", "_d") and c[2:3].isdigit()))

@@ -1,23 +1,22 @@
 """Weekly forecasting for one or many series, backtests, intervals and the monthly plan.
 
 A series is a frame (keys..., week, value) with Monday weeks; without keys it is one
-series. All models run for all series and folds in the same jobs: the baselines are
-window expressions, the two fitted models run per series in a grouped map. A group is one
-series, whose length is the number of calendar weeks, never the number of orders.
+series. All models run for all series and folds in the same jobs, as column expressions:
+one ordered pass over a series gives its state at every origin, the running sums that the
+regression needs and the values that the damped trend folds over. A series is as long as the
+calendar has weeks, whatever the number of orders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.calendar import holiday_flags, week_start
-from storepulse.functions.fitting import damped_trend, least_squares, trend_design
+from storepulse.functions.fitting import damped_ahead, damped_trend, gram_columns, solve
 from storepulse.functions.joins import attach, match
 from storepulse.functions.stats import interpolated, ratio
 from storepulse.rules import Rules
@@ -82,58 +81,78 @@ def _baselines(series: DataFrame, models: Sequence[str], h: int, r: Rules, keys:
     ).select(*keys, "model", "step", "week", "forecast", "resid_sd")
 
 
-def _with_future(series: DataFrame, h: int, keys: Sequence[str]) -> DataFrame:
-    """History (step 0) plus h empty future weeks per series."""
-    is_last = F.lead("week").over(_ordered(keys)).isNull()
-    steps = F.when(F.col("_last"), F.sequence(F.lit(0), F.lit(h))).otherwise(F.array(F.lit(0)))
-    rows = series.withColumn("_last", is_last).withColumn("step", F.explode(steps))
-    return rows.select(
-        *keys, "step", F.date_add("week", F.col("step") * 7).alias("week"),
-        F.when(F.col("step") == 0, F.col("value")).alias("value"),
-    )
+# Regressors of the trend: constant, week number, its logarithm, and the two holiday flags.
+TREND = ("_one", "_t", "_log_t", "black_friday_week", "christmas_week")
+HOLIDAY = 3  # place of the Black Friday flag among them
 
 
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
-    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-
-
-FLAGS = ["black_friday_week", "christmas_week"]
-HOLIDAY = 3  # place of the Black Friday flag among the regressors
-
-
-def _fitter(models: Sequence[str], keys: Sequence[str], window: int) -> Callable:
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("week")
-        past, ahead = group[group["step"] == 0], group[group["step"] > 0]
-        value = past["value"].to_numpy(float)
-        frames = []
-        # The log models are defined for positive series only.
-        for model in models if len(value) and (value > 0).all() else ():
-            y, lift = np.log(value), None
-            if model == "holt_damped":
-                fitted, coming = damped_trend(y, len(ahead))
-            else:
-                design = trend_design(len(group), group[FLAGS].to_numpy(float))
-                coefficients = least_squares(design[: len(y)], y)
-                line = design @ coefficients
-                fitted, coming = line[: len(y)], line[len(y):]
-                lift = float(np.exp(coefficients[HOLIDAY]))
-            spread = float(np.std((value - np.exp(fitted))[-window:]))
-            out = ahead[[*keys, "step", "week"]].assign(model=model, actual=ahead["value"])
-            frames.append(out.assign(forecast=np.exp(coming), resid_sd=spread, multiplier=lift))
-        columns = [*keys, "model", "step", "week", "actual", "forecast", "resid_sd", "multiplier"]
-        return pd.concat(frames)[columns] if frames else pd.DataFrame(columns=columns)
-
-    return fit
-
-
-def _fitted(rows: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str]) -> DataFrame:
-    """Fit per group of (keys): history has step 0, the weeks to forecast have steps 1, 2, ..."""
-    schema = _key_schema(rows, keys) + (
-        "model string, step int, week date, actual double, forecast double, resid_sd double, multiplier double"
-    )
-    flagged = holiday_flags(rows.select(*keys, "step", "week", "value"))
-    return flagged.groupBy(*keys).applyInPandas(_fitter(tuple(models), tuple(keys), r.residual_window), schema)
+def _trend_columns(df: DataFrame, number: Column) -> DataFrame:
+    """Adds the regressors to rows with a `week`; `number` counts the weeks of a series from 0."""
+    t = number.cast("double")
+    return holiday_flags(df).withColumns({"_one": F.lit(1.0), "_t": t, "_log_t": F.log1p(t)})
+
+
+def _origins(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str], folds: int, ahead: int) -> DataFrame:
+    """One row per origin with what the log models learn from the weeks up to it.
+
+    Origins are the last weeks of `folds` folds, and with `ahead` the last week of the series
+    as fold 0. All of them come from one ordered pass: `past` holds the values so far, the
+    products of the regressors are running sums, `recent` the latest weeks. Series with a
+    week that is not positive are left out, as logarithms need positive values.
+    """
+    so_far = _ordered(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _numbered(series, keys).filter("positive")
+    state = {"past": F.collect_list("value").over(so_far)} if "holt_damped" in models else {}
+    if "reg_trend" in models:
+        rows = _trend_columns(rows.withColumn("_y", F.ln("value")), F.col("_i") - 1)
+        state |= {name: F.sum(product).over(so_far) for name, product in gram_columns(TREND, "_y").items()}
+        state["recent"] = F.collect_list(F.struct("value", *TREND)).over(_ordered(keys).rowsBetween(1 - r.residual_window, 0))
+    if folds:
+        state["actuals"] = F.collect_list("value").over(_ordered(keys).rowsBetween(1, r.horizon))
+    back = F.col("_n") - r.horizon - F.col("_i")
+    fold = F.when(F.lit(bool(folds)) & (back >= 0) & (back % r.fold_step == 0) & (back < folds * r.fold_step), F.floor(back / r.fold_step) + 1)
+    last = F.when(F.lit(bool(ahead)) & (F.col("_i") == F.col("_n")), F.lit(0))
+    at = rows.withColumns(state).withColumn("fold", F.explode(F.array_compact(F.array(fold.cast("int"), last))))
+    return at.filter("fold is not null")
+
+
+def _fitted(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str], folds: int, ahead: int) -> DataFrame:
+    """(keys, fold, model, step, week, actual, forecast, resid_sd, multiplier) of every origin and step."""
+    rows = _origins(series, models, r, keys, folds, ahead)
+    none = F.lit(None).cast("double")
+    actual = F.when(F.col("fold") > 0, F.col("actuals")[F.col("step") - 1]) if folds else none
+    steps = F.explode(F.sequence(F.lit(1), F.when(F.col("fold") == 0, F.lit(ahead)).otherwise(F.lit(r.horizon))))
+    if not keys:
+        # One series sits in one partition; its origins can be fitted side by side.
+        rows = rows.repartition(r.folds + 1, "fold")
+    parts = []
+    for model in models:
+        if model == "holt_damped":
+            fit = damped_trend(F.transform("past", lambda v: F.ln(v)))
+            fits = rows.withColumn("fit", fit)
+            missed = F.zip_with("past", "fit.fitted", lambda v, f: v - F.exp(f))
+            fits = fits.withColumn("resid_sd", _spread(F.slice(missed, F.greatest(F.size("past") - r.residual_window, F.lit(0)) + 1, r.residual_window)))
+            out = fits.withColumn("step", steps).withColumn("week", F.date_add("week", F.col("step") * 7))
+            point, lift = F.exp(damped_ahead(F.col("fit"), F.col("step"))), none
+        else:
+            fits = solve(rows, len(TREND), "_c")
+            line = lambda x: sum((F.col(f"_c{i}") * x(c) for i, c in enumerate(TREND)), F.lit(0.0))
+            fits = fits.withColumn("resid_sd", _spread(F.transform("recent", lambda w: w["value"] - F.exp(line(lambda c: w[c])))))
+            future = fits.drop(*TREND).withColumn("step", steps).withColumn("week", F.date_add("week", F.col("step") * 7))
+            out = _trend_columns(future, F.col("_i") - 1 + F.col("step"))
+            point, lift = F.exp(line(F.col)), F.exp(f"_c{HOLIDAY}")
+        parts.append(out.select(
+            *keys, "fold", F.lit(model).alias("model"), "step", "week", actual.alias("actual"), point.alias("forecast"),
+            "resid_sd", lift.alias("multiplier")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _spread(values: Column) -> Column:
+    """Population standard deviation of an array."""
+    n = F.size(values)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    mean = F.transform(F.array(total(values) / n), lambda m: F.sqrt(total(F.transform(values, lambda x: (x - m) * (x - m))) / n))
+    return mean[0]
 
 
 def _split(models: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -153,7 +172,7 @@ def forecasts(series: DataFrame, models: Sequence[str], h: int, r: Rules, keys:
     if base:
         parts.append(_baselines(series, base, h, r, keys))
     if fitted:
-        parts.append(_fitted(_with_future(series, h, keys), fitted, r, keys).drop("actual", "multiplier"))
+        parts.append(_fitted(series, fitted, r, keys, 0, h).drop("fold", "actual", "multiplier"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -216,21 +235,6 @@ def _baseline_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: S
     )
 
 
-def _fitted_folds(
-    series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str], ahead: int = 0
-) -> DataFrame:
-    """Fits of every fold; with `ahead`, the whole series is fold 0 and forecast that many weeks."""
-    folds = rolling_origin_folds(series, r, keys).filter("positive")
-    columns = [*keys, "fold", "week", "value", "step"]
-    rows = folds.withColumn("step", F.coalesce("step", F.lit(0))).select(columns)
-    if ahead:
-        rows = rows.unionByName(_with_future(series, ahead, keys).withColumn("fold", F.lit(0)).select(columns))
-    if not keys:
-        # One series sits in one partition; its folds can be fitted side by side.
-        rows = rows.repartition(r.folds + 1, "fold")
-    return _fitted(rows, models, r, [*keys, "fold"])
-
-
 def backtest_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, model, fold, step, week, actual, forecast, pct_err) for every origin and step.
 
@@ -243,7 +247,7 @@ def backtest_errors(series: DataFrame, models: Sequence[str], r: Rules, keys: Se
     if base:
         parts.append(_baseline_errors(series, base, r, keys).select(columns))
     if fitted:
-        parts.append(_fitted_folds(series, fitted, r, keys).select(columns))
+        parts.append(_fitted(series, fitted, r, keys, r.folds, 0).select(columns))
     errors = reduce(DataFrame.unionByName, parts)
     return errors.withColumn("pct_err", relative_error(F.col("actual"), F.col("forecast")))
 
@@ -316,9 +320,9 @@ def _banded(points: DataFrame, r: Rules) -> DataFrame:
 def _scored(series: DataFrame, r: Rules, models: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Forecasts of every model, each row with the model's backtest figures.
 
-    Backtest and final forecast are rows of one frame (the final one is fold 0), so the
-    fitted models run in one grouped map and the figures are windows over its result: as
-    many rows per series and model as there are folds and weeks to forecast.
+    Backtest and final forecast are rows of one frame (the final one is fold 0), and the
+    figures are windows over it: as many rows per series and model as there are folds and
+    weeks to forecast.
     """
     base, fitted = _split(models)
     columns = [*keys, "model", "fold", "step", "week", "actual", "forecast", "multiplier"]
@@ -329,7 +333,7 @@ def _scored(series: DataFrame, r: Rules, models: Sequence[str], keys: Sequence[s
         final = _baselines(series, base, r.forecast_weeks, r, keys)
         parts.append(final.withColumns({"fold": F.lit(0), "actual": none, "multiplier": none}).select(columns))
     if fitted:
-        parts.append(_fitted_folds(series, fitted, r, keys, r.forecast_weeks).select(columns))
+        parts.append(_fitted(series, fitted, r, keys, r.folds, r.forecast_weeks).select(columns))
     rows = reduce(DataFrame.unionByName, parts)
     model, fold = Window.partitionBy(*keys, "model"), Window.partitionBy(*keys, "model", "fold")
     test = F.col("fold") > 0
@@ -376,19 +380,8 @@ def weekly_forecast(
 
 def holiday_multiplier(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, multiplier): Black Friday week relative to a normal week in the trend regression."""
-    key_list = list(keys)
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("week")
-        value = group["value"].to_numpy(float)
-        out = group[key_list].head(1).copy()
-        if not (value > 0).all():
-            return out.head(0).assign(multiplier=pd.Series(dtype=float))
-        coef = least_squares(trend_design(len(group), group[FLAGS].to_numpy(float)), np.log(value))
-        return out.assign(multiplier=[float(np.exp(coef[HOLIDAY]))])
-
-    rows = holiday_flags(series.select(*keys, "week", "value"))
-    return rows.groupBy(*keys).applyInPandas(fit, _key_schema(series, keys) + "multiplier double")
+    last = _origins(series, ["reg_trend"], Rules(), keys, 0, 1)
+    return solve(last, len(TREND), "_c").select(*keys, F.exp(f"_c{HOLIDAY}").alias("multiplier"))
 
 
 def monthly_plan(best: DataFrame, multiplier: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:

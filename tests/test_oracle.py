@@ -9,27 +9,13 @@ from storepulse.plans import oracle, registry
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = registry.queries()
 SQL = oracle.oracle_sql()
-# The damped trend is found by a numeric search, which SQL cannot repeat.
-SEARCHED = {
-    "forecast_holt_damped", "forecast_backtest_all_models", "weekly_forecast_all_models", "monthly_plan_fitted",
-}
-
-# Queries with a fitted model; all others must stay in the JVM.
-FITTED = {
-    "forecast_holt_damped", "forecast_reg_trend", "forecast_backtest", "forecast_backtest_all_models",
-    "backtest_step_errors", "select_best_model", "weekly_forecast", "weekly_forecast_all_models", "calibrated_interval",
-    "holiday_multiplier", "monthly_plan", "monthly_plan_fitted", "revenue_vs_forecast_weekly",
-}
-
-
 @pytest.fixture(scope="module")
 def duck():
     return connect(FOLDER)
 
 
-def test_every_query_has_sql_unless_searched():
-    assert set(QUERIES) - set(SQL) == SEARCHED
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -37,11 +23,11 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     text = plan(df)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
-    assert ("Pandas" in text or "Python" in text) == (name in FITTED)
+    # Every query stays in the JVM.
+    assert "Pandas" not in text and "Python" not in text and "Arrow" not in text
     got = df.toPandas()
-    if name in SQL:
-        described = duck.execute(f"describe {SQL[name]}").fetchall()
-        assert compare(df.schema, got, described, duck.execute(SQL[name]).df()) == ""
+    described = duck.execute(f"describe {SQL[name]}").fetchall()
+    assert compare(df.schema, got, described, duck.execute(SQL[name]).df()) == ""
 
 
 def test_entry(spark):
