@@ -13,7 +13,7 @@ from pyspark.sql.types import DecimalType, IntegerType, ShortType
 from storepulse import session
 from storepulse.functions.calendar import holiday_flags
 from storepulse.functions.lazy import LazyTables
-from storepulse.operators import checks, forecast, funnel, marts, measures, quality, retention, staging
+from storepulse.operators import checks, forecast, funnel, marts, measures, quality, retention, staging, states
 from storepulse.plans.workspace import AuditWorkspace, Workspace
 from storepulse.sources.raw import row_counts
 from storepulse.sources.tpch import RULES, Source
@@ -576,6 +576,33 @@ def revenue_by_slicer(w):
     return plain(measures.measures(names, _star(w), ["customer_state", "primary_payment_type"]), 6)
 
 
+REVENUE_GRAINS = ([], ["customer_state"], ["primary_payment_type"], ["order_month"], ["customer_state", "primary_payment_type"])
+
+
+@query
+def revenue_by_grains(w):
+    """Total and four cuts of every order measure from one scan of the fact."""
+    names = ["gross_revenue", "revenue_orders", "average_order_value", "buyers", "median_order_value"]
+    return plain(states.measures_by_grains(names, _star(w), REVENUE_GRAINS), 6)
+
+
+@query
+def funnel_by_grains(w):
+    names = ["mqls", "won_deals", "activated_sellers", "lead_to_win_rate", "win_to_activation_rate", "median_days_to_close"]
+    return plain(states.measures_by_grains(names, _star(w), [[], ["origin"], ["business_segment"]]), 6)
+
+
+@query
+def customers_by_grains(w):
+    names = ["customers", "repeat_customer_rate"]
+    return plain(states.measures_by_grains(names, _star(w), [[], ["cohort_month"]]), 6)
+
+
+@query
+def active_sellers_by_grains(w):
+    return plain(states.measures_by_grains(["active_sellers"], _star(w), [[], ["month"]]))
+
+
 class BenchmarkWorkspace(Workspace):
     """Workspace over a folder of benchmark tables, with the rules for that data."""
 
