@@ -84,6 +84,7 @@ def analysis_reports(work: Workspace) -> LazyTables:
         "daily_order_volume": lambda: quality.dq_daily_volume(
             work.staged["stg_orders"], r.volume_report_since).orderBy("order_date"),
         "data_tests": work.run_checks,
+        "star_relations": work.star_relations,
     })
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -242,6 +243,11 @@ def run_checks(w):
     return plain(w.audit.run_checks())
 
 
+@query
+def star_relations(w):
+    return plain(w.audit.star_relations())
+
+
 # --- forecasting ---------------------------------------------------------------------
 
 @query
@@ -476,6 +482,24 @@ def seller_churn_by_size(w):
     return plain(retention.churn_by_size(w.dim_sellers, RULES))
 
 
+# Ten days after the first order some sellers have not sold yet, some were idle for days.
+EARLY = replace(RULES, analysis_end=dt.date(1995, 1, 8), churn_days=2)
+
+
+def _early_sellers(w: Workspace) -> DataFrame:
+    return Workspace(w.spark, w.raw, EARLY).dim_sellers
+
+
+@query
+def early_lifecycle_status(w):
+    return plain(retention.lifecycle_status(_early_sellers(w)), 6)
+
+
+@query
+def early_churn_by_size(w):
+    return plain(retention.churn_by_size(_early_sellers(w), EARLY))
+
+
 @query
 def customer_churn_by_size(w):
     status = retention.entity_status(w.customer_months, "customer_unique_id", RULES)

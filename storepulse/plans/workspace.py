@@ -12,10 +12,11 @@ from storepulse.functions.calendar import date_dimension, month_start
 from storepulse.functions.lazy import LazyTables
 from storepulse.functions.shared import once
 from storepulse.operators import marts, quality, staging
-from storepulse.operators.checks import Profile, run_checks, standard_checks
+from storepulse.operators.checks import Profile, References, run_checks, standard_checks
 from storepulse.operators.forecast import weekly_series
 from storepulse.operators.quality import issue_counts
 from storepulse.rules import Rules
+from storepulse.sources import sinks
 
 
 class Workspace:
@@ -128,6 +129,14 @@ class Workspace:
     def run_checks(self) -> DataFrame:
         return run_checks(self.tables(), standard_checks(self.rules), self.profiles)
 
+    def star_relations(self) -> DataFrame:
+        """The relations of the exported star, each with the number of rows without a parent."""
+        star = sinks.star_schema(self.tables())
+        return run_checks(star, [
+            References(child, key, parent, parent_key, "warn" if (child, key) in sinks.LOOSE_RELATIONS else "error")
+            for child, key, parent, parent_key in sinks.STAR_RELATIONS
+        ])
+
     @cached_property
     def weekly(self) -> DataFrame:
         return weekly_series(self.fct_daily_revenue, self.rules)

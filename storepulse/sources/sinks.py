@@ -87,6 +87,9 @@ STAR_TABLES = (
     "dim_customers", "dim_sellers", "dim_date", "dq_findings",
 )
 
+# Relations that may have rows without a parent: a lead's seller need never be listed.
+LOOSE_RELATIONS = (("fct_lead_funnel", "seller_id"),)
+
 # Many-to-one relations between the star tables.
 STAR_RELATIONS = (
     ("fct_orders", "customer_unique_id", "dim_customers", "customer_unique_id"),

@@ -37,6 +37,9 @@ def test_reports(spark, built):
             "seller_monthly_churn", "data_quality_findings", "data_tests"} <= names
     tests = spark.read.option("header", True).csv(folder + "/reports/data_tests")
     assert tests.count() == 30
+    relations = spark.read.option("header", True).csv(folder + "/reports/star_relations")
+    assert relations.count() == len(sinks.STAR_RELATIONS)
+    assert {r.status for r in relations.filter("severity = 'error'").collect()} == {"pass"}
     segments = spark.read.option("header", True).option("inferSchema", True).csv(folder + "/reports/rfm_segments")
     assert segments.agg({"customers": "sum"}).first()[0] == tables.get("marts", "dim_customers").count()
 
