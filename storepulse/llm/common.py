@@ -110,9 +110,12 @@ def tucked(df: DataFrame, **taken: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share; a local one only where none is set and all
+    run on this machine (tests). Executors elsewhere would not see what the driver reads."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="storepulse-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -154,6 +157,14 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def gathered(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places begins[i], begins[i] + 1, ... of sizes[i] elements each, laid end to end."""
+    stops = sizes.cumsum()
+    total = int(stops[-1]) if len(stops) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(begins) or begins.max() < 1 << 30) else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((begins - (stops - sizes)).astype(kind), sizes)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components by hooking and pointer jumping.
 

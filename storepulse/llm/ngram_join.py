@@ -6,13 +6,16 @@ are ever computed:
 
 1. Equal sets are one row (`node`, a hash of the set). Column counts go into a sketch of
    fixed size, which orders the columns from rare to common; any order is correct.
-2. A pair with Jaccard >= t shares a column among the first n - ceil(t n) + 1 of each row in
+2. A pair with Jaccard >= t shares l columns among the first n - ceil(t n) + l of each row in
    that order (the size-derived bound), so only these entries are shuffled by column. An entry
-   whose column has no other row of a size within the bound ends there, as most do.
-3. Rows that share columns are put into the same block: each follows the most central row it
-   shares most columns with. A block holds at most about `block_entries` entries; a large
-   group has several. A row also visits those other blocks that hold a row with which it
-   shares such a column and whose size is within the bound.
+   whose column has no other row of a size within the bound ends there, as most do, and so
+   does every row with fewer than l such entries (l by the smallest partner it may have):
+   rows that share a passage only. l grows with n (`longer`).
+3. Rows that share columns are put into the same block: in each column a row is led by the
+   smallest row within the bound, and it follows the one that leads it in most columns. A
+   block holds at most about `block_entries` entries; a large group has several. A row also
+   visits those other blocks that hold a row with which it shares such a column and whose
+   size is within the bound.
 4. A task multiplies one block at a time: it adds up full overlaps of rows through an index
    of the block's columns and keeps pairs with overlap / union >= t. Rows already linked leave
    the block's index, so a group costs about as much as its size, and only one link per
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import Remembered, components, pick, small_batches, stored
+from storepulse.llm.common import Remembered, components, let_go, pick, small_batches, stored, tucked
 
 SKETCH_BITS = 24  # counters of the column sketch: 16 million, one byte each when they reach the tasks
 SKETCH_PARTS = 64
@@ -54,14 +57,23 @@ class JoinOptions:
     words: int = 5
     percent: int = 75  # links have 100 * overlap >= percent * union
     block_entries: int = 1_000_000
-    follow_passes: int = 2
+    longer: int = 8  # percent of a row's n-grams by which its first entries are lengthened
 
     def needed(self, n):
         """Smallest overlap of a linked pair in which one side has n n-grams."""
         return (n * self.percent + 99) // 100
 
+    def first_shared(self, n):
+        """How many of a row's first entries two linked rows share at least, as far as this row can tell."""
+        return n * self.longer // 100 + 1
+
     def prefix(self, n):
-        return n - self.needed(n) + 1
+        """First entries of a row: any `needed` common n-grams have `first_shared` of them among these."""
+        return n - self.needed(n) + self.first_shared(n)
+
+    def fewest(self, n):
+        """First entries that a row shares with any partner at least; the smallest partner decides."""
+        return self.first_shared(self.needed(n))
 
 
 def _word_hash(word: bytes) -> int:
@@ -121,6 +133,8 @@ def sets_and_counts(docs: DataFrame, options: JoinOptions, key: str, text: str)
         ]
         none = pa.array([None] * len(parts), pa.int64())
         yield _batch(none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary()))
+        del counts, shingle, parts
+        let_go()
 
     def _batch(*columns):
         return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "n", "node", "part", "counts"])
@@ -172,20 +186,39 @@ def rare_entries(docs: DataFrame, levels, options: JoinOptions, text: str) -> Da
             if grams:
                 columns = (np.concatenate(grams).view(np.int64), np.repeat(np.array(nodes, np.int64), many), np.repeat(np.array(sizes, np.int32), many))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "node", "n"])
+        del shingle, seen
+        let_go()
 
     return pick(docs, text).mapInArrow(run, ENTRIES)
 
 
+SHARED = ENTRIES + ", lead long"
+
+
+def leaders(grams: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For entries sorted by column and size, the place of the entry that leads each: the first of
+    its column, or the first after it that is too large for the leader before."""
+    places = np.arange(len(grams))
+    lead = np.maximum.accumulate(np.where(np.r_[True, grams[1:] != grams[:-1]], places, 0))
+    while True:
+        far = 100 * sizes[lead].astype(np.int64) < percent * sizes.astype(np.int64)
+        if not far.any():
+            return lead
+        first = far & np.r_[True, ~(far[:-1] & (lead[1:] == lead[:-1]))]
+        lead = np.maximum.accumulate(np.where(first, places, lead))
+
+
 def shared_entries(entries: DataFrame, options: JoinOptions) -> DataFrame:
-    """Entries whose column holds another row of a size within the bound, each once.
+    """Entries whose column holds another row of a size within the bound, each once, with the
+    row that leads it there.
 
     In a column sorted by size, the nearest sizes are neighbours, so a look at the entry
-    before and the entry after is enough; only one entry is ever held back.
+    before and the entry after is enough; only one entry and its leader are ever held back.
     """
     percent = options.percent
 
     def run(batches):
-        held, kept_last = None, False
+        held, ahead, kept_last = None, None, False
         for batch in batches:
             g, v, n = (batch.column(k).to_numpy() for k in range(3))
             if held is not None:
@@ -196,15 +229,21 @@ def shared_entries(entries: DataFrame, options: JoinOptions) -> DataFrame:
             g, v, n = g[new], v[new], n[new]
             after = (g[1:] == g[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             stays = np.r_[kept_last if held is not None else False, after] | np.r_[after, False]
+            # The leader of the entry held back goes on leading.
+            before = 0 if ahead is None else 1
+            lg, lv, ln = (g, v, n) if ahead is None else (np.r_[x, y] for x, y in zip(ahead, (g, v, n)))
+            lead = leaders(lg, ln, percent)
+            by = lv[lead][before:]
             held, kept_last = (g[-1:], v[-1:], n[-1:]), bool(stays[-1])
-            yield _entries(*(x[:-1][stays[:-1]] for x in (g, v, n)))
+            ahead = tuple(x[lead[-1:]] for x in (lg, lv, ln))
+            yield _entries(*(x[:-1][stays[:-1]] for x in (g, v, n, by)))
         if held is not None and kept_last:
-            yield _entries(*held)
+            yield _entries(*held, ahead[1])
 
     def _entries(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "node", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "node", "n", "lead"])
 
-    return entries.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(run, ENTRIES)
+    return entries.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(run, SHARED)
 
 
 class Block:
@@ -305,6 +344,8 @@ def multiply(dealt: DataFrame, options: JoinOptions) -> DataFrame:
         if block is not None and block.labels is None:
             links += block.close()
         yield _links(links)
+        del block
+        let_go()
 
     def _links(links):
         table = np.array(links, np.int64).reshape(-1, 2)
@@ -316,53 +357,53 @@ def multiply(dealt: DataFrame, options: JoinOptions) -> DataFrame:
 def place_rows(shared: DataFrame, nodes: DataFrame, options: JoinOptions) -> DataFrame:
     """(node, doc_id, block, slice, central, visits): where every row goes that can have a partner.
 
-    The most central row of a column is the one that shares most of its own first columns; in
-    a group of altered copies that is the original. A row's block is named by the central row
-    it shares most columns with.
+    A row's block is named by the row that leads it in most columns. Rows with too few shared
+    columns for any partner are left out here.
     """
-    first_columns = F.col("n") - F.floor((F.col("n") * options.percent + 99) / 100) + 1
-    known = stored(
-        shared.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(nodes, "node")
-        .select("node", "doc_id", "n", (F.col("m") / first_columns).alias("central")),
-        "ngram-rows",
+    needed = F.floor((F.col("n") * options.percent + 99) / 100)
+    first_columns = F.col("n") - needed + F.floor(F.col("n") * options.longer / 100) + 1
+    fewest = F.floor(needed * options.longer / 100) + 1
+    led = (
+        shared.groupBy("node", "n", "lead").agg(F.count(F.lit(1)).alias("m"))
+        .groupBy("node", "n").agg(F.sum("m").alias("m"), F.max(F.struct("m", "lead"))["lead"].alias("block"))
+        .filter(F.col("m") >= fewest)
     )
-    sized = shared.join(known.select("node", "central"), "node")
-    centre = sized.groupBy("gram").agg(F.max(F.struct("central", "node", "n")).alias("top"))
-    follows = (
-        sized.join(centre, "gram")
-        .filter((100 * F.least("n", "top.n") >= options.percent * F.greatest("n", "top.n")))
-        .groupBy("node", F.col("top.node").alias("centre")).agg(F.count(F.lit(1)).alias("m"))
-        .groupBy("node").agg(F.max(F.struct("m", "centre")).alias("best"))
-        .select("node", F.col("best.centre").alias("block"))
+    named = stored(
+        led.join(nodes.select("node", "doc_id"), "node")
+        .select("node", "doc_id", "n", (F.col("m") / first_columns).alias("central"), "block"),
+        "ngram-rows",
     )
-    named = known.join(follows, "node", "left").withColumn("block", F.coalesce("block", "node"))
-    # A followed row is more central than its follower, so following ends; each pass doubles the
-    # reach, and rows that follow one another end up in one block.
-    for _ in range(options.follow_passes):
+    # A leader is smaller than whom it leads, so following ends; each pass doubles the reach until
+    # rows that follow one another are in one block. A leader that was left out keeps its name.
+    while True:
         leads = named.select(F.col("node").alias("block"), F.col("block").alias("root"))
-        named = stored(named.join(leads, "block").drop("block").withColumnRenamed("root", "block"), "ngram-named")
+        followed = named.join(leads, "block", "left").withColumn("moved", F.col("root") != F.col("block"))
+        named = stored(followed.withColumn("block", F.coalesce("root", "block")).drop("root"), "ngram-named")
+        if named.filter("moved").isEmpty():
+            named = named.drop("moved")
+            break
+        named = named.drop("moved")
     slices = named.groupBy("block").agg(F.ceil(F.sum("n") / options.block_entries).cast("int").alias("slices"))
+    dealt = named.join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    crowds = dealt.groupBy("block", "slice").agg(F.count(F.lit(1)).alias("crowd"))
     placed = stored(
-        named.join(slices, "block")
-        .select("node", "doc_id", "n", "central", "block", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice")),
-        "ngram-placed",
-    )
-    # Which other blocks hold a row that shares a first column and is of a fitting size.
-    here = shared.join(placed.select("node", "block", "slice"), "node")
-    held = here.groupBy("gram", "block", "slice").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    held = held.select("gram", F.struct("block", "slice").alias("there"), "least", "most")
+        dealt.join(crowds, ["block", "slice"]).select("node", "doc_id", "n", "central", "block", "slice", "crowd"), "ngram-placed")
+    # Which other blocks hold a row that shares a first column and is of a fitting size. Rows go
+    # to fuller blocks, so that a large group is visited and does not travel. One shuffle by
+    # column serves both sides.
+    block = F.struct("crowd", "block", "slice")
+    here = shared.select("gram", "node", "n").join(placed.select("node", block.alias("own")), "node").repartition("gram")
+    held = here.groupBy("gram", F.col("own").alias("there")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     visits = (
-        here.withColumn("own", F.struct("block", "slice")).join(held, "gram")
-        .filter(F.col("own") < F.col("there"))
+        here.join(held, "gram").filter(F.col("own") < F.col("there"))
         .filter((100 * F.col("most") >= options.percent * F.col("n")) & (100 * F.col("n") >= options.percent * F.col("least")))
         .select("node", "there").distinct()
     )
     visits = stored(visits, "ngram-visits")
     # A row alone in its block that visits nothing and is not visited can have no partner.
     met = visits.select("there.block", "there.slice").distinct().withColumn("met", F.lit(True))
-    crowd = placed.groupBy("block", "slice").agg(F.count(F.lit(1)).alias("crowd")).join(met, ["block", "slice"], "left")
     goes = visits.groupBy("node").agg(F.collect_list("there").alias("visits"))
-    found = placed.join(crowd, ["block", "slice"]).join(goes, "node", "left")
+    found = placed.join(met, ["block", "slice"], "left").join(goes, "node", "left")
     found = found.filter("crowd > 1 or met or visits is not null")
     return stored(found.select("node", "doc_id", "block", "slice", "central", "visits"), "ngram-active")
 
@@ -435,6 +476,8 @@ def deal_rows(docs: DataFrame, placed: DataFrame, options: JoinOptions, key: str
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "slice", "role", "central", "node", "hashes"]
             )
+        del shingle
+        let_go()
 
     return fetched.mapInArrow(run, schema)
 
@@ -462,7 +505,12 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions(), key:
 
 
 def first_of_each(docs: DataFrame, options: JoinOptions = JoinOptions(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their group, as they were; rows without an id stay."""
-    kept = near_duplicates(docs, options, key, text).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    stay = docs.join(kept, key, "left_semi").dropDuplicates([key, text])
-    return stay.union(docs.filter(F.col(key).isNull()))
+    """The documents that are the smallest id of their group, as they were; rows without an id stay.
+
+    Of rows that agree in id and text one stays, the first by a hash of all its columns.
+    """
+    kept = near_duplicates(docs, options, key, text).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("key")).distinct()
+    rows = tucked(docs, key=key, text=text)
+    rows = rows.select("row", "key", F.xxhash64("text").alias("hash"), F.xxhash64("row").alias("tie"))
+    one = rows.join(kept, "key", "left_semi").groupBy("key", "hash").agg(F.min_by("row", "tie").alias("row"))
+    return one.select("row.*").union(rows.filter(F.col("key").isNull()).select("row.*"))

@@ -31,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import Remembered, list_array, pick, small_batches, stored, tucked
+from storepulse.llm.common import Remembered, let_go, list_array, pick, small_batches, stored, tucked
 
 # Words that address someone.
 SECOND_PERSON = frozenset(
@@ -66,8 +66,11 @@ def plain_word(word: str) -> tuple[str, bool]:
     if core.isalpha():
         return core, False
     shown = core.translate(DISGUISE)
-    letters = sum(map(str.isalpha, core))
-    disguised = shown.isalpha() and 2 * letters >= len(core) and letters < len(core)
+    letters = [ch.isalpha() for ch in core]
+    # Half of it letters, or letters and signs in turn; "10th" alone has one change.
+    changes = sum(a != b for a, b in zip(letters, letters[1:]))
+    mixed = 2 * sum(letters) >= len(core) or sum(letters) >= 2 and changes >= 3
+    disguised = shown.isalpha() and mixed and not all(letters)
     return (shown if disguised else core), disguised
 
 
@@ -150,6 +153,7 @@ def _entries(rows: DataFrame) -> DataFrame:
                 yield flush()
                 toxic, clean = Counter(), Counter()
         yield flush()
+        let_go()
 
     parts = rows.select("text", "label").mapInArrow(count, "entry string, toxic long, clean long")
     return parts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

@@ -113,6 +113,7 @@ def test_toxicity_without_choice(spark, insults):
 
 def test_word_forms():
     assert toxicity.plain_word("Sc@m!!") == ("scam", True) and toxicity.plain_word('"Idiot,"') == ("idiot", False)
-    assert toxicity.plain_word("1d10t") == ("1d10t", False) or toxicity.plain_word("1d10t")[0] == "idiot"
+    assert toxicity.plain_word("1d10t") == ("idiot", True) and toxicity.plain_word("m0r0n!") == ("moron", True)
+    assert toxicity.plain_word("5c4m") == ("scam", True) and not toxicity.plain_word("a1000")[1]
     assert toxicity.plain_word("2024") == ("2024", False)
     assert len(toxicity.Lexicon({}).features("a b")) == len(toxicity.FEATURES)

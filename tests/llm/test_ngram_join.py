@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pytest
 
 from storepulse.llm import ngram_join
@@ -104,7 +106,38 @@ def test_empty_table(spark):
     assert sorted(tuple(r) for r in ngram_join.near_duplicates(blank).collect()) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_linked_rows_share_enough_first_columns():
+    """Over random pairs just at the threshold, in the worst order: all columns of one side alone come first."""
+    options, rng = ngram_join.JoinOptions(), np.random.default_rng(8)
+    for _ in range(3000):
+        common = int(rng.integers(1, 400))
+        alone = int((100 * common - 75 * common) // 75)  # union may hold so many more
+        a_only = int(rng.integers(0, alone + 1))
+        b_only = alone - a_only
+        a, b = a_only + common, b_only + common
+        assert 100 * common >= 75 * (a_only + b_only + common)
+        assert options.prefix(a) <= a and options.first_shared(a) <= options.needed(a)
+        # The order that hides most: what a row has alone comes before all that both have.
+        in_a, in_b = max(options.prefix(a) - a_only, 0), max(options.prefix(b) - b_only, 0)
+        assert min(in_a, in_b, common) >= max(options.fewest(a), options.fewest(b))
+
+
+def test_leaders_against_a_plain_walk():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        grams = np.sort(rng.integers(0, 5, 30))
+        sizes = rng.integers(1, 200, 30)
+        order = np.lexsort((sizes, grams))
+        grams, sizes = grams[order], sizes[order].astype(np.int32)
+        want, lead = [], 0
+        for i in range(30):
+            if i and grams[i] != grams[i - 1] or 100 * sizes[lead] < 75 * sizes[i]:
+                lead = i
+            want.append(lead)
+        assert ngram_join.leaders(grams, sizes, 75).tolist() == want
+
+
 def test_prefix_bound():
-    options = ngram_join.JoinOptions()
+    options = ngram_join.JoinOptions(longer=0)
     for n in range(1, 300):
         assert options.needed(n) == -(-75 * n // 100) and options.prefix(n) == n - options.needed(n) + 1
