@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import ENTRY, REMEMBERED, WORTH, let_go, list_array, pick, small_batches
+from storepulse.llm.common import ENTRY, REMEMBERED, WORTH, gathered, let_go, list_array, pick, small_batches
 
 # Fixed value: the pattern that byte-level tokenizers of this family split text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -114,7 +114,7 @@ class FragmentEncoder:
     be cut (`compute_whole`).
     """
 
-    remembered = REMEMBERED
+    remembered, group = REMEMBERED, GROUP
 
     def __init__(self, cut: bool, special: Iterable[str]):
         self.cut, self.special = cut, tuple(special)
@@ -143,7 +143,7 @@ class FragmentEncoder:
                 group.append(part)
                 owner.append(i)
                 size += len(part)
-                if size >= GROUP:
+                if size >= self.group:
                     self._into(out, owner, group)
                     group, owner, size = [], [], 0
         self._into(out, owner, group)
@@ -174,7 +174,7 @@ class FragmentEncoder:
         data = np.frombuffer(b"".join(ids), np.int32)
         lengths = sizes[which]
         stops = lengths.cumsum()
-        laid = data[np.arange(int(stops[-1])) + np.repeat((sizes.cumsum() - sizes)[which] - (stops - lengths), lengths)].tobytes()
+        laid = data[gathered((sizes.cumsum() - sizes)[which], lengths)].tobytes()
         ends = (4 * np.append(0, stops)[many.cumsum()]).tolist()
         return [laid[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -376,8 +376,7 @@ class ByteBpe(FragmentEncoder):
             raise IndexError("id out of range of the vocabulary")
         sizes = self.token_size[ids]
         stops = sizes.cumsum()
-        places = np.arange(int(sizes.sum())) + np.repeat(self.token_start[ids] - (stops - sizes), sizes)
-        data = self.token_bytes[places].tobytes()
+        data = self.token_bytes[gathered(self.token_start[ids], sizes)].tobytes()
         ends = np.r_[0, stops][counts.cumsum()].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
 

@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storepulse.llm.bpe import GROUP, ByteBpe, FragmentEncoder
-from storepulse.llm.common import fresh_path, pick, small_batches
+from storepulse.llm.bpe import ByteBpe, FragmentEncoder
+from storepulse.llm.common import fresh_path, gathered, pick, small_batches
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQQ")
@@ -109,17 +109,15 @@ def _round(seq: np.ndarray, total: int, options: RepairOptions):
     rank = np.full(total, a, np.int32)
     rank[top] = np.arange(a, dtype=np.int32)
     r = rank[seq]
-    pair = r[:-1] * np.int32(a + 1) + r[1:]
-    found = np.bincount(pair, minlength=(a + 1) ** 2)
-    table = found[: (a + 1) ** 2].reshape(a + 1, a + 1)
-    table[a, :] = 0
-    table[:, a] = 0
-    flat = table.ravel()
+    at = np.flatnonzero((r[:-1] < a) & (r[1:] < a))
+    first, second = r[at], r[at + 1]
+    pair = first.astype(np.int64) * a + second
+    flat = np.bincount(pair, minlength=a * a)
     best = np.flatnonzero(flat >= least)
     best = best[np.argsort(-flat[best], kind="stable")]
     firsts, seconds, chosen = set(), set(), []
     for p in best.tolist():
-        x, y = divmod(p, a + 1)
+        x, y = divmod(p, a)
         if x in seconds or y in firsts or (x == y and x in firsts):
             continue
         firsts.add(x)
@@ -131,22 +129,21 @@ def _round(seq: np.ndarray, total: int, options: RepairOptions):
     if not chosen:
         return seq, none, none
     chosen = np.array(chosen)
-    made = np.zeros((a + 1) ** 2, np.int32)
+    made = np.zeros(a * a, np.int32)
     made[chosen] = np.arange(total, total + len(chosen), dtype=np.int32)
     new = made[pair]
     hit = new > 0
-    same = chosen[chosen // (a + 1) == chosen % (a + 1)]
-    if len(same):
+    if (chosen // a == chosen % a).any():
         # In a run of one symbol every second pair is taken.
-        at = np.flatnonzero(hit & (r[:-1] == r[1:]))
-        begins = np.r_[True, np.diff(at) > 1] if len(at) else np.zeros(0, bool)
-        run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0)) if len(at) else at
-        hit[at[(np.arange(len(at)) - run) % 2 == 1]] = False
+        runs = np.flatnonzero(hit & (first == second))
+        begins = np.r_[True, np.diff(at[runs]) > 1] if len(runs) else np.zeros(0, bool)
+        run = np.maximum.accumulate(np.where(begins, np.arange(len(runs)), 0)) if len(runs) else runs
+        hit[runs[(np.arange(len(runs)) - run) % 2 == 1]] = False
     out = seq.copy()
-    out[:-1][hit] = new[hit]
+    out[at[hit]] = new[hit]
     keep = np.ones(len(seq), bool)
-    keep[1:][hit] = False
-    return out[keep], top[chosen // (a + 1)].astype(np.int32), top[chosen % (a + 1)].astype(np.int32)
+    keep[at[hit] + 1] = False
+    return out[keep], top[chosen // a].astype(np.int32), top[chosen % a].astype(np.int32)
 
 
 def _lengths(alphabet: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -188,6 +185,12 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return np.frombuffer(self.document_bytes(i), np.uint32)
 
+    def ids(self) -> np.ndarray:
+        """All ids of the shard, documents in order."""
+        flat, sizes = np.frombuffer(b"".join(self.expanded), np.uint32), self.sizes[self.symbols]
+        begins = (self.sizes.cumsum() - self.sizes)[self.symbols]
+        return flat[gathered(begins, sizes)]
+
     def id_range(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of the shard; only the symbols that overlap the range are expanded."""
         reach = np.cumsum(self.sizes[self.symbols])
@@ -206,7 +209,7 @@ class LibraryEncoder(FragmentEncoder):
     """Ids by the `tokenizers` library. Fragments between forced cuts are encoded once and
     remembered; a text with a special token goes to the library as it is."""
 
-    remembered = 160 << 20
+    remembered, group = 160 << 20, 1 << 24
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -265,7 +268,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[st
         names += batch.column(0).to_pylist()
         texts += [t or "" for t in batch.column(1).to_pylist()]
         size += batch.column(1).nbytes
-        if size >= GROUP:
+        if size >= LibraryEncoder.group:
             yield names, texts
             names, texts, size = [], [], 0
     if names:
@@ -318,9 +321,9 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
         for batch in small_batches(batches, 1):
             row = batch.to_pylist()[0]
             shard = Shard(row["block"])
-            crc = [zlib.crc32(shard.document_bytes(i)) for i in range(shard.n_docs)]
-            first = shard.first_ids.astype(np.int64)
-            n = shard.n_docs
+            first, n = shard.first_ids.astype(np.int64), shard.n_docs
+            data, bounds = memoryview(shard.ids()).cast("B"), (4 * first).tolist()
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * n, pa.int32()),
