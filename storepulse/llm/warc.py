@@ -3,7 +3,10 @@
 Writing: every row becomes one WARC/1.1 record of a gzip file that Spark's text writer
 commits, so a lost executor only repeats its own files. Equal payloads of at least
 `dedup_bytes` are stored once, in the record with the smallest id; the others are revisit
-records that name it. Reading: a file's lines come back in order (gzip files are never
+records that name it. Copies are found by digests and ids; only rows that a filter of fixed
+size takes for copies are then moved, all others are written where they were read. Record
+ids hold the row's id and the beginning of the payload's digest, so that rows of one id, or
+of none, have records of their own unless they are equal. Reading: a file's lines come back in order (gzip files are never
 split); a small state machine turns them into rows (record, chunk number, bytes), each with
 the digest of the payload so far. No payload is ever put together: memory holds one chunk,
 or one line where a line is longer.
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import fresh_path, pick
+from storepulse.llm.common import fresh_path, pick, stored
+from storepulse.llm.ngram_join import id_filter
 
 CRLF = "\r\n"
 CHUNKS = (
@@ -49,7 +53,8 @@ def plan_records(rows: DataFrame, key: str, uri: str, payload: str, options: War
     """(key, uri, body, digest, bytes, first): `first` is the id a revisit refers to, else NULL.
 
     Only digests and ids are shuffled to find the first of equal payloads, combined on the
-    map side; the payload itself is hashed where it was read and never moved.
+    map side. Rows whose digest is not among those of copies, which a bounded filter tells
+    with few mistakes, stay where they were read; the exact join decides for the others.
     """
     base = pick(rows, key, uri, payload)
     body = F.coalesce(payload, F.lit(""))
@@ -62,20 +67,28 @@ def plan_records(rows: DataFrame, key: str, uri: str, payload: str, options: War
         .agg(F.min("key").alias("smallest"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
         .select("digest", "bytes", "smallest")
     )
+    firsts = stored(firsts, "warc-copies")
+    maybe = id_filter(firsts.select(F.xxhash64("digest").alias("id")))(F.xxhash64("digest"))
+    marked = sized.withColumn("maybe", maybe)
     refers = F.when(~F.col("key").eqNullSafe(F.col("smallest")), F.col("smallest"))
-    return sized.join(firsts, ["digest", "bytes"], "left").select("key", "uri", "body", "digest", "bytes", refers.alias("first"))
+    columns = ("key", "uri", "body", "digest", "bytes")
+    alone = marked.filter("not maybe").select(*columns, F.lit(None).cast(sized.schema["key"].dataType).alias("first"))
+    return alone.union(marked.filter("maybe").join(firsts, ["digest", "bytes"], "left").select(*columns, refers.alias("first")))
 
 
 def record_text(options: WarcOptions) -> Column:
     """One record without its very last line feed, which the text writer adds."""
     revisit = F.col("first").isNotNull()
-    ident = lambda c: F.concat(F.lit(f"<{options.prefix}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    short = F.substring("digest", 1, 16)
+    ident = lambda c: F.concat(
+        F.lit(f"<{options.prefix}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(":"), short, F.lit(">"))
     # A line break inside a URL would end its header early.
     clean_uri = F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]", "")
     size = F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))
     head = F.concat(
         F.lit("WARC/1.1" + CRLF + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit(CRLF),
         F.lit("WARC-Record-ID: "), ident(F.col("key")), F.lit(CRLF),
+        F.lit("WARC-Date: "), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(CRLF),
         F.lit("WARC-Target-URI: "), clean_uri, F.lit(CRLF),
         F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit(CRLF),
         F.when(revisit, F.concat(
@@ -233,7 +246,7 @@ def records(chunks: DataFrame) -> DataFrame:
 def archived_pages(spark: SparkSession, pages: DataFrame, options: WarcOptions = WarcOptions()) -> DataFrame:
     """Write all pages, read the archives back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     path = write_warc(pages, fresh_path(spark, "warc"), "page_id", "url", "html", options)
-    number = lambda c: F.nullif(F.substring(c, len(options.prefix) + 1, 40), F.lit("")).cast("long")
+    number = lambda c: F.nullif(F.regexp_extract(c, f"^{options.prefix}(.*):[0-9a-f]+$", 1), F.lit("")).cast("long")
     read = records(read_warc(spark, path, options))
     return read.select(
         number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",

@@ -87,6 +87,40 @@ def test_pipeline_stages(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids[r.doc_id])).encode()).hexdigest()
 
 
+def test_pipeline_with_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, and no rows at all."""
+    real = [tuple(r) for r in common.table(spark, FOLDER, "documents").limit(40).collect()]
+    text = real[1][1]
+    odd = [(None, text, "de", "src1", 5), (500, None, None, None, None), (501, "", "en", "src2", 0), (502, text, None, None, None),
+           (503, "wort " * 30_000 + text, "de", "src3", 7), (504, "12 34", "en", "src1", 5), real[3], real[3]]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row string, key int, score double, copies int, ids string, Doc string"
+    docs = spark.createDataFrame([(*r, "r", 1, 0.5, 9, None, "d") for r in real + odd], columns)
+    before = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before[name] = [r.doc_id for r in docs.collect()]
+        docs = common.stored(stage(spark, docs, FOLDER), "pipeline-odd")
+        assert [f.name for f in docs.schema.fields] == [c.split()[0] for c in columns.split(", ")]
+        assert {(r.row, r.key, r.score, r.copies, r.Doc) for r in docs.collect()} == {("r", 1, 0.5, 9, "d")}
+    # Without a letter there is no language; the row without an id stays; one of a group stays.
+    assert not {500, 501, 504} & set(before["toxicity"]) and None in before["source mix"]
+    ids = [i for i in before["source mix"] if i is not None]
+    assert len(ids) == len(set(ids)) and 502 not in ids
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert last.count() == docs.count()
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = common.stored(stage(spark, none, FOLDER), "pipeline-none")
+        assert none.count() == 0
+
+
+def test_of_equal_ids_and_texts_the_same_row_stays(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "c"), (2, text, "d"), (None, text, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    kept = [sorted(map(tuple, ngram_join.first_of_each(df.repartition(n)).collect()), key=repr) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, None]
+
+
 def test_run_is_the_stages_in_order(spark, monkeypatch):
     seen = []
     fake = lambda name: lambda s, d, f: (seen.append(name), d.limit(7))[1]

@@ -3,6 +3,7 @@
 import glob
 import gzip
 import hashlib
+import re
 
 import pytest
 
@@ -72,6 +73,29 @@ def test_files_are_valid_warc(spark, pages, tmp_path):
     assert sorted(types) == sorted(t for *_, t, _ in expected())
 
 
+def test_every_record_has_a_date_and_ids_differ(spark, pages, tmp_path):
+    path = warc.write_warc(pages, str(tmp_path / "w"), "page_id", "url", "html")
+    text = b"".join(gzip.open(f).read() for f in glob.glob(path + "/*.gz"))
+    dates = re.findall(rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", text)
+    assert len(dates) == len(PAGES)
+    ids = {(r.record_id, r.stated_digest) for r in warc.read_warc(spark, path).filter("is_last").collect()}
+    assert len({i for i, _ in ids}) == len(set((p, h or "") for p, _, h in PAGES))
+    # What a revisit names is the record of a response.
+    got = warc.read_warc(spark, path).filter("is_last").collect()
+    responses = {r.record_id for r in got if r.record_type == "response"}
+    assert all(r.refers_to in responses for r in got if r.record_type == "revisit")
+
+
+def test_only_copies_are_moved(spark, tmp_path):
+    """Rows without a copy go from the scan to the writer without a shuffle."""
+    spark.createDataFrame([(i, f"u{i}", f"{i} " * 80) for i in range(50)] + [(99, "u", "1 " * 80)], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    plan = warc.plan_records(spark.read.parquet(str(tmp_path / "p")), "page_id", "url", "html")
+    alone = plan._jdf.queryExecution().optimizedPlan().toString()
+    union = alone.index("Union")
+    assert "Join" not in alone[union:alone.index("Join")] and alone.count("Join") == 1
+    assert sorted(r["first"] for r in plan.filter("first is not null").collect()) == [1]
+
+
 def test_damaged_archives_are_reported():
     reader = warc.ChunkReader(10)
     with pytest.raises(ValueError, match="no WARC record"):
