@@ -8,6 +8,11 @@ All but the last keep the columns of `documents`:
 3. n-gram Jaccard join: of each group of near-duplicates the smallest id stays.
 4. source mix: a document comes as often as the mix takes it, so 0 to 3 times.
 5. BPE: the ids of every row, and digests of ids and decoded text.
+
+Defined cases: a null or empty text, or one without a letter, has no known language and goes in
+stage 1; a null source is a source of its own; rows without an id stay through the join, and
+of rows with equal id and text one stays, always the same; extra columns are carried along
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
