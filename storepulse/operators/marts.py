@@ -128,38 +128,68 @@ def customer_sales(orders_fact: DataFrame) -> DataFrame:
     )
 
 
-def fct_daily_revenue(orders_fact: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
-    """Daily totals without gaps, from the first revenue day to the end date."""
-    daily = window_revenue(orders_fact).groupBy(*keys, "order_date").agg(
+def daily_states(orders_fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Revenue days with their totals. A day lies in one month, so days of a month can be replaced alone."""
+    return window_revenue(orders_fact).groupBy(*keys, "order_month", "order_date").agg(
         F.count(F.lit(1)).alias("orders"),
         F.countDistinct("customer_unique_id").alias("customers"),
         F.sum("gross_revenue").alias("gross_revenue"),
         F.sum("item_revenue").alias("item_revenue"),
     )
+
+
+def daily_from_states(states: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
+    """Daily totals without gaps, from the first revenue day to the end date."""
     zeros = {"orders": 0, "customers": 0, "gross_revenue": 0, "item_revenue": 0}
-    return gap_fill(daily, "order_date", "day", r.analysis_end, keys, zeros)
+    return gap_fill(states.drop("order_month"), "order_date", "day", r.analysis_end, keys, zeros)
 
 
-def dim_customers(orders_fact: DataFrame, r: Rules) -> DataFrame:
-    """One row per person. Order ids are unique in the fact, so counting rows counts orders."""
+def fct_daily_revenue(orders_fact: DataFrame, r: Rules, keys: Sequence[str] = ()) -> DataFrame:
+    return daily_from_states(daily_states(orders_fact, keys), r, keys)
+
+
+def customer_states(orders_fact: DataFrame, by: Sequence[str] = ("order_month",)) -> DataFrame:
+    """What a person's orders add up to, by month: parts that merge over months.
+
+    Order ids are unique in the fact, so counting rows counts orders.
+    """
     first = F.min(F.when(F.col("customer_state").isNotNull(), F.struct("purchased_at", "customer_state")))
-    people = window_revenue(orders_fact).groupBy("customer_unique_id").agg(
+    return window_revenue(orders_fact).groupBy("customer_unique_id", *by).agg(
         F.min("purchased_at").alias("first_order_at"),
         F.max("purchased_at").alias("last_order_at"),
         F.count("order_id").alias("order_count"),
         F.sum("gross_revenue").alias("lifetime_revenue"),
-        first["customer_state"].alias("first_state"),
+        first.alias("first_in"),
     )
+
+
+def customers_from_states(states: DataFrame, r: Rules) -> DataFrame:
+    """One row per person, merged from the states of all months."""
+    return _customers(states.groupBy("customer_unique_id").agg(
+        F.min("first_order_at").alias("first_order_at"),
+        F.max("last_order_at").alias("last_order_at"),
+        F.sum("order_count").alias("order_count"),
+        F.sum("lifetime_revenue").alias("lifetime_revenue"),
+        F.min("first_in").alias("first_in"),
+    ), r)
+
+
+def dim_customers(orders_fact: DataFrame, r: Rules) -> DataFrame:
+    """One row per person, straight from the orders."""
+    return _customers(customer_states(orders_fact, ()), r)
+
+
+def _customers(people: DataFrame, r: Rules) -> DataFrame:
     return people.select(
         "customer_unique_id",
         "first_order_at",
         "last_order_at",
         month_start("first_order_at").alias("cohort_month"),
         "order_count",
-        "lifetime_revenue",
+        F.col("lifetime_revenue").cast("decimal(28,2)").alias("lifetime_revenue"),
         day_boundaries(F.col("last_order_at"), F.lit(r.analysis_end)).alias("recency_days"),
         (F.col("order_count") > 1).alias("is_repeat_customer"),
-        "first_state",
+        F.col("first_in.customer_state").alias("first_state"),
     )
 
 

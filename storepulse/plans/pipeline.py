@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import datetime as dt
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storepulse.functions.calendar import date_dimension
 from storepulse.functions.lazy import LazyTables
 from storepulse.operators import forecast, funnel, measures, quality, retention
-from storepulse.plans.workspace import Workspace
+from storepulse.plans.workspace import StoredWorkspace, Workspace
 from storepulse.rules import Rules
 from storepulse.sources.sinks import Tables, export_star, write_report
 
-# Tables in build order; each starts from the files of those before it. The order fact is
-# split by month, so that window and month filters skip whole files.
+# Tables in build order; each starts from the files of those before it. The order fact and the
+# states are split by month, so that window and month filters skip whole files and a month can
+# be replaced alone.
 MART_TABLES = (
     ("fct_orders", ("order_month",)),
-    ("seller_months", ()),
-    ("customer_months", ()),
+    ("daily_states", ("order_month",)),
+    ("customer_states", ("order_month",)),
+    ("seller_months", ("month",)),
+    ("customer_months", ("month",)),
     ("fct_daily_revenue", ()),
     ("dim_customers", ()),
     ("dim_sellers", ()),
@@ -26,6 +31,8 @@ MART_TABLES = (
     ("fct_lead_funnel", ()),
     ("dim_date", ()),
 )
+# Tables that are merged from states and dimensions, without the order fact.
+MERGED = ("fct_daily_revenue", "dim_customers", "dim_sellers", "fct_seller_monthly", "fct_lead_funnel", "dim_date")
 QUALITY_TABLES = (
     "dq_payment_reconciliation", "dq_order_lifecycle_anomalies", "dq_orphan_keys",
     "dq_possible_duplicate_orders", "dq_volume_anomalies", "dq_summary", "dq_findings",
@@ -38,7 +45,7 @@ def build_models(spark: SparkSession, raw: Mapping[str, DataFrame], rules: Rules
     Every saved table replaces its lazy plan in the workspace, so nothing is computed
     twice and a lost executor costs at most the table being written.
     """
-    work, tables = Workspace(spark, raw, rules), Tables(spark, folder)
+    work, tables = StoredWorkspace(spark, raw, rules), Tables(spark, folder)
     for name, df in work.staged.items():
         tables.view("staging", name, df)
     for name, partitions in MART_TABLES:
@@ -48,6 +55,32 @@ def build_models(spark: SparkSession, raw: Mapping[str, DataFrame], rules: Rules
     return work, tables
 
 
+def refresh_months(
+    spark: SparkSession, raw: Mapping[str, DataFrame], rules: Rules, folder: str, months: Sequence[dt.date]
+) -> Tables:
+    """Replace whole months of the order tables and merge the marts anew.
+
+    `raw` holds all orders of the given months with their items and payments, and none of
+    other months; its other tables are complete. The months' partitions of the order fact
+    and of the states are replaced, all others are shared with the version before, and the
+    merged tables are rebuilt from the states. An order that moves to another month needs
+    both months. Quality tables and reports are not touched.
+    """
+    work, tables = StoredWorkspace(spark, raw, rules), Tables(spark, folder)
+    for name, partitions in MART_TABLES:
+        if partitions:
+            column, = partitions
+            changed = tables.replace_partitions("marts", name, getattr(work, name), [{column: m} for m in months])
+            # The states of the months come from their new part of the fact alone.
+            here = changed.filter(F.col(column).isin(list(months))) if name == "fct_orders" else changed
+            setattr(work, name, here)
+    fact = tables.get("marts", "fct_orders")
+    work.dim_date = date_dimension(fact.agg(F.min("order_month").alias("start"), F.last_day(F.max("order_month")).alias("end")))
+    for name in MERGED:
+        setattr(work, name, tables.save("marts", name, getattr(work, name)))
+    return tables
+
+
 def analysis_reports(work: Workspace) -> LazyTables:
     """The analysis results by report name."""
     r = work.rules

@@ -59,6 +59,14 @@ class Workspace:
     def fct_daily_revenue(self) -> DataFrame:
         return marts.fct_daily_revenue(self.fct_orders, self.rules)
 
+    @cached_property
+    def daily_states(self) -> DataFrame:
+        return marts.daily_states(self.fct_orders)
+
+    @cached_property
+    def customer_states(self) -> DataFrame:
+        return marts.customer_states(self.fct_orders)
+
     @cached_property
     def dim_customers(self) -> DataFrame:
         return marts.dim_customers(self.fct_orders, self.rules)
@@ -153,6 +161,19 @@ class Workspace:
         return LazyTables({**staged, **models})
 
 
+class StoredWorkspace(Workspace):
+    """The same models for jobs that save tables as they go: what can be merged from the stored
+    states of months is, instead of from the orders."""
+
+    @cached_property
+    def fct_daily_revenue(self) -> DataFrame:
+        return marts.daily_from_states(self.daily_states, self.rules)
+
+    @cached_property
+    def dim_customers(self) -> DataFrame:
+        return marts.customers_from_states(self.customer_states, self.rules)
+
+
 # Columns of the order fact that checks, summaries and the tables behind them read.
 AUDITED = (
     "order_id", "customer_unique_id", "customer_state", "order_status", "purchased_at", "order_date", "order_month",

@@ -50,6 +50,13 @@ class Tables:
         table.remove_old(self.keep)
         return self.view(layer, name, table.read(version))
 
+    def replace_partitions(self, layer: str, name: str, df: DataFrame, values: Sequence[Mapping[str, object]]) -> DataFrame:
+        """Replace some partitions of a table and return it as read back; the others are shared."""
+        table = self.table(layer, name)
+        version = table.replace_partitions(df, values)
+        table.remove_old(self.keep)
+        return self.view(layer, name, table.read(version))
+
     def get(self, layer: str, name: str, version: int | None = None) -> DataFrame:
         """A table of this folder: the view made here, or else the files of an earlier job. With
         `version`, that version from the files."""
