@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 SMOOTHING_BOUNDS = (1e-4, 1 - 1e-4)
 DAMPING_BOUNDS = (0.8, 0.995)
 # First grid (level weight, trend weight as a share of it, damping) and the number of times the
-# neighbourhood of its best point is searched with half the steps.
+# neighbourhood of its best point is searched with half the steps: in all directions at first,
+# then along the axes only.
 GRID = (9, 5, 4)
 HALVINGS = 8
+ALL_WAYS = 3
 # A regressor whose part that others do not explain is smaller than this share is left out.
 DEPENDENT = 1e-10
 
@@ -43,34 +45,32 @@ def first_steps() -> tuple[float, float, float]:
             (DAMPING_BOUNDS[1] - DAMPING_BOUNDS[0]) / (GRID[2] - 1))
 
 
-RUNS = ("a", "u", "v")  # the data, a unit start level, a unit start trend
-
-
 def _started(y: Column, p: Column) -> Column:
     """Run level and trend through the series; the sums that give the best start state.
 
-    Forecasts are affine in the start level and trend: three runs describe every start. The
-    state holds, for each run, the level, the damped trend and the next prediction.
+    In the error form one step needs the next prediction and its damped trend alone: with the
+    error e, the damped trend becomes phi * (d + alpha * beta * e) and the prediction grows by
+    alpha * e and that. Both are affine in the start level and trend, so three runs describe
+    every start: the data (a), a unit level (u) and a unit trend (v) without data.
     """
     alpha, phi = p["alpha"], p["phi"]
-    beta = F.greatest(alpha * p["share"], F.lit(SMOOTHING_BOUNDS[0]))
+    gain = alpha * F.greatest(alpha * p["share"], F.lit(SMOOTHING_BOUNDS[0]))
     zero, one = F.lit(0.0), F.lit(1.0)
+    names = ("pa", "da", "pu", "du", "pv", "dv", "uu", "uv", "vv", "ue", "ve", "ee")
 
-    def state(level: dict, drift: dict, predicted: dict, sums: dict) -> Column:
-        parts = [(f"{n}{r}", c[r]) for n, c in (("l", level), ("d", drift), ("p", predicted)) for r in RUNS]
-        return F.struct(*(c.alias(n) for n, c in [*parts, *sums.items()]))
+    def state(*values: Column) -> Column:
+        return F.struct(*(v.alias(n) for n, v in zip(names, values, strict=True)))
 
-    names = ("uu", "uv", "vv", "ue", "ve", "ee")
-    start = state({"a": zero, "u": one, "v": zero}, {"a": zero, "u": zero, "v": phi * one},
-                  {"a": zero, "u": one, "v": phi * one}, dict.fromkeys(names, zero))
+    def moved(predicted: Column, drift: Column, error: Column) -> tuple[Column, Column]:
+        turned = phi * (drift + gain * error)
+        return predicted + alpha * error + turned, turned
 
     def step(s: Column, value: Column) -> Column:
         e, u, v = value - s["pa"], s["pu"], s["pv"]
-        level = {r: (one - alpha) * s[f"p{r}"] + (alpha * value if r == "a" else zero) for r in RUNS}
-        drift = {r: phi * (beta * (level[r] - s[f"l{r}"]) + (one - beta) * s[f"d{r}"]) for r in RUNS}
-        sums = {"uu": s["uu"] + u * u, "uv": s["uv"] + u * v, "vv": s["vv"] + v * v,
-                "ue": s["ue"] + u * e, "ve": s["ve"] + v * e, "ee": s["ee"] + e * e}
-        return state(level, drift, {r: level[r] + drift[r] for r in RUNS}, sums)
+        runs = [c for p, d, error in ((s["pa"], s["da"], e), (u, s["du"], -u), (v, s["dv"], -v)) for c in moved(p, d, error)]
+        return state(*runs, s["uu"] + u * u, s["uv"] + u * v, s["vv"] + v * v, s["ue"] + u * e, s["ve"] + v * e, s["ee"] + e * e)
+
+    start = state(zero, zero, one, zero, phi * one, phi * one, *[zero] * 6)
 
     def best_start(s: Column) -> Column:
         # A series too short to tell level and trend apart starts without a trend.
@@ -89,15 +89,15 @@ def _clipped(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
-def _around(best: Column, steps: Sequence[float]) -> Column:
-    """The best point and its neighbours one step away in every direction, inside the bounds."""
+def _around(best: Column, steps: Sequence[float], all_ways: bool) -> Column:
+    """The best point and its neighbours one step away, inside the bounds."""
     def point(i: int, j: int, k: int) -> Column:
         return F.struct(
             _clipped(best["alpha"] + i * steps[0], *SMOOTHING_BOUNDS).alias("alpha"),
             _clipped(best["share"] + j * steps[1], 0.0, 1.0).alias("share"),
             _clipped(best["phi"] + k * steps[2], *DAMPING_BOUNDS).alias("phi"))
 
-    return F.array(*(point(i, j, k) for i, j, k in product((-1, 0, 1), repeat=3)))
+    return F.array(*(point(*m) for m in product((-1, 0, 1), repeat=3) if all_ways or sum(map(abs, m)) <= 1))
 
 
 def damped_trend(y: Column) -> Column:
@@ -114,13 +114,13 @@ def damped_trend(y: Column) -> Column:
 
     def refined(values: Column) -> Column:
         best, steps = least(grid, values), first_steps()
-        for _ in range(HALVINGS):
+        for i in range(HALVINGS):
             steps = tuple(x / 2 for x in steps)
-            best = closer(best, steps, values)
+            best = closer(best, steps, i < ALL_WAYS, values)
         return _let(best, lambda b: _run(values, b))
 
-    def closer(best: Column, steps: Sequence[float], values: Column) -> Column:
-        return _let(best, lambda b: least(_around(b, steps), values))
+    def closer(best: Column, steps: Sequence[float], all_ways: bool, values: Column) -> Column:
+        return _let(best, lambda b: least(_around(b, steps, all_ways), values))
 
     return _let(y, refined)
 
@@ -128,19 +128,18 @@ def damped_trend(y: Column) -> Column:
 def _run(y: Column, best: Column) -> Column:
     """Run from the best start state; fitted values in order and the last state."""
     alpha, phi = best["alpha"], best["phi"]
-    beta = F.greatest(alpha * best["share"], F.lit(SMOOTHING_BOUNDS[0]))
-    start = F.struct(best["level"].alias("level"), (phi * best["trend"]).alias("drift"), best["trend"].alias("trend"),
+    gain = alpha * F.greatest(alpha * best["share"], F.lit(SMOOTHING_BOUNDS[0]))
+    start = F.struct((best["level"] + phi * best["trend"]).alias("next"), (phi * best["trend"]).alias("drift"),
                      F.array().cast("array<double>").alias("fitted"))
 
     def step(s: Column, value: Column) -> Column:
-        predicted = s["level"] + s["drift"]
-        level = (F.lit(1.0) - alpha) * predicted + alpha * value
-        trend = beta * (level - s["level"]) + (F.lit(1.0) - beta) * s["drift"]
-        return F.struct(level.alias("level"), (phi * trend).alias("drift"), trend.alias("trend"),
-                        F.concat(s["fitted"], F.array(predicted)).alias("fitted"))
+        error = value - s["next"]
+        drift = phi * (s["drift"] + gain * error)
+        return F.struct((s["next"] + alpha * error + drift).alias("next"), drift.alias("drift"),
+                        F.concat(s["fitted"], F.array(s["next"])).alias("fitted"))
 
     return _let(F.aggregate(y, start, step), lambda s: F.struct(
-        phi.alias("phi"), s["level"].alias("level"), s["trend"].alias("trend"), s["fitted"].alias("fitted")))
+        phi.alias("phi"), (s["next"] - s["drift"]).alias("level"), (s["drift"] / phi).alias("trend"), s["fitted"].alias("fitted")))
 
 
 def damped_ahead(fit: Column, step: Column) -> Column:
