@@ -6,6 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 from helpers import customers, items, orders, payments, plan, rows
 
+from storepulse import session
 from storepulse.functions import shared
 from storepulse.operators import marts, quality, retention
 from storepulse.plans import registry
@@ -152,3 +153,18 @@ def test_a_shared_frame_is_computed_once(spark):
     assert scans(both, "lineitem") == 1
     plain = source.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_tax").alias("t"))
     assert sorted(r.x for r in both.collect())[-1] == plain.filter("t > 0.05").agg(F.sum("q")).first()[0]
+
+
+def test_a_task_reads_little_after_a_shuffle_unless_the_cluster_wants_less(spark):
+    """Else sorts and hash tables of sales per seller and month grow with what adaptive execution merges."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    with conf(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="64MB"):
+        session.configure(spark)
+        assert spark.conf.get(key) == "16777216b"
+        for small in ("8m", "20KB", "4096", "16777216b"):
+            spark.conf.set(key, small)
+            session.configure(spark)
+            assert spark.conf.get(key) == small
+        spark.conf.unset(key)
+        registry.queries()["dim_sellers"](spark, FOLDER)
+        assert spark.conf.get(key) == "16777216b"
