@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import pick, small_batches, tucked
+from storepulse.llm.common import let_go, pick, small_batches, tucked
 
 # Families of languages by code.
 FAMILIES = {
@@ -167,8 +167,9 @@ def fit(train: DataFrame, key: str = "doc_id", options: LanguageOptions = Langua
     got = sample.mapInArrow(featured, "id string, lang string, idx array<int>, val array<float>").toArrow()
     got = got.sort_by([("id", "ascending")])  # sums then run in the same order every time
     lang = np.array(got["lang"].to_pylist(), object)
-    idx = [np.array(x.as_py(), np.int64) for x in got["idx"]]
-    val = [np.array(x.as_py(), np.float64) for x in got["val"]]
+    idx = [x.values.to_numpy().astype(np.int64) for x in got["idx"]]
+    val = [x.values.to_numpy().astype(np.float64) for x in got["val"]]
+    del got
     families: dict[str, list[str]] = {}
     for code in sorted(set(lang)):
         families.setdefault(FAMILY_OF.get(code, f"({code})"), []).append(code)
@@ -185,6 +186,8 @@ def fit(train: DataFrame, key: str = "doc_id", options: LanguageOptions = Langua
         bias.append(c)
         slope.append(s)
     table = np.stack(weights, 1).astype(np.float32) if weights else np.zeros((1 << BITS, 0), np.float32)
+    del idx, val, weights
+    let_go()  # the driver's Python, too, lives on
     return LanguageModel(families, machines, table, np.array(bias), np.array(slope))
 
 

@@ -443,6 +443,8 @@ def id_filter(ids: DataFrame):
     for row in ids.mapInArrow(mark, schema).repartition("part").mapInArrow(merge, schema).collect():
         bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
     sent = ids.sparkSession.sparkContext.broadcast(bits.ravel())
+    del bits
+    let_go()
 
     @F.arrow_udf("boolean")
     def maybe(ids: pa.Array) -> pa.Array:
@@ -488,6 +490,7 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions(), key:
     first = stored(sets_and_counts(docs, options, key, text), "ngram-sets")
     rows = first.filter("part is null").select("doc_id", "n", "node")
     levels = spark.sparkContext.broadcast(column_levels(first.filter("part is not null").select("part", "counts")))
+    let_go()
     shared = stored(shared_entries(rare_entries(docs, levels, options, text), options), "ngram-shared")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     placed = place_rows(shared, nodes, options)

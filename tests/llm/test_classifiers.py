@@ -117,3 +117,10 @@ def test_word_forms():
     assert toxicity.plain_word("5c4m") == ("scam", True) and not toxicity.plain_word("a1000")[1]
     assert toxicity.plain_word("2024") == ("2024", False)
     assert len(toxicity.Lexicon({}).features("a b")) == len(toxicity.FEATURES)
+
+
+def test_fit_hands_the_drivers_memory_back(spark, speakers, monkeypatch):
+    calls = []
+    monkeypatch.setattr(langid, "let_go", lambda: calls.append(1), raising=False)
+    langid.fit(speakers)
+    assert calls
