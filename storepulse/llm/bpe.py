@@ -59,13 +59,19 @@ def plain_spacing(text: str) -> bool:
     )
 
 
-def forced_cuts(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+# Letters and the signs that often stand behind a word; the pattern never joins the two.
+_LETTER, _SIGN = (np.isin(np.arange(256), list(b)) for b in (
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b",.;:!?"))
+
+
+def forced_cuts(texts: list[str], signs: bool = False) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All texts as bytes, the places where fragments start, and the number of fragments of each.
 
     Cut before every space that a non-space follows and, in texts of plain spacing, around
     line feeds. The pattern puts a token boundary at each of these places whatever stands
     around it, so fragments can be encoded alone. Python counts at least the characters as
-    space that the pattern does, which can only leave cuts out.
+    space that the pattern does, which can only leave cuts out. With `signs`, cut also between
+    a letter of ASCII and one of the signs `,.;:!?`, where the pattern ends a run of letters.
     """
     plain = np.array([plain_spacing(t) for t in texts], bool)
     parts = [[t.encode()] if p else [x.encode() for x in _BEFORE_WORD.split(t)] for t, p in zip(texts, plain)]
@@ -81,6 +87,9 @@ def forced_cuts(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
         own[:] = False
         lengths = np.fromiter(map(len, parts[i]), np.int64, len(parts[i]))
         own[lengths.cumsum()[:-1]] = True
+    if signs:
+        behind = np.flatnonzero(_SIGN[codes[1:]])
+        cut[1 + behind[_LETTER[codes[behind]]]] = True
     cut[starts[sizes > 0]] = True
     places = np.flatnonzero(cut)
     return raw, places, np.searchsorted(places, starts + sizes) - np.searchsorted(places, starts)
@@ -110,11 +119,12 @@ def slices(text: str) -> Iterator[str]:
 class FragmentEncoder:
     """Encodes texts fragment by fragment and remembers the ids of short fragments.
 
-    Subclasses say how to encode fragments not met before (`compute`) and texts that may not
-    be cut (`compute_whole`).
+    Subclasses say how to encode fragments not met before (`compute`), or keep a memory of their
+    own (`_looked_up`, `forget`), and how to encode texts that may not be cut (`compute_whole`).
+    With `signs`, fragments end before the signs behind a word.
     """
 
-    remembered, group = REMEMBERED, GROUP
+    remembered, group, signs = REMEMBERED, GROUP, False
 
     def __init__(self, cut: bool, special: Iterable[str]):
         self.cut, self.special = cut, tuple(special)
@@ -155,12 +165,22 @@ class FragmentEncoder:
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Each distinct fragment of the parts is looked up once; ids are then laid out in one gather."""
-        raw, places, many = forced_cuts(parts)
+        raw, places, many = forced_cuts(parts, self.signs)
         if not len(places):
             return [b""] * len(parts)
         offsets = np.append(places, len(raw)).astype(np.int32)
         cut = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        distinct, which = cut.dictionary.to_pylist(), cut.indices.to_numpy()
+        which = cut.indices.to_numpy()
+        data, sizes = self._looked_up(cut.dictionary)
+        lengths = sizes[which]
+        stops = lengths.cumsum()
+        laid = data[gathered((sizes.cumsum() - sizes)[which], lengths)].tobytes()
+        ends = (4 * np.append(0, stops)[many.cumsum()]).tolist()
+        return [laid[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _looked_up(self, fragments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct fragments end to end, and how many each has."""
+        distinct = fragments.to_pylist()
         if self.held > self.remembered:
             self.forget()
         known = self.known
@@ -170,13 +190,7 @@ class FragmentEncoder:
         for fragment in new:
             if len(fragment) > WORTH:
                 known.pop(fragment, None)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        data = np.frombuffer(b"".join(ids), np.int32)
-        lengths = sizes[which]
-        stops = lengths.cumsum()
-        laid = data[gathered((sizes.cumsum() - sizes)[which], lengths)].tobytes()
-        ends = (4 * np.append(0, stops)[many.cumsum()]).tolist()
-        return [laid[a:b] for a, b in zip([0, *ends], ends)]
+        return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode fragments not met before. A word is encoded without the signs behind it: the

@@ -31,12 +31,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storepulse.llm.bpe import ByteBpe, FragmentEncoder
-from storepulse.llm.common import fresh_path, gathered, pick, small_batches
+from storepulse.llm.common import WORTH, fresh_path, gathered, pick, small_batches
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQQ")
@@ -108,11 +109,12 @@ def _round(seq: np.ndarray, total: int, options: RepairOptions):
     a = len(top)
     rank = np.full(total, a, np.int32)
     rank[top] = np.arange(a, dtype=np.int32)
-    r = rank[seq]
-    at = np.flatnonzero((r[:-1] < a) & (r[1:] < a))
-    first, second = r[at], r[at + 1]
-    pair = first.astype(np.int64) * a + second
-    flat = np.bincount(pair, minlength=a * a)
+    # Pairs as numbers; in those with a symbol that is not counted, one digit is `a`.
+    w = a + 1
+    r = rank[seq] if w * w < 1 << 31 else rank[seq].astype(np.int64)
+    pair = r[:-1] * w
+    pair += r[1:]
+    flat = np.bincount(pair, minlength=w * w).reshape(w, w)[:a, :a].ravel()
     best = np.flatnonzero(flat >= least)
     best = best[np.argsort(-flat[best], kind="stable")]
     firsts, seconds, chosen = set(), set(), []
@@ -128,22 +130,22 @@ def _round(seq: np.ndarray, total: int, options: RepairOptions):
             seconds.add(x)
     if not chosen:
         return seq, none, none
-    chosen = np.array(chosen)
-    made = np.zeros(a * a, np.int32)
-    made[chosen] = np.arange(total, total + len(chosen), dtype=np.int32)
+    x, y = np.divmod(np.array(chosen), a)
+    made = np.zeros(w * w, np.int32)
+    made[x * w + y] = np.arange(total, total + len(chosen), dtype=np.int32)
     new = made[pair]
-    hit = new > 0
-    if (chosen // a == chosen % a).any():
+    at = np.flatnonzero(new)
+    if (x == y).any():
         # In a run of one symbol every second pair is taken.
-        runs = np.flatnonzero(hit & (first == second))
+        runs = np.flatnonzero(seq[at] == seq[at + 1])
         begins = np.r_[True, np.diff(at[runs]) > 1] if len(runs) else np.zeros(0, bool)
         run = np.maximum.accumulate(np.where(begins, np.arange(len(runs)), 0)) if len(runs) else runs
-        hit[runs[(np.arange(len(runs)) - run) % 2 == 1]] = False
+        at = np.delete(at, runs[(np.arange(len(runs)) - run) % 2 == 1])
     out = seq.copy()
-    out[at[hit]] = new[hit]
+    out[at] = new[at]
     keep = np.ones(len(seq), bool)
-    keep[at[hit] + 1] = False
-    return out[keep], top[chosen // a].astype(np.int32), top[chosen % a].astype(np.int32)
+    keep[at + 1] = False
+    return out[keep], top[x].astype(np.int32), top[y].astype(np.int32)
 
 
 def _lengths(alphabet: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -205,11 +207,15 @@ class Shard:
 
 # --- encoding with the library ----------------------------------------------------------
 
+# Bytes that a space character may hold or begin with in UTF-8; fragments with one are looked at closely.
+_SPACED = np.isin(np.arange(256), [*range(33), 127, 0xC2, 0xE1, 0xE2, 0xE3])
+
+
 class LibraryEncoder(FragmentEncoder):
     """Ids by the `tokenizers` library. Fragments between forced cuts are encoded once and
-    remembered; a text with a special token goes to the library as it is."""
+    remembered in Arrow arrays; a text with a special token goes to the library as it is."""
 
-    remembered, group = 160 << 20, 1 << 24
+    group, signs = 1 << 24, True
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -223,35 +229,88 @@ class LibraryEncoder(FragmentEncoder):
         self.library.no_padding()
         super().__init__(spec.cut, spec.special)
 
+    def forget(self) -> None:
+        self.known = pa.array([], pa.binary())
+        self.known_ids, self.known_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    @property
+    def held(self) -> int:
+        """Bytes remembered; looking up takes about as many again for a while."""
+        return self.known.nbytes + self.known_ids.nbytes + self.known_sizes.nbytes
+
     def compute_whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, np.uint32).tobytes() for e in encoded]
 
-    def compute(self, new: list[bytes]) -> list[bytes]:
+    def _looked_up(self, fragments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Fragments met before come from memory, the others from the library."""
+        if self.held > self.remembered:
+            self.forget()
+        at = pc.index_in(fragments, value_set=self.known)
+        new = fragments.filter(at.is_null())
+        new_ids, new_sizes = self.compute_all(new)
+        # Places behind the known ones are those of the new fragments, in their order.
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        ids, sizes = np.concatenate([self.known_ids, new_ids]), np.concatenate([self.known_sizes, new_sizes])
+        begins = sizes.cumsum(dtype=np.int64) - sizes
+        found = sizes[place].astype(np.int64)
+        data = ids[gathered(begins[place], found)]
+        short = pc.less_equal(pc.binary_length(new), WORTH).to_numpy(zero_copy_only=False)
+        if short.all():
+            self.known_ids, self.known_sizes = ids, sizes
+        else:
+            keep = np.repeat(short, new_sizes)
+            self.known_ids = np.concatenate([self.known_ids, new_ids[keep]])
+            self.known_sizes = np.concatenate([self.known_sizes, new_sizes[short]])
+            new = new.filter(pa.array(short))
+        self.known = pa.concat_arrays([self.known, new])
+        return data, found
+
+    def compute_all(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Encode fragments not met before as one text, each after its own space or a line feed.
 
         Without space characters inside, a fragment has forced cuts on both sides there; the
         bytes of the tokens tell whose ids are whose. Other fragments are encoded one by one.
+        Returns all ids end to end, and how many each fragment has.
         """
-        plain, texts = [], []
-        for fragment in new:
-            text = fragment.decode()
-            word = text[1:] if text[0] == " " else text
-            plain.append(word.split() == [word])
-            texts.append(text)
-        shown = [f if f[0] == 32 else b"\n" + f for f, p in zip(new, plain) if p]
-        others = iter(self.compute_whole([t for t, p in zip(texts, plain) if not p]))
-        sizes = np.fromiter(map(len, shown), np.int64, len(shown))
-        skip = np.fromiter((f[0] == 10 for f in shown), np.int64, len(shown))
-        ids = np.frombuffer(self.compute_whole([b"".join(shown).decode()])[0], np.uint32) if shown else np.zeros(0, np.uint32)
-        reach = np.r_[0, self.token_size[ids].cumsum()]
-        stops = sizes.cumsum()
-        first, last = np.searchsorted(reach, stops - sizes + skip), np.searchsorted(reach, stops)
-        if (reach[last] != stops).any() or (reach[first] != stops - sizes + skip).any():
-            raise ValueError("a token reaches over a forced cut")
-        data = ids.tobytes()
-        words = iter([data[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist())])
-        return [next(words) if p else next(others) for p in plain]
+        if not len(new):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int32)
+        bounds = np.frombuffer(new.buffers()[1], np.int32, len(new) + 1, 4 * new.offset)
+        codes = np.frombuffer(new.buffers()[2], np.uint8, bounds[-1])
+        spaced = codes[bounds[:-1]] == 32
+        begins, stops = bounds[:-1] + spaced, bounds[1:]
+        odd = np.append(0, _SPACED[codes].cumsum(dtype=np.int32))
+        plain = (odd[stops] == odd[begins]) & (begins < stops)
+        for i in np.flatnonzero(~plain).tolist():
+            word = new[i].as_py().decode()[int(spaced[i]):]
+            plain[i] = word.split() == [word]
+        others = self.compute_whole([x.decode() for x in new.filter(pa.array(~plain)).to_pylist()])
+        shown, lead = new.filter(pa.array(plain)), pa.array(~spaced[plain])
+        sizes = np.zeros(len(new), np.int32)
+        ids = np.zeros(0, np.uint32)
+        if len(shown):
+            joined = pc.binary_join_element_wise(pc.if_else(lead, pa.scalar(b"\n"), pa.scalar(b"")), shown, pa.scalar(b""))
+            ends = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1, 4 * joined.offset)
+            whole = joined.buffers()[2].to_pybytes()[ends[0]:ends[-1]].decode()
+            all_ids = np.frombuffer(self.compute_whole([whole])[0], np.uint32)
+            reach = np.append(0, self.token_size[all_ids].cumsum())
+            skip, stops = ~spaced[plain], ends[1:] - ends[0]
+            starts = ends[:-1] - ends[0] + skip
+            first, last = np.searchsorted(reach, starts), np.searchsorted(reach, stops)
+            if (reach[last] != stops).any() or (reach[first] != starts).any():
+                raise ValueError("a token reaches over a forced cut")
+            # Only the line feeds set in before fragments are left out.
+            keep = np.ones(len(all_ids), bool)
+            keep[first[skip] - 1] = False
+            ids, sizes[plain] = all_ids[keep], last - first
+        if others:
+            sizes[~plain] = [len(x) // 4 for x in others]
+            both = np.zeros(int(sizes.sum()), np.uint32)
+            from_others = np.repeat(~plain, sizes)
+            both[from_others], both[~from_others] = np.frombuffer(b"".join(others), np.uint32), ids
+            ids = both
+        return ids, sizes
 
 
 @lru_cache(maxsize=1)

@@ -80,6 +80,39 @@ def test_empty_table(spark, tmp_path):
     assert repair.token_files(empty, PATH).count() == 0
 
 
+ODD = [
+    "word, word. word! word word?! wordé, éword; w:.", ".,;!? a.b,c 1. 2, A.\n.B ,\n", "it's, don't. we'll! 's, x.'s y,'ll",
+    "a\u3000b\u2028c\u00a0d\u1680e\u0085f \u3000 \u00bfq? \u00a1x!", "x.  y,\t z;\r\nw:  \n . , ", "k" * 200 + "., " + "k" * 200,
+    "東京、です。 ひらがな 東京. \u2026 a\u2014b", "nul\0, x\x1c. \x7f", "." * 3000 + "a" + "," * 3000, "", " ", "\n", " \n ", "e\u0301, e\u0301",
+]
+
+
+@pytest.mark.parametrize("remembered", [0, 300, 1 << 26])
+def test_library_ids_whatever_is_remembered(library, remembered):
+    encode = repair.LibraryEncoder(PATH)
+    encode.remembered = remembered
+    rng = np.random.default_rng(3)
+    for _ in range(6):
+        texts = [ODD[i] for i in rng.permutation(len(ODD))[:7]] + ["".join(rng.choice(list("ab ,.\n\u3000é"), 60))]
+        for text, ids in zip(texts, encode(texts)):
+            assert np.frombuffer(ids, np.uint32).tolist() == ids_of(library, text)
+
+
+def test_words_met_before_are_not_encoded_again():
+    """Remembering is bounded by bytes: 20,000 words fit into a megabyte."""
+    encode, asked = repair.LibraryEncoder(PATH), []
+    encode.remembered = 1 << 20
+    whole = encode.compute_whole
+    encode.compute_whole = lambda texts: asked.extend(texts) or whole(texts)
+    words = [f"w{i:05d}x" for i in range(20_000)]
+    first = encode([" ".join(words)])
+    assert sum(map(len, asked)) >= 7 * len(words)
+    asked.clear()
+    assert encode([" ".join(words)]) == first
+    encode([" ".join(["w00000x", *(w + s for w, s in zip(words[1:], ",.!;"))])])
+    assert sum(map(len, asked)) <= 40  # the signs, and nothing else
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_grammar_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)
